@@ -1,0 +1,141 @@
+"""Operator 5: document fingerprints by prefix polynomial hashes."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .text import documents
+
+PRIMES = (2_147_483_647, 2_147_483_629)
+BASES = (1_103_515_245, 1_664_525_123)
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Ranges of ids that neighbours are sought in; each takes one more row of text.
+RANGES_PER_TASK = 1
+
+_powers = [np.ones(1, np.int64) for _ in PRIMES]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the bases up to the n-th, grown by doubling and kept."""
+    while len(_powers[0]) <= n:
+        for k, p in enumerate(PRIMES):
+            have = _powers[k]
+            _powers[k] = np.concatenate([have, have * (int(have[-1]) * BASES[k] % p) % p])
+    return _powers
+
+
+class PrefixHashes:
+    """Hashes of all prefixes of a text of code points, modulo two primes.
+
+    ``prefix[k][i]`` sums ``(code + 1) * base ** j`` for j < i. Any two spans
+    compare in constant time, once shifted to equal powers, so the longest
+    common extension from two places is found by binary search.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self.n, self.codes, self.prefix = len(codes), codes, []
+        for powers, p in zip(_powers_to(self.n), PRIMES, strict=True):
+            terms = (codes.astype(np.int64) + 1) * powers[: self.n] % p
+            self.prefix.append(np.concatenate([[0], np.cumsum(terms) % p]))
+
+    def same(self, i: int, other: PrefixHashes, j: int, n: int) -> bool:
+        """Whether the n code points from i on equal ``other``'s from j on."""
+        for k, p in enumerate(PRIMES):
+            a = int(self.prefix[k][i + n] - self.prefix[k][i]) % p
+            b = int(other.prefix[k][j + n] - other.prefix[k][j]) % p
+            if a * int(_powers[k][j]) % p != b * int(_powers[k][i]) % p:
+                return False
+        return True
+
+    def common(self, i: int, other: PrefixHashes, j: int, back: bool = False) -> int:
+        """The longest common extension from i and j, forwards, or ending there, backwards."""
+        low, high = 0, min(i, j) if back else min(self.n - i, other.n - j)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if self.same(i - mid, other, j - mid, mid) if back else self.same(i, other, j, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    def text(self) -> str:
+        """Length and hash of the whole, as hex."""
+        return f"{self.n:x}-" + "".join(f"{int(p[-1]):08x}" for p in self.prefix)
+
+
+def likeness(a: PrefixHashes, b: PrefixHashes) -> float:
+    """Share of the longer text that is the common start or the common end of both; 1 for equal texts."""
+    most = max(a.n, b.n)
+    if not most:
+        return 1.0
+    start = a.common(0, b, 0)
+    end = a.common(a.n, b, b.n, back=True)
+    return min(1.0, min(start + end, a.n, b.n) / most)
+
+
+def _codes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+
+
+def _compare(codes: np.ndarray, ahead: np.ndarray) -> tuple:
+    quarter = len(codes) // 4
+    edited = np.concatenate([codes[: len(codes) - quarter], ahead[:quarter]])
+    own, changed, after = PrefixHashes(codes), PrefixHashes(edited), PrefixHashes(ahead)
+    sha = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest()
+    return len(codes), sha, own.text(), changed.text(), likeness(own, changed), likeness(own, after)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive by (range, order): each is compared with the one after it in its range, the last being borrowed."""
+    names = [x.split()[0] for x in OUT.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    held = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            some, found = batch.slice(at, 500), []
+            for bucket, doc_id, text in zip(*(some.column(c).to_pylist() for c in ("range", "doc_id", "text")), strict=True):
+                now = (bucket, doc_id, _codes(text))
+                if held is not None and held[0] == bucket:
+                    found.append((held[1], *_compare(held[2], now[2])))
+                held = now
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's.
+
+    The next document is that of the next ``doc_id``, after the last the first.
+    Ids are cut into ranges, a range per shuffle partition; each range also gets
+    the first row of the next one, so texts are shuffled once and neighbours
+    meet without a global sort. Rows that share an id follow each other by
+    text; null ids come first. A null text is empty; two empty texts are alike
+    (1.0), an empty and another are not (0.0). One row is its own next.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"))
+    many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = ids.agg(F.percentile_approx("at", [k / many for k in range(1, many)] or [0.5], 10 * many)).first()[0] or []
+    cuts = sorted(set(cuts))
+    at = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    place = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= at)) if cuts else F.lit(0)
+    ranged = rows.withColumn("range", place.cast("int")).withColumn("last", F.lit(0))
+    # the first row of each range goes to the range before it, too: a row per range
+    firsts = ranged.groupBy("range").agg(F.min(at).alias("first")).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy(F.lit(1))))
+    firsts = F.broadcast(firsts.select("first", before.alias("to")))
+    borrowed = rows.join(firsts, at == F.col("first")).groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    borrowed = borrowed.select("x.doc_id", "x.text", F.col("to").alias("range"), F.lit(1).alias("last"))
+    every = ranged.unionByName(borrowed).repartition(many, "range").sortWithinPartitions("range", "last", "doc_id", "text")
+    return every.mapInArrow(_fingerprints, OUT)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_fingerprints
+from .mixing import op4_source_mix
+from .near_dedup import op1_near_dedup
 from .packing import op9_best_fit_packing
+from .quality_rules import op7_quality_rules
 from .token_files import op3_token_files
 from .wordpiece import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_token_files, op4_source_mix, op5_fingerprints, op7_quality_rules, op9_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
