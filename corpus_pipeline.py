@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wakeline.llm import stages
 from wakeline.plans.materialize import materialize
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", stages.quality),
+    ("language_id", stages.language),
+    ("near_dedup", stages.dedup),
+    ("source_mix", stages.mixture),
+    ("best_fit_packing", stages.packed),
+]
+
+#: Hashes of shingles, vocabularies of a tokenizer and subset sums have no SQL here; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; every table between two stages is in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
