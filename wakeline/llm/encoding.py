@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
-from .text import CACHE
-
+#: Entries of a worker's table, about 250 bytes each; a table that is full starts anew.
+KNOWN = 1_200_000
+#: Marks what has no space before it.
+FIRST = "\0"
 #: ASCII marks that end many words; together they are a run that either tokenizer cuts from letters before it.
 TAIL = "!#$%&*,.:;?|"
 #: Letters up to here are letters to every Unicode table in use.
@@ -19,10 +21,11 @@ class Encoder:
 
     Both tokenizers here cut a text before each space that stands between two
     other characters, and encode what lies between two cuts alone. So a text is
-    cut there and each distinct part is encoded once per worker; parts that
-    aren't known yet go to the library in one batch. Texts with two spaces in a
-    row go to it whole. Strings of special tokens in a text are ordinary text.
-    Memory: two tables of at most ``CACHE`` parts.
+    cut there, a part into words and marks, and each distinct one is encoded
+    once per worker; new words go to the library as one text, whose ids are cut
+    again where words begin or end. Texts with two spaces in a row go to it
+    whole. Strings of special tokens in a text are ordinary text. Memory: a
+    table of at most ``KNOWN`` entries, and one group of texts.
     """
 
     def __init__(self, path: str):
@@ -31,57 +34,85 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = any(t.endswith("</w>") for t in vocabulary)
+        #: By id: whether a token ends a word, or begins one, as the kind of vocabulary shows it.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("\u0120"))]] = True
+        self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, atoms: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a space, from one call."""
+        ids = np.asarray(self.library.encode_batch_fast(["".join(atoms)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.edge[ids])
+        cuts = np.append(0, at + 1) if self.ends else np.append(at, len(ids))
+        if len(cuts) != len(atoms) + 1 or cuts[0] or cuts[-1] != len(ids):
+            return self._plain(atoms)
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     @staticmethod
-    def _atoms(part: str) -> list[str]:
+    def _cut(part: str) -> list[str]:
         """Cut a part at single line ends within it and before the marks that end a word."""
+        if part.isalpha():
+            return [part]
         out: list[str] = []
-        pieces = part.split("\n") if part[0] != "\n" and part[-1] != "\n" and "\n\n" not in part and " \n" not in part else [part]
+        pieces = part.split("\n") if "\n" in part and part[0] != "\n" and part[-1] != "\n" and "\n\n" not in part and FIRST + "\n" not in part else [part]
         for k, piece in enumerate(pieces):
             if k:
-                out.append("\n")
+                out.append(FIRST + "\n")
+                piece = FIRST + piece
             base = piece.rstrip(TAIL)
             if len(base) < len(piece) and base[-1:].isalpha() and base[-1] < OLD_LETTERS:
-                out += [base, piece[len(base) :]]
+                out += [base, FIRST + piece[len(base) :]]
             else:
                 out.append(piece)
         return out
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.parts) + len(new) > CACHE:
-            self.parts.clear()
-        cut = {part: self._atoms(part) for part in new}
-        if len(self.atoms) > CACHE:
-            self.atoms.clear()
-        unknown = list({a for atoms in cut.values() for a in atoms if a not in self.atoms})
-        self.atoms.update(zip(unknown, self._plain(unknown), strict=True))
-        get = self.atoms.__getitem__
-        self.parts.update((part, b"".join(map(get, atoms))) for part, atoms in cut.items())
+        known = self.known
+        cut = {part: self._cut(part) for part in new}
+        unknown = {a for atoms in cut.values() for a in atoms if a not in known}
+        words = [a for a in unknown if a.isalpha() and max(a) < OLD_LETTERS]
+        rest = list(unknown.difference(words))
+        if words:
+            known.update(zip(words, self._words([" " + a for a in words]), strict=True))
+        if rest:
+            known.update(zip(rest, self._plain([a[1:] if a[:1] == FIRST else " " + a for a in rest]), strict=True))
+        get = known.__getitem__
+        known.update((part, b"".join(map(get, atoms))) for part, atoms in cut.items() if len(atoms) > 1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        wait, new = [], set()
+        for k, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif "  " in text:
-                out += self._plain([text])
+                continue
+            if "  " in text or FIRST in text:
+                out[k] = self._plain([text])[0]
+                continue
+            parts = text.split(" ")
+            # what comes first has no space before it
+            if parts[0]:
+                parts[0] = FIRST + parts[0]
+            else:
+                del parts[0]
+            found = list(map(self.known.get, parts))
+            if None in found:
+                new.update(p for p, f in zip(parts, found, strict=True) if f is None)
+                wait.append((k, parts))
             else:
-                first, *rest = text.split(" ")
-                parts = [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-                found = list(map(self.parts.get, parts))
-                if None in found:
-                    self._learn({p for p, f in zip(parts, found, strict=True) if f is None})
-                    # the texts' own parts may have gone with a full table
-                    found = list(map(self.parts.get, parts))
-                    if None in found:
-                        self._learn(set(parts))
-                        found = list(map(self.parts.__getitem__, parts))
-                out.append(b"".join(found))
+                out[k] = b"".join(found)
+        if new:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+                new.update(p for _, parts in wait for p in parts)
+            self._learn(new)
+            for k, parts in wait:
+                out[k] = b"".join(map(self.known.__getitem__, parts))
         return out
 
 
