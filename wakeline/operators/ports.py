@@ -81,7 +81,7 @@ def extract(tracks: DataFrame, positions: DataFrame, config: PortConfig = PortCo
     """All tables of the port document: ``pois``, ``poi_pairs``, ``track_quality``, ``assigned`` and ``cells``."""
     heat = rasters.start_end_heatmap(tracks, config.extent, config.bins, config.min_track_points)
     dense = rasters.dense_cells(heat, config.threshold_mode, config.threshold_value)
-    labelled = rasters.components(dense, config.min_cluster_cells)
+    labelled = rasters.components(dense, config.min_cluster_cells, config.bins)
     assigned = assign(tracks, labelled, config)
     on_voyages = positions.join(assigned.select("track_id"), "track_id", "left_semi")
     named = top_destinations(destinations(assigned, last_destination(on_voyages), config), config.top_destinations_per_poi)

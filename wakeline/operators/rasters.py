@@ -113,17 +113,51 @@ def resample(cells: DataFrame, geo, shape, window, size, mode: str = "nearest")
     return parts.join(cells.select("iy", "ix", "cnt"), ["iy", "ix"], "left").groupBy("ty", "tx").agg(F.sum(F.col("weight") * F.coalesce("cnt", F.lit(0))).alias("value"))
 
 
-def components(cells: DataFrame, min_cells: int = 3) -> DataFrame:
-    """8-neighbour components of cells, of a least size, numbered by their first cell in row order from 0."""
+#: Grids of up to this many cells are labelled in one task; the grid bounds its rows, whatever the data.
+ONE_TASK_GRID = 4_000_000
+
+
+def _joined(frames):
+    """Least cell of each 8-neighbour component, by union-find over the set cells."""
+    import pandas as pd
+
+    cells = pd.concat([pd.DataFrame({"iy": [], "ix": []}, dtype="int64"), *frames])
+    places = list(zip(cells["iy"].tolist(), cells["ix"].tolist(), strict=True))
+    parent = {c: c for c in places}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for y, x in places:
+        for other in ((y, x + 1), (y + 1, x - 1), (y + 1, x), (y + 1, x + 1)):
+            if other in parent:
+                a, b = root((y, x)), root(other)
+                parent[max(a, b)] = min(a, b)
+    tops = [root(c) for c in places]
+    yield pd.DataFrame({"iy": [c[0] for c in places], "ix": [c[1] for c in places], "component": [(y << 31) + x for y, x in tops]})
+
+
+def components(cells: DataFrame, min_cells: int = 3, shape: tuple[int, int] | None = None) -> DataFrame:
+    """8-neighbour components of cells, of a least size, numbered by their first cell in row order from 0.
+
+    A grid of known, moderate ``shape`` is labelled in one task; any other by
+    label propagation over a table of neighbours.
+    """
     from ..plans import connected_components
 
-    width = 1 << 31
-    named = cells.select("iy", "ix", (F.col("iy").cast("long") * width + F.col("ix")).alias("cell"))
-    around = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
-    links = named.select("cell", "iy", "ix", F.explode(around).alias("d")).select("cell", ((F.col("iy") + F.col("d.dy")).cast("long") * width + F.col("ix") + F.col("d.dx")).alias("other"))
-    links = links.join(named.select(F.col("cell").alias("other")), "other", "left_semi")
-    found = connected_components(links, "cell", "other")
-    whole = named.join(found, named.cell == found.node, "left").select("iy", "ix", F.coalesce("component", "cell").alias("component"))
+    if shape and shape[0] * shape[1] <= ONE_TASK_GRID:
+        whole = cells.select(F.col("iy").cast("long"), F.col("ix").cast("long")).repartition(1).mapInPandas(_joined, "iy int, ix int, component long")
+    else:
+        width = 1 << 31
+        named = cells.select("iy", "ix", (F.col("iy").cast("long") * width + F.col("ix")).alias("cell"))
+        around = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
+        links = named.select("cell", "iy", "ix", F.explode(around).alias("d")).select("cell", ((F.col("iy") + F.col("d.dy")).cast("long") * width + F.col("ix") + F.col("d.dx")).alias("other"))
+        links = links.join(named.select(F.col("cell").alias("other")), "other", "left_semi")
+        found = connected_components(links, "cell", "other")
+        whole = named.join(found, named.cell == found.node, "left").select("iy", "ix", F.coalesce("component", "cell").alias("component"))
     kept = whole.groupBy("component").agg(F.count("*").alias("cells_count")).where(F.col("cells_count") >= min_cells)
     # a row per component, ordered by its first cell
     kept = kept.withColumn("poi_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))

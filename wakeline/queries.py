@@ -201,7 +201,7 @@ lb as (select cl.iy, cl.ix, cast(cs.poi_id as int) poi_id, cs.cells_count from c
 
 def _labelled(spark, sf_dir):
     heat = rasters.start_end_heatmap(tracks(spark, sf_dir), EXTENT, BINS)
-    return heat, rasters.components(rasters.dense_cells(heat, "percentile", 60.0), 2)
+    return heat, rasters.components(rasters.dense_cells(heat, "percentile", 60.0), 2, BINS)
 
 
 @query(f"{TRK}, {_COMP} select * from lb")
