@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..config import ArtifactConfig
 from ..functions.geo import haversine_m
 
-_BY_VOYAGE = Window.partitionBy("track_id").orderBy("timestamp", "seq")
+
+
+def _by_voyage():
+    return Window.partitionBy("track_id").orderBy("timestamp", "seq")
 
 
 def steps(positions: DataFrame) -> DataFrame:
     """Add seconds and metres since the fix before on the same voyage (null on its first)."""
-    before = {n: F.lag(n).over(_BY_VOYAGE) for n in ("timestamp", "lat", "lon")}
+    before = {n: F.lag(n).over(_by_voyage()) for n in ("timestamp", "lat", "lon")}
     return positions.withColumns({"dt": F.col("timestamp") - before["timestamp"], "dist": haversine_m(before["lat"], before["lon"], "lat", "lon")})
 
 
@@ -27,7 +30,7 @@ def gap_metrics(positions: DataFrame) -> DataFrame:
 
 def gap_list(positions: DataFrame, min_sec: int, min_m: float) -> DataFrame:
     """Gaps of at least so many seconds or metres, with both ends."""
-    after = {f"next_{n}": F.lead(n).over(_BY_VOYAGE) for n in ("timestamp", "lat", "lon")}
+    after = {f"next_{n}": F.lead(n).over(_by_voyage()) for n in ("timestamp", "lat", "lon")}
     rows = positions.select("track_id", "seq", "timestamp", "lat", "lon").withColumns(after)
     rows = rows.withColumns({"gap_sec": F.col("next_timestamp") - F.col("timestamp"), "gap_m": haversine_m("lat", "lon", "next_lat", "next_lon")})
     return rows.where((F.col("gap_sec") >= min_sec) | (F.col("gap_m") >= min_m))
@@ -43,7 +46,7 @@ def gap_quality(positions: DataFrame, min_sec: int, min_m: float) -> DataFrame:
 def segments(positions: DataFrame, max_sec: int, max_m: float) -> DataFrame:
     """Number the parts of each voyage between gaps above either limit; add the place in the voyage."""
     cut = F.when((F.col("dt") > max_sec) | (F.col("dist") > max_m), 1).otherwise(0)
-    return steps(positions).withColumns({"segment": F.sum(cut).over(_BY_VOYAGE.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(_BY_VOYAGE) - 1})
+    return steps(positions).withColumns({"segment": F.sum(cut).over(_by_voyage().rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(_by_voyage()) - 1})
 
 
 def fragments(positions: DataFrame, config: ArtifactConfig = ArtifactConfig()) -> DataFrame:
@@ -73,7 +76,7 @@ def split_fragments(frags: DataFrame, fraction: float = 0.02, seed: int = 42) ->
 
 def slice_of(positions: DataFrame, frags: DataFrame) -> DataFrame:
     """The fixes of each fragment: voyages joined, then places between s and e."""
-    placed = positions.withColumn("place", F.row_number().over(_BY_VOYAGE) - 1)
+    placed = positions.withColumn("place", F.row_number().over(_by_voyage()) - 1)
     return placed.join(frags.select("track_id", "s", "e"), "track_id").where((F.col("place") >= F.col("s")) & (F.col("place") < F.col("e")))
 
 

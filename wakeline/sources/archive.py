@@ -10,7 +10,7 @@ from ..functions.text import byte_text, json_int
 from ..plans import materialize, running_total
 
 #: Fields of a record; values come as strings, numbers or null and are kept raw until cast.
-FIELDS = ("SHIP_ID", "SHIPNAME", "FLAG", "SHIPTYPE", "GT_SHIPTYPE", "LENGTH", "WIDTH", "DWT", "LAT", "LON", "SPEED", "COURSE", "HEADING", "ROT", "ELAPSED", "DESTINATION", "TILE_Z", "TIMESTAMP")
+FIELDS = ("SHIPNAME", "FLAG", "SHIPTYPE", "GT_SHIPTYPE", "LENGTH", "WIDTH", "DWT", "LAT", "LON", "SPEED", "COURSE", "HEADING", "ROT", "ELAPSED", "DESTINATION", "TILE_Z", "TIMESTAMP")
 
 
 def list_files(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:
@@ -32,8 +32,7 @@ def records(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     raw = F.from_json("value", "map<string,string>")
     rows = rows.select("file_id", "name", "file_dt", F.posexplode(F.map_entries(raw)).alias("ord_in_file", "entry"))
     quoted = [F.get_json_object("entry.value", f"$.{f}").alias(f) for f in FIELDS]
-    shapes = F.from_json("entry.value", "map<string,string>").alias("_raw")
-    return rows.select("file_id", "name", "file_dt", "ord_in_file", F.col("entry.key").alias("mt_id"), *quoted, shapes, F.col("entry.value").alias("_json"))
+    return rows.select("file_id", "name", "file_dt", "ord_in_file", F.col("entry.key").alias("mt_id"), *quoted, F.col("entry.value").alias("_json"))
 
 
 def _whole(field: str, default: int = -1):
