@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries of a worker's table, about 250 bytes each; a table that is full starts anew.
-KNOWN = 1_200_000
+#: Entries of a worker's table, about 200 bytes each; a table that is full starts anew.
+KNOWN = 800_000
+#: Rows that are encoded together.
+ROWS = 500
 #: Marks what has no space before it.
 FIRST = "\0"
 #: ASCII marks that end many words; together they are a run that either tokenizer cuts from letters before it.
@@ -72,10 +76,12 @@ class Encoder:
                 out.append(piece)
         return out
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts that aren't in the table. Their words and marks are kept; a part of several is kept where its word was known before, as rare words rarely come with the same mark again."""
         known = self.known
         cut = {part: self._cut(part) for part in new}
         unknown = {a for atoms in cut.values() for a in atoms if a not in known}
+        keep = [part for part, atoms in cut.items() if len(atoms) > 1 and unknown.isdisjoint(atoms)]
         words = [a for a in unknown if a.isalpha() and max(a) < OLD_LETTERS]
         rest = list(unknown.difference(words))
         if words:
@@ -83,11 +89,15 @@ class Encoder:
         if rest:
             known.update(zip(rest, self._plain([a[1:] if a[:1] == FIRST else " " + a for a in rest]), strict=True))
         get = known.__getitem__
-        known.update((part, b"".join(map(get, atoms))) for part, atoms in cut.items() if len(atoms) > 1)
+        out = {part: b"".join(map(get, atoms)) for part, atoms in cut.items()}
+        known.update((part, out[part]) for part in keep)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        wait, new = [], set()
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        get, wait, new = self.known.get, [], set()
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -100,21 +110,31 @@ class Encoder:
                 parts[0] = FIRST + parts[0]
             else:
                 del parts[0]
-            found = list(map(self.known.get, parts))
+            found = list(map(get, parts))
             if None in found:
-                new.update(p for p, f in zip(parts, found, strict=True) if f is None)
-                wait.append((k, parts))
+                lacks = [j for j, f in enumerate(found) if f is None]
+                new.update([parts[j] for j in lacks])
+                wait.append((k, parts, found, lacks))
             else:
                 out[k] = b"".join(found)
         if new:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-                new.update(p for _, parts in wait for p in parts)
-            self._learn(new)
-            for k, parts in wait:
-                out[k] = b"".join(map(self.known.__getitem__, parts))
+            learnt = self._learn(new)
+            for k, parts, found, lacks in wait:
+                for j in lacks:
+                    found[j] = learnt[parts[j]]
+                out[k] = b"".join(found)
         return out
 
+    def groups(self, batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Slices of batches with all ids of their column ``text`` in a row, ``end`` after each text, and where each text ends."""
+        last = np.uint32(end).tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                coded = self.encode(some.column("text").to_pylist())
+                ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1)
+                yield some, np.frombuffer(last.join([*coded, b""]), np.uint32), ends
+
 
 _made: dict[str, Encoder] = {}
 

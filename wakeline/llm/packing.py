@@ -22,21 +22,17 @@ PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 lo
 
 def _cut(path: str, end: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tool, last, step = TaskContext.get().partitionId(), encoder(path), np.uint32(end).tobytes(), 4 * room
-        seen = np.zeros(room + 1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                found = []
-                for doc_id, coded in zip(some.column("doc_id").to_pylist(), tool.encode(some.column("text").to_pylist()), strict=True):
-                    coded += last
-                    for piece in range(-(-len(coded) // step)):
-                        cut = coded[piece * step : (piece + 1) * step]
-                        n = len(cut) // 4
-                        found.append((part, doc_id, piece, piece * room, n, zlib.crc32(cut), seen[n]))
-                        seen[n] += 1
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        part, names = TaskContext.get().partitionId(), [x.split()[0] for x in PIECES.split(", ")]
+        types, seen = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), np.zeros(room + 1, np.int64)
+        for some, ids, ends in encoder(path).groups(batches, end):
+            raw, begin, found = memoryview(ids).cast("B"), 0, []
+            for doc_id, stop in zip(some.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                for piece, at in enumerate(range(begin, stop, room)):
+                    n = min(room, stop - at)
+                    found.append((part, doc_id, piece, piece * room, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), seen[n]))
+                    seen[n] += 1
+                begin = stop
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
     return run
 

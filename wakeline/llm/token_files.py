@@ -36,16 +36,12 @@ FILE_OPTIONS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.diction
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, tool, last = TaskContext.get().partitionId(), 0, encoder(path), np.uint32(end).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                coded = [x + last for x in tool.encode(some.column("text").to_pylist())]
-                sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), some.column("doc_id").cast(pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), ids], names=SCHEMA.names)
-                start += int(ends[-1])
+        part, start = TaskContext.get().partitionId(), 0
+        for some, ids, ends in encoder(path).groups(batches, end):
+            sizes = np.diff(ends, prepend=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), some.column("doc_id").cast(pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), lists], names=SCHEMA.names)
+            start += int(ends[-1])
 
     return run
 
