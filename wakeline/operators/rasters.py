@@ -162,3 +162,11 @@ def components(cells: DataFrame, min_cells: int = 3, shape: tuple[int, int] | No
     # a row per component, ordered by its first cell
     kept = kept.withColumn("poi_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
     return whole.join(kept, "component").select("iy", "ix", "poi_id", "cells_count")
+
+
+def degrees(cells: DataFrame) -> DataFrame:
+    """How many of the eight neighbours of each cell are set, of those that have any; eight keys per cell, no range join."""
+    around = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
+    near = cells.select("iy", "ix", F.explode(around).alias("d")).select("iy", "ix", (F.col("iy") + F.col("d.dy")).alias("ny"), (F.col("ix") + F.col("d.dx")).alias("nx"))
+    set_ = cells.select(F.col("iy").alias("ny"), F.col("ix").alias("nx"))
+    return near.join(set_, ["ny", "nx"], "left_semi").groupBy("iy", "ix").agg(F.count("*").alias("degree"))

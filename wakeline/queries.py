@@ -529,6 +529,61 @@ def restored_routes(spark, sf_dir):
     return paths.routes(ends, size, RouteConfig(low_threshold=0.05, high_threshold=0.5)).drop("lat", "lon")
 
 
+@query(f"{TRK} select track_id, points_count from trk order by points_count desc, track_id limit 10 offset 20")
+def paged_tracks(spark, sf_dir):
+    rows = tracks(spark, sf_dir).select("track_id", "points_count", (-F.col("points_count")).alias("_o"))
+    return selection.page(rows, ["_o", "track_id"], 20, 10).drop("_o")
+
+
+@query(f"""{POS}, r as (select ship_id, seq, row_number() over (partition by ship_id order by "timestamp" desc, seq desc) place from pos) select ship_id, seq, cast(place as int) place from r where place<=3""")
+def latest_per_ship(spark, sf_dir):
+    return selection.latest_per(positions(spark, sf_dir).select("ship_id", "seq", "timestamp"), "ship_id", [F.desc("timestamp"), F.desc("seq")], 3).select("ship_id", "seq", "place")
+
+
+@query("select c_custkey ship_id, c_name mt_id from customer where c_nationkey=7 order by c_custkey limit 1")
+def find_ship(spark, sf_dir):
+    ships = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ship_id"), F.col("c_name").alias("mt_id"), F.col("c_nationkey").alias("flag"))
+    return selection.find_ship(ships, "flag", 7).select("ship_id", "mt_id")
+
+
+@query(f"{TRK}, {_COMP}, {_SUMMARY} select poi_id, count_total from pm where count_total>=5 order by count_total desc, poi_id limit 12")
+def labelled_pois(spark, sf_dir):
+    return selection.labelled_top(poi_summary(spark, sf_dir), 5, 12).select("poi_id", "count_total")
+
+
+@query(f"""{TRK} select track_id, min("timestamp") min_ts, max("timestamp") max_ts from pos where track_id in (select track_id from trk where points_count>=12) group by track_id""")
+def semi_join_ranges(spark, sf_dir):
+    wanted = tracks(spark, sf_dir).where("points_count >= 12").select("track_id")
+    rows = positions(spark, sf_dir).join(wanted, "track_id", "left_semi")
+    return rows.groupBy("track_id").agg(F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"))
+
+
+@query(f"""{POS} select seq, cast("timestamp"-coalesce(case when rot>0 then rot end,0) as bigint) event_ts, cast(make_timestamp(cast("timestamp"*1000000 as bigint)) as date)::varchar utc_day from pos""")
+def event_times(spark, sf_dir):
+    rows = positions(spark, sf_dir).withColumn("elapsed", F.when(F.col("rot") > 0, F.col("rot")))
+    return rows.select("seq", text.event_time("timestamp", "elapsed").alias("event_ts"), dates.utc_day("timestamp").cast("string").alias("utc_day"))
+
+
+@query(f"{POS} select seq, tile_z, round(lon-coalesce(w,1.0)/2,6) min_lon, round(lat+coalesce(w,1.0)*10/32,6) max_lat from (select *, case tile_z when 8 then 3.2 when 9 then 1.6 end::double w from pos)")
+def zone_rectangles(spark, sf_dir):
+    from .sources.dataset import zone_rectangles as rectangles
+
+    zones = positions(spark, sf_dir).select(F.col("seq").alias("zone_id"), "lat", "lon", F.col("tile_z").alias("zoom"), F.col("tile_z").cast("string").alias("name"))
+    out = rectangles(zones, {8: 3.2, 9: 1.6})
+    return out.select(F.col("zone_id").alias("seq"), F.col("name").cast("int").alias("tile_z"), F.round("min_lon", 6).alias("min_lon"), F.round("max_lat", 6).alias("max_lat"))
+
+
+@query("select event_type, arg_max(cast(extract(day from ts) as int), (value, -extract(day from ts))) best_epoch from events where event_type='click' group by 1")
+def best_epochs(spark, sf_dir):
+    history = _table(spark, sf_dir, "events").where("event_type = 'click'").select(F.day("ts").alias("epoch"), F.col("value").alias("val_iou"))
+    return metrics.best_epoch(history).select(F.lit("click").alias("event_type"), "best_epoch")
+
+
+@query(f"""{POS}, {_CELLS}, e as (select a.iy, a.ix from dc a join dc b on abs(a.iy-b.iy)<=1 and abs(a.ix-b.ix)<=1 and not (a.iy=b.iy and a.ix=b.ix)), d as (select iy, ix, count(*) degree from e group by 1,2) select least(degree,3) degree_class, count(*) cells from d group by 1""")
+def degree_classes(spark, sf_dir):
+    return rasters.degrees(density_cells(spark, sf_dir)).groupBy(F.least("degree", F.lit(3)).cast("long").alias("degree_class")).agg(F.count("*").alias("cells"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_heatmap(spark, sf_dir)
 
