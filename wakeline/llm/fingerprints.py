@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import documents
@@ -15,8 +16,6 @@ from .text import documents
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_123)
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Ranges of ids that neighbours are sought in; each takes one more row of text.
-RANGES_PER_TASK = 1
 
 _powers = [np.ones(1, np.int64) for _ in PRIMES]
 
@@ -108,6 +107,19 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
 
+def place_among(at: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above ``at``: first among every n-th, then among the n that follow it, n being the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    n = math.isqrt(len(cuts) - 1) + 1
+    whole = [cuts[k : k + n] for k in range(0, len(cuts), n)]
+    below = lambda among: F.size(F.filter(among, lambda c: c <= at))
+    listed = lambda some: F.array(*(F.lit(c).cast("long") for c in some))
+    block = below(listed([w[0] for w in whole]))
+    inner = F.get(F.array(*map(listed, whole)), block - 1)
+    return F.when(block > 0, (block - 1) * n + below(inner)).otherwise(0)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's.
 
@@ -125,7 +137,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cuts = ids.agg(F.percentile_approx("at", [k / many for k in range(1, many)] or [0.5], 10 * many)).first()[0] or []
     cuts = sorted(set(cuts))
     at = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    place = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= at)) if cuts else F.lit(0)
+    place = place_among(at, cuts)
     ranged = rows.withColumn("range", place.cast("int")).withColumn("last", F.lit(0))
     # the first row of each range goes to the range before it, too: a row per range
     firsts = ranged.groupBy("range").agg(F.min(at).alias("first")).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))

@@ -11,7 +11,7 @@ from .text import WORD, documents
 #: How often a document may be taken, and so a source's words against its size.
 REPEATS = 3
 #: Rows of one source and epoch that are queued together, about.
-QUEUE = 50_000
+QUEUE = 2_000
 
 
 def weights(place: Column) -> Column:
