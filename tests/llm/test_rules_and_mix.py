@@ -35,6 +35,17 @@ def test_fingerprints_equal_brute_force(spark, odd, none, texts):
     assert fp.fingerprints(none).count() == 0 and fp.fingerprints(odd.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_places_among_cuts(spark):
+    import bisect
+
+    random.seed(9)
+    rows = spark.range(-5, 130).select(F.col("id").alias("at"))
+    for n in (0, 1, 2, 5, 50):
+        cuts = sorted(random.sample(range(120), n))
+        got = rows.select("at", fp.place_among(F.col("at"), cuts).alias("p")).collect()
+        assert [r.p for r in got] == [bisect.bisect_right(cuts, r["at"]) for r in got]
+
+
 def test_spans_and_extensions():
     random.seed(1)
     for _ in range(100):
