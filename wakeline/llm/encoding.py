@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .text import held
+
 #: Entries of a worker's table, about 200 bytes each; a table that is full starts anew.
 KNOWN = 800_000
 #: Rows that are encoded together.
@@ -136,11 +138,6 @@ class Encoder:
                 yield some, np.frombuffer(last.join([*coded, b""]), np.uint32), ends
 
 
-_made: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    return held(f"encoder of {path}", "tool", lambda: Encoder(path))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans import materialize
 from ..plans.materialize import scratch_root
-from .text import CACHE, WordHashes, crc_fold, documents, mix, words
+from .text import CACHE, crc_fold, documents, held, mix, word_hashes, words
 
 #: The end of a text is a token of its own; no word is empty. A text's first word follows the start.
 END, START = b"", 0xFFFFFFFF
@@ -24,9 +24,6 @@ TOKENS = 1_000_000
 #: Documents for one shard of the model's arrays; shards are ranges of hashes.
 DOCS_PER_SHARD, MOST_SHARDS = 4_000, 4_096
 
-_hashes = WordHashes()
-
-
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Write whole and rename, so that a repeated task leaves the same file."""
     path = f"{folder}/{name}.{uuid.uuid4().hex}"
@@ -101,7 +98,7 @@ def _count_words(shards: int):
             counts: Counter[bytes] = Counter()
             for found in tokens:
                 counts.update(found)
-            keys, sums = _summed(_hashes.of(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+            keys, sums = _summed(word_hashes("lm").of(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
             yield _blobs(shards, keys, sums.astype(np.uint32))
 
     return run
@@ -174,7 +171,7 @@ class Arrays:
             if len(self.ids) + len(new) > CACHE:
                 self.ids.clear()
                 new = list(set(flat))
-            keys = _hashes.of(new)
+            keys = word_hashes("lm").of(new)
             order = np.argsort(keys)
             found = np.full(len(new), -1, np.int64)
             for s, which, at in self.places("words", keys[order]):
@@ -194,14 +191,15 @@ class Arrays:
         return out[back]
 
 
-_models: dict[str, Arrays] = {}
+def _arrays(folder: str, shards: int, bases: list[int]) -> Arrays:
+    model = held("lm", "arrays", lambda: Arrays(folder, shards, bases))
+    return model if model.folder == folder else _fresh(folder, shards, bases)
 
 
-def _arrays(folder: str, shards: int, bases: list[int]) -> Arrays:
-    if folder not in _models:
-        _models.clear()
-        _models[folder] = Arrays(folder, shards, bases)
-    return _models[folder]
+def _fresh(folder: str, shards: int, bases: list[int]) -> Arrays:
+    """The arrays of another model, in place of the last one's."""
+    held("", "", dict)
+    return held("lm", "arrays", lambda: Arrays(folder, shards, bases))
 
 
 def _history(ids: np.ndarray, tokens: list[list[bytes]]) -> np.ndarray:

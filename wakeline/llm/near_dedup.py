@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import connected_components, materialize
-from .text import WordHashes, documents, mix, shingles, words
+from .text import documents, mix, shingles, word_hashes, words
 
 #: A set's 128 minima make 25 bands of 5; at a similarity of 0.85 all bands miss once in two million pairs.
 PERMUTATIONS, BANDS, BAND_ROWS, BITS = 128, 25, 5, 4
@@ -50,18 +50,18 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
 
 
-_hashes = WordHashes()
 SKETCH = f"doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f'{x} long' for x in WORDS_OF_BITS)}"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = word_hashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
             n = some.num_rows
             size, digest, banded, bits = np.zeros(n, np.int64), np.zeros((2, n), np.int64), [], np.zeros((n, len(WORDS_OF_BITS)), np.int64)
             for k, text in enumerate(some.column("text").to_pylist()):
-                found = shingles(_hashes.of(words(text)))
+                found = shingles(hashes.of(words(text)))
                 size[k] = len(found)
                 if not len(found):
                     banded.append([])
@@ -191,10 +191,11 @@ def _confirmed(percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = word_hashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
-            found = [shingles(_hashes.of(words(t))).tobytes() for t in some.column("text").to_pylist()]
+            found = [shingles(hashes.of(words(t))).tobytes() for t in some.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("class", "rep", "blocks")), pa.array(found, pa.binary())], names=["class", "rep", "blocks", "found"])
 
 

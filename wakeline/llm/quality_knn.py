@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import crc_fold, documents
+from .text import crc_fold, documents, held
 
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
 SAMPLE = 4_000
@@ -43,9 +43,6 @@ class Terms(dict):
         return out
 
 
-_terms = Terms()
-
-
 def term_counts(text: str | None) -> dict[str, float]:
     """Weighted terms of a whole text: how its words look, which common words it has, how much it repeats itself.
 
@@ -53,12 +50,13 @@ def term_counts(text: str | None) -> dict[str, float]:
     that how much of a text is made of them shows beside whether it has any.
     """
     tokens = (text or "").encode().split()
+    known = held("terms", "terms", Terms)
     out: dict[str, float] = {"_": 1.0}
     if not tokens:
         return out | {"empty": 3.0}
     shapes: Counter[str] = Counter()
     for token, n in Counter(tokens).items():
-        word, form = _terms[token]
+        word, form = known[token]
         out[word] = out.get(word, 0.0) + n
         shapes[form] += n
     scale = 0.5 / log(1 + len(tokens))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import materialize
-from .text import WordHashes, documents, mix
+from .text import documents, mix, word_hashes
 
 #: Base rules: fewer words, or a larger share (percent) of words in repeated windows of 8, fail.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -23,9 +23,6 @@ LEFT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>, outline long"
 
-_hashes = WordHashes()
-
-
 def line_hash(words: list[bytes]) -> int:
     """Of a line as its words, A-Z lower-cased, one blank between: 60 bits of its md5. Case and spacing don't count."""
     return int(hashlib.md5(b" ".join(words).lower(), usedforsecurity=False).hexdigest()[:15], 16)
@@ -35,7 +32,7 @@ def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of 8 which the text holds more than once."""
     if len(words) <= WINDOW:
         return 0
-    one, n = _hashes.of(words), len(words) - WINDOW + 1
+    one, n = word_hashes().of(words), len(words) - WINDOW + 1
     window = np.zeros(n, np.uint64)
     for k in range(WINDOW):
         window = window * np.uint64(0x9E3779B97F4A7C15) + mix(one[k : k + n])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the ASCII blanks 0x20 and 0x09-0x0D; ``bytes.split`` cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a worker's word caches; a cache that is full starts anew.
-CACHE = 600_000
+CACHE = 400_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -34,6 +34,23 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+_held: dict[str, dict] = {}
+
+
+def held(user: str, name: str, make: Callable):
+    """A table that this process keeps between tasks. A worker serves one operator after another, so what another user held goes."""
+    if user not in _held:
+        _held.clear()
+    mine = _held.setdefault(user, {})
+    if name not in mine:
+        mine[name] = make()
+    return mine[name]
+
+
+def word_hashes(user: str = "words") -> WordHashes:
+    return held(user, "hashes", WordHashes)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers (the murmur3 one)."""
     x = x ^ (x >> np.uint64(33))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import CACHE, documents
+from .text import CACHE, documents, held
 
 
 class LongestMatch:
@@ -93,13 +93,8 @@ def load_pieces(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
-_made: dict[tuple, LongestMatch] = {}
-
-
 def automaton(path: str) -> LongestMatch:
-    if path not in _made:
-        _made[path] = LongestMatch(load_pieces(path))
-    return _made[path]
+    return held(f"automaton of {path}", "tool", lambda: LongestMatch(load_pieces(path)))
 
 
 def _count(path: str):
