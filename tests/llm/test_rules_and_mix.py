@@ -93,6 +93,16 @@ def test_lines_of_many_documents_go_but_copies_stay(spark):
     assert out.keys() == {k for k, r in got.items() if r.kept}
 
 
+def test_documents_that_share_their_least_line_are_counted_apart(spark):
+    lines = sorted(("one header of this host", "another footer of this host"), key=lambda x: quality_rules.line_hash(x.encode().split()))
+    words = lambda k: next(t for j in range(10_000) if quality_rules.line_hash((t := " ".join(f"d{k}n{j}m{i}" for i in range(40))).encode().split()) > top)
+    top = quality_rules.line_hash(lines[0].encode().split())
+    rows = [(k, "\n".join([*lines, words(k)]), "h") for k in range(12)] + [(50 + k, "\n".join([*lines, words(99)]).upper(), "g") for k in range(12)]
+    got = {r.doc_id: r.removed for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    both = {quality_rules.line_hash(x.encode().split()) for x in lines}
+    assert all(set(got[k] or ()) == both for k in range(12)) and all(got[50 + k] is None for k in range(12))
+
+
 def brute_targets(sizes, weights, repeats=3):
     left, open_, out = float(sum(sizes)), set(range(len(sizes))), {}
     while open_:

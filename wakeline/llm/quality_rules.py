@@ -21,7 +21,7 @@ LINE_DOCUMENTS = 10
 #: A document with a smaller share (percent) of its words left without such lines is depleted.
 LEFT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>, outline long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>, digest long"
 
 def line_hash(words: list[bytes]) -> int:
     """Of a line as its words, A-Z lower-cased, one blank between: 60 bits of its md5. Case and spacing don't count."""
@@ -50,24 +50,26 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """Counts of one text, its distinct lines' hashes with the words of all their occurrences, and the least hash."""
+    """Counts of one text, its distinct lines' hashes with the words of all their occurrences, and a digest of all its lines in order."""
     raw = (text or "").encode()
     every: list[bytes] = []
     seen: set[bytes] = set()
     counts: Counter[int] = Counter()
+    whole = hashlib.md5(usedforsecurity=False)
     duplicates = 0
     for line in raw.split(b"\n"):
         if words := line.split():
             every += words
             duplicates += line in seen
             seen.add(line)
-            counts[line_hash(words)] += len(words)
+            counts[one := line_hash(words)] += len(words)
+            whole.update(one.to_bytes(8))
     chars = sum(len(w) for w in every)
     if not raw.isascii():
         joined = np.frombuffer(b"".join(every), np.uint8)
         chars = int(((joined & 0xC0) != 0x80).sum())
     symbols = sum(raw.count(SYMBOLS[k : k + 1]) for k in range(len(SYMBOLS)))
-    return len(every), chars, symbols, duplicates, repeated_words(every), list(counts), list(counts.values()), min(counts, default=0)
+    return len(every), chars, symbols, duplicates, repeated_words(every), list(counts), list(counts.values()), int.from_bytes(whole.digest()[:8], signed=True)
 
 
 def _measured(kept: list[str]):
@@ -88,9 +90,9 @@ def judge(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, left_percent: i
     """A row for each row of ``docs``: the counts, ``base_failed``, ``kept`` and ``removed``, the hashes of its boilerplate lines.
 
     A line (its words in lower case) is counted once for each different
-    document of the host (``source``); copies of a document, which share their
-    least line hash, count as one, so a group of copies isn't boilerplate to
-    itself. Lines above the limit are removed; a document that keeps too small
+    document of the host (``source``); copies of a document, which have the
+    same lines in the same order, count as one by a digest of them all, so a
+    group of copies isn't boilerplate to itself. Lines above the limit are removed; a document that keeps too small
     a share of its words is rejected. Counting is a partial aggregate by host
     and line, so neither a large host nor a common line gathers in one task.
 
@@ -101,14 +103,14 @@ def judge(docs: DataFrame, line_documents: int = LINE_DOCUMENTS, left_percent: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("\0")).alias("host"), "text")
     measured = rows.mapInArrow(_measured(["doc_id", "host"]), f"doc_id long, host string, {MEASURES}")
     measured = materialize(measured, "measured")
-    lines = measured.select("doc_id", "host", "outline", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-    lines = lines.select("doc_id", "host", "outline", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    once = lines.select("host", "line", "outline").distinct()
+    lines = measured.select("doc_id", "host", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    lines = lines.select("doc_id", "host", "digest", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    once = lines.select("host", "line", "digest").distinct()
     common = once.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_documents).select("host", "line")
-    removed = lines.join(common, ["host", "line"]).groupBy("doc_id", "host", "outline").agg(F.collect_set(F.struct("line", "words")).alias("found"))
+    removed = lines.join(common, ["host", "line"]).groupBy("doc_id", "host", "digest").agg(F.collect_set(F.struct("line", "words")).alias("found"))
     removed = removed.withColumns({"gone": F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + x["words"]), "removed": F.col("found.line")})
-    removed = removed.withColumnsRenamed({"doc_id": "_id", "host": "_host", "outline": "_outline"})
-    out = measured.join(removed, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("host") == F.col("_host")) & (F.col("outline") == F.col("_outline")), "left")
+    removed = removed.withColumnsRenamed({"doc_id": "_id", "host": "_host", "digest": "_digest"})
+    out = measured.join(removed, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("host") == F.col("_host")) & (F.col("digest") == F.col("_digest")), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - F.coalesce("gone", F.lit(0))) < left_percent * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed")
