@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from wakeline.llm import language_id, mixing, near_dedup, quality_rules
+from wakeline.llm import language_id, mixing, near_dedup, quality_rules, stages
 from wakeline.plans import materialize
 
 
@@ -31,3 +31,19 @@ def test_odd_rows_pass_through(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() >= 0
+
+
+def test_near_copies_above_80_percent_go(spark):
+    """Of 100 words, 96 shingles each: a changed word costs 5, so 91 / 101 and 86 / 106 (0.81) go, 81 / 111 (0.73) stays."""
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(f"x{k}" if k in changed else w for k, w in enumerate(base)) for changed in ((), (20, 60), (20, 50, 80))]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in stages.dedup(spark, docs.where("doc_id < 2"), "").collect()} == {0}
+    assert {r.doc_id for r in stages.dedup(spark, docs.where("doc_id <> 1"), "").collect()} == {0, 2}
+
+
+def test_bands_follow_the_limit():
+    assert near_dedup.band_rows(85) == 5 and near_dedup.band_rows(80) == 4
+    for percent in range(30, 100, 5):
+        rows = near_dedup.band_rows(percent)
+        assert rows == 1 or (1 - (percent / 100) ** rows) ** (near_dedup.PERMUTATIONS // rows) <= near_dedup.MISSES

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..plans import connected_components, materialize
 from .text import documents, mix, shingles, word_hashes, words
 
-#: A set's 128 minima make 25 bands of 5; at a similarity of 0.85 all bands miss once in two million pairs.
-PERMUTATIONS, BANDS, BAND_ROWS, BITS = 128, 25, 5, 4
+#: A set's 128 minima make bands of 5, or of fewer where a lower limit needs that; at a similarity of 0.85 all 25 bands of 5 miss once in two million pairs.
+PERMUTATIONS, BAND_ROWS, BITS = 128, 5, 4
+#: All bands may miss a pair at the limit as often as this at most.
+MISSES = 1e-6
 #: Links need 100 * intersection >= 85 * union; estimates may lie five deviations below.
 PERCENT, DEVIATIONS = 85, 5.0
 #: Rows of a block in comparisons within a bucket or group.
@@ -36,10 +38,17 @@ def minima(found: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands(low: np.ndarray) -> np.ndarray:
-    grouped = low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(BAND_ROWS):
+def band_rows(percent: int = PERCENT) -> int:
+    """The most minima in a band, ``BAND_ROWS`` at most, with which a pair at the limit is missed seldom enough."""
+    missed = lambda r: (1 - (percent / 100) ** r) ** (PERMUTATIONS // r)
+    return next((r for r in range(BAND_ROWS, 1, -1) if missed(r) <= MISSES), 1)
+
+
+def bands(low: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
+    many = PERMUTATIONS // rows
+    grouped = low[: many * rows].reshape(many, rows).astype(np.uint64)
+    out = np.arange(1, many + 1, dtype=np.uint64)
+    for k in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + grouped[:, k])
     return out.view(np.int64)
 
@@ -53,25 +62,30 @@ def packed(low: np.ndarray) -> np.ndarray:
 SKETCH = f"doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f'{x} long' for x in WORDS_OF_BITS)}"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = word_hashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            n = some.num_rows
-            size, digest, banded, bits = np.zeros(n, np.int64), np.zeros((2, n), np.int64), [], np.zeros((n, len(WORDS_OF_BITS)), np.int64)
-            for k, text in enumerate(some.column("text").to_pylist()):
-                found = shingles(hashes.of(words(text)))
-                size[k] = len(found)
-                if not len(found):
-                    banded.append([])
-                    continue
-                digest[:, k] = found.sum(dtype=np.uint64).view(np.int64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)
-                low = minima(found)
-                banded.append(bands(low))
-                bits[k] = packed(low)
-            columns = [some.column("doc_id"), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), pa.array(banded, pa.list_(pa.int64())), *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
+def _sketched(band: int):
+    """Sizes, digests, bands of so many minima and low bits of the texts' shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                n = some.num_rows
+                size, digest, banded, bits = np.zeros(n, np.int64), np.zeros((2, n), np.int64), [], np.zeros((n, len(WORDS_OF_BITS)), np.int64)
+                for k, text in enumerate(some.column("text").to_pylist()):
+                    found = shingles(hashes.of(words(text)))
+                    size[k] = len(found)
+                    if not len(found):
+                        banded.append([])
+                        continue
+                    digest[:, k] = found.sum(dtype=np.uint64).view(np.int64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)
+                    low = minima(found)
+                    banded.append(bands(low, band))
+                    bits[k] = packed(low)
+                columns = [some.column("doc_id"), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), pa.array(banded, pa.list_(pa.int64())), *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
+
+    return run
 
 
 def least_matches(percent: int = PERCENT, deviations: float = DEVIATIONS) -> int:
@@ -222,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     limit = least_matches(percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches")
+    sketches = materialize(rows.mapInArrow(_sketched(band_rows(percent)), SKETCH), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copies = materialize(classes, "classes")

@@ -11,6 +11,8 @@ from . import language_id, mixing, near_dedup, packing, quality_rules
 
 #: Below this many ids (16 bytes each) a list of ids is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Near duplicates of a corpus share 80 % of their shingles; op1's limit of 85 % is its query's own.
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least id."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     gone = materialize(gone, "gone")
     listed = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(listed, F.col("doc_id") == F.col("_id"), "left_anti")
