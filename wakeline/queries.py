@@ -525,8 +525,7 @@ def restored_routes(spark, sf_dir):
     size = 32
     made = _examples(spark, sf_dir, GridConfig(grid_size=size, cell_m=10_000.0, n_anchor=1, gaps_min_points=1, gaps_max_points=3))
     made = paths.scored(made, paths.smoothing_scorer(size))
-    ends = made.withColumns({"idx": F.xxhash64("track_id", "s"), "start_y": F.lit(4), "start_x": F.lit(4), "end_y": F.lit(size - 5), "end_x": F.lit(size - 5)})
-    return paths.routes(ends, size, RouteConfig(low_threshold=0.05, high_threshold=0.5)).drop("lat", "lon")
+    return paths.routes(made.withColumn("idx", F.xxhash64("track_id", "s")), size, RouteConfig(low_threshold=0.05, high_threshold=0.5)).drop("lat", "lon")
 
 
 @query(f"{TRK} select track_id, points_count from trk order by points_count desc, track_id limit 10 offset 20")
