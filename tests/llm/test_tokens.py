@@ -8,17 +8,20 @@ import pytest
 from tokenizers import Tokenizer
 
 from wakeline.llm import encoding, packing, token_files, wordpiece
+from wakeline.llm.text import sliced
 
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-TRICKY = ["", " ", "a", " a", "a ", "\n", " \n x", "x\n y", "x \ny", "a\n\n b", "don't it's", "x  y", "a <|endoftext|> b", "É́ Σας ΟΔΟΣ ", "12 345,6. 7!!", "a b  c", "trail\n", "x.\nY!!\n\nz", "!!! ??", "x'!! y's.", None, "\0a b", "a \0", "a  b", "a  b"]
+TRICKY = ["", " ", "a", " a", "a ", "\n", " \n x", "x\n y", "x \ny", "a\n\n b", "don't it's", "x  y", "a <|endoftext|> b", "É́ Σας ΟΔΟΣ ", "12 345,6. 7!!", "a b  c", "trail\n", "first line\n\xa0 second", " x \u0130, y \u0130. z", "\t\r\n x\x85y", "  lead", "end  ", "x.\nY!!\n\nz", "!!! ??", "x'!! y's.", None, "\0a b", "a \0", "a  b", "a  b"]
+
+SIGNS = [*"abxyZ,.!'\"-0 7\n\t\r ", "  ", "\n\n", *"\xa0\u3000\u2028\u2003\x85\u0130\u0131\xe9\u0301\u0327\u03a3\u03c2\xdf\u1e9e\u01c5\xaa\u6f22\ud55c\u1100\u1161\u0958\u093c\u200b\ufeff\u180e\x1c\x1f\0\1\xb2\xbd\u2167\u0663\u2026\u201c\xad\u0345\u212b\ufffd", "e\u0301", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'ll", "don't", "the", "word "]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_encoder_equals_the_library(path, texts, monkeypatch):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    every = TRICKY + list(texts.values())
-    for most in (encoding.KNOWN, 50):
+    random.seed(11)
+    every = TRICKY + list(texts.values()) + ["".join(random.choice(SIGNS if random.random() < 0.5 else "abc d") for _ in range(random.randrange(1, 14))) for _ in range(20_000)]
+    for most in (encoding.KNOWN, 50):  # ids are the library's, called with no flag set
         monkeypatch.setattr(encoding, "KNOWN", most)
         tool, got = encoding.Encoder(path), []
         for _, ids, ends in tool.groups(iter([pa.record_batch([pa.array(every)], names=["text"])]), 9):
@@ -27,9 +30,46 @@ def test_encoder_equals_the_library(path, texts, monkeypatch):
         assert [g.tolist() for g in got] == want
 
 
-def test_files_round_trip(spark, odd, none, tmp_path):
+def test_strings_of_special_tokens_can_be_ordinary_text():
     plain = Tokenizer.from_file(BYTES)
     plain.encode_special_tokens = True
+    text = "a <|endoftext|> b"
+    asked, given = encoding.Encoder(BYTES, special=False), encoding.Encoder(BYTES)
+    assert np.frombuffer(asked.encode([text])[0], np.uint32).tolist() == plain.encode(text).ids
+    assert np.frombuffer(given.encode([text])[0], np.uint32).tolist() == [64, 220, 50256, 275]
+
+
+def test_long_words_are_not_kept():
+    tool = encoding.Encoder(WORDS)
+    tool.encode([f"{'y' * 100_000} {'x' * 65} short"])
+    assert set(tool.known) == {"\0", "short"}
+
+
+def test_slices_are_bounded_by_bytes():
+    batch = pa.record_batch([pa.array(["a" * 40, None, "b" * 500, "c", "d" * 90, "é" * 10])], names=["text"])
+    assert [s.num_rows for s in sliced(iter([batch, batch.slice(0, 0)]), 3, 100)] == [2, 1, 2, 1]
+
+
+def test_selected_documents_skip_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(token_files.FILE_OPTIONS, "parquet.block.size", str(16 << 10))
+    docs = spark.range(0, 4000).selectExpr("id doc_id", "concat('text ', repeat(md5(cast(id as string)), 4)) text").coalesce(1)
+    out = str(tmp_path / "t")
+    token_files.write_token_files(docs, out, BYTES)
+    every = {r.doc_id: (r.start, r.ids) for r in token_files.read_token_files(spark, out).collect()}
+    some = token_files.read_token_files(spark, out, 7, 3999)
+    assert {r.doc_id: (r.start, r.ids) for r in some.collect()} == {k: every[k] for k in (7, 3999)}
+    scan = spark.read.schema(token_files.SCHEMA).parquet(out).where("doc_id in (7, 3999)").select("doc_id")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    assert "PushedFilters: [In(doc_id, [" in scan._jdf.queryExecution().executedPlan().toString()
+    groups = [pq.ParquetFile(f).metadata.row_group(g).column(1) for f in tmp_path.glob("t/part-*") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    hit = [g for g in groups if g.path_in_schema == "doc_id" and any(g.statistics.min <= k <= g.statistics.max for k in (7, 3999))]
+    assert len(hit) == 2 and len(groups) > 4 and all(g.has_offset_index for g in groups)
+
+
+def test_files_round_trip(spark, odd, none, tmp_path):
+    plain = Tokenizer.from_file(BYTES)
     token_files.write_token_files(odd.unionByName(odd), str(tmp_path / "t"), BYTES)
     rows = token_files.read_token_files(spark, str(tmp_path / "t")).collect()
     rows.sort(key=lambda r: r.start)

@@ -3,115 +3,166 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from .text import held
-
-#: Entries of a worker's table, about 200 bytes each; a table that is full starts anew.
-KNOWN = 800_000
-#: Rows that are encoded together.
-ROWS = 500
-#: Marks what has no space before it.
-FIRST = "\0"
-#: ASCII marks that end many words; together they are a run that either tokenizer cuts from letters before it.
+from .text import held, sliced
+
+#: Entries of a worker's table, of parts of at most ``LONGEST`` characters; a table that is full starts anew.
+KNOWN, LONGEST = 600_000, 64
+#: Rows, and about so many bytes, that are encoded together.
+ROWS, CHARACTERS = 500, 4_000_000
+#: Marks a part that has no space before it; also stands between parts that are encoded in one call.
+FIRST, BETWEEN = "\0", "\1"
+#: What both vocabularies' patterns take as a blank, but for the space and the line end.
+BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters that other tools take for blanks, or that mark parts here: texts with one go to the library whole.
+ODD = "\0\1\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"
+#: ASCII marks that end many words; after a letter, a run of these is cut from it by both patterns.
 TAIL = "!#$%&*,.:;?|"
-#: Letters up to here are letters to every Unicode table in use.
-OLD_LETTERS = "ɐ"
+#: Letters up to here are letters to every Unicode table in use, and so are their lower cases, but for one.
+OLD_LETTERS, DOTTED = "\u0250", "\u0130"
+_RUN = re.compile(f"([ \\n{BLANKS}]{{2,}}|[\\n{BLANKS}])")
+_BLANK = re.compile(f"[ \\n{BLANKS}]")
 
 
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts, as the library gives them.
 
-    Both tokenizers here cut a text before each space that stands between two
-    other characters, and encode what lies between two cuts alone. So a text is
-    cut there, a part into words and marks, and each distinct one is encoded
-    once per worker; new words go to the library as one text, whose ids are cut
-    again where words begin or end. Texts with two spaces in a row go to it
-    whole. Strings of special tokens in a text are ordinary text. Memory: a
-    table of at most ``KNOWN`` entries, and one group of texts.
+    Texts are cut only where the pattern of the vocabulary cuts in any
+    surroundings, so that what lies between two cuts has the same ids alone:
+
+    * words with ends (``</w>``): blanks divide words and have no ids, so any
+      run of blanks is a cut;
+    * bytes with spaces: before a space that another character than a blank
+      follows, as that space belongs to the word; and around a run of blanks
+      before it, or before its last blank if that is no space.
+
+    Each distinct part is encoded once per worker, new parts in one call whose
+    ids are cut again at what stands between them. A text that holds the string
+    of a special token, or a character that tools take for a blank differently,
+    goes to the library whole. ``special=False`` reads such strings as ordinary
+    text. Memory: at most ``KNOWN`` parts of ``LONGEST`` characters, and one
+    group of texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         vocabulary = self.library.get_vocab()
         self.ends = any(t.endswith("</w>") for t in vocabulary)
-        #: By id: whether a token ends a word, or begins one, as the kind of vocabulary shows it.
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
+        #: By id: whether a token ends a word, or begins with the space before one, as the kind of vocabulary shows it.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("\u0120"))]] = True
-        self.known: dict[str, bytes] = {}
+        self.mark = np.frombuffer(self._plain([BETWEEN if self.ends else "\n"])[0], np.uint32)
+        self.known: dict[str, bytes] = {FIRST: b""}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, atoms: list[str]) -> list[bytes]:
-        """Ids of words of letters, each after a space, from one call."""
-        ids = np.asarray(self.library.encode_batch_fast(["".join(atoms)], add_special_tokens=False)[0].ids, np.uint32)
-        at = np.flatnonzero(self.edge[ids])
-        cuts = np.append(0, at + 1) if self.ends else np.append(at, len(ids))
-        if len(cuts) != len(atoms) + 1 or cuts[0] or cuts[-1] != len(ids):
-            return self._plain(atoms)
-        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    def _joined(self, texts: list[str], text: str, edge: np.ndarray | None = None) -> list[bytes]:
+        """Ids of the texts that ``text`` joins, from one call and cut where ``edge`` ids begin or end a text, or at line ends or marks between; from a call for each should these not be found."""
+        ids = np.frombuffer(self._plain([text])[0], np.uint32)
+        joints = np.flatnonzero(ids == self.mark[0] if edge is None else edge[ids])
+        if edge is None:
+            begin, end = np.append(0, joints + 1), np.append(joints, len(ids))
+        elif self.ends:
+            begin, end = np.append(0, joints[:-1] + 1), joints + 1
+        else:
+            begin, end = joints, np.append(joints[1:], len(ids))
+        if len(begin) != len(texts) or begin[0] or end[-1] != len(ids):
+            return self._plain(texts)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)]
+
+    def _coded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Parts with their ids, from few calls."""
+        if self.ends:
+            # one word each: letters that stay letters in lower case
+            words = [p for p in parts if p.isalpha() and max(p) < OLD_LETTERS and DOTTED not in p]
+            if words:
+                yield from zip(words, self._joined(words, " ".join(words), self.edge), strict=True)
+            if rest := list(set(parts).difference(words)):
+                yield from zip(rest, self._joined(rest, f" {BETWEEN} ".join(rest)), strict=True)
+            return
+        first = [p for p in parts if p[:1] == FIRST and not _BLANK.search(p)]
+        after = [p for p in parts if p and p[0] != FIRST]
+        if first:
+            yield from zip(first, self._joined(texts := [p[1:] for p in first], "\n".join(texts)), strict=True)
+        if after:
+            yield from zip(after, self._joined(texts := [" " + p for p in after], "".join(texts), self.edge), strict=True)
+        if rest := [p for p in parts if not p or p[0] == FIRST and _BLANK.search(p)]:
+            yield from zip(rest, self._plain([p[1:] if p else " " for p in rest]), strict=True)
 
-    @staticmethod
-    def _cut(part: str) -> list[str]:
-        """Cut a part at single line ends within it and before the marks that end a word."""
-        if part.isalpha():
-            return [part]
-        out: list[str] = []
-        pieces = part.split("\n") if "\n" in part and part[0] != "\n" and part[-1] != "\n" and "\n\n" not in part and FIRST + "\n" not in part else [part]
-        for k, piece in enumerate(pieces):
-            if k:
-                out.append(FIRST + "\n")
-                piece = FIRST + piece
-            base = piece.rstrip(TAIL)
-            if len(base) < len(piece) and base[-1:].isalpha() and base[-1] < OLD_LETTERS:
-                out += [base, FIRST + piece[len(base) :]]
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts that aren't in the table. Marks after an ASCII letter are runs of their own to both patterns, so words and marks are learnt apart; of such a part the whole is kept where its word was known before, as rare words rarely come with the same mark again."""
+        known, cut, atoms = self.known, {}, set()
+        mark = "" if self.ends else FIRST
+        for part in new:
+            if not part.isalpha() and (base := part.rstrip(TAIL)) != part and base[-1:].isascii() and base[-1:].isalpha():
+                cut[part] = base, mark + part[len(base) :]
+                atoms.update(cut[part])
             else:
-                out.append(piece)
+                atoms.add(part)
+        unknown = [a for a in atoms if a not in known]
+        found = dict(self._coded(unknown))
+        out = {part: found[part] for part in new if part not in cut}
+        for part, (base, marks) in cut.items():
+            had = base in known
+            out[part] = (known[base] if had else found[base]) + (found[marks] if marks in found else known[marks])
+            if had and len(part) <= LONGEST:
+                found[part] = out[part]
+        known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
         return out
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of parts that aren't in the table. Their words and marks are kept; a part of several is kept where its word was known before, as rare words rarely come with the same mark again."""
-        known = self.known
-        cut = {part: self._cut(part) for part in new}
-        unknown = {a for atoms in cut.values() for a in atoms if a not in known}
-        keep = [part for part, atoms in cut.items() if len(atoms) > 1 and unknown.isdisjoint(atoms)]
-        words = [a for a in unknown if a.isalpha() and max(a) < OLD_LETTERS]
-        rest = list(unknown.difference(words))
-        if words:
-            known.update(zip(words, self._words([" " + a for a in words]), strict=True))
-        if rest:
-            known.update(zip(rest, self._plain([a[1:] if a[:1] == FIRST else " " + a for a in rest]), strict=True))
-        get = known.__getitem__
-        out = {part: b"".join(map(get, atoms)) for part, atoms in cut.items()}
-        known.update((part, out[part]) for part in keep)
+    def parts(self, text: str) -> list[str] | None:
+        """What a text is cut into, or nothing where it must stay whole."""
+        plain = text.isascii()
+        if any(x in text for x in self.specials) or any(x in text for x in (ODD[:6] if plain else ODD)):
+            return None
+        if self.ends:
+            return text.split()
+        if "\n\n" in text or " \n" in text or "\n " in text or "  " in text or any(b in text for b in (BLANKS[:4] if plain else BLANKS)):
+            return self._runs(text)
+        out = text.replace("\n", f" {FIRST}\n {FIRST}").split(" ")
+        # what comes first has no space before it
+        out[0] = FIRST + out[0]
+        return out
+
+    @staticmethod
+    def _runs(text: str) -> list[str]:
+        """The parts of a text with runs of blanks: a run stands alone at the end; before a word its last blank goes with the word if it is a space, and stands alone if not."""
+        out: list[str] = []
+        pieces, first = _RUN.split(text), FIRST
+        for k, piece in enumerate(pieces):
+            if k % 2 == 0:
+                if piece:
+                    out += (first + piece).split(" ")
+                continue
+            head, last = (piece[:-1], piece[-1]) if pieces[k + 1] else (piece, "")
+            out += [FIRST + x for x in (head, last.strip(" ")) if x]
+            first = "" if last == " " else FIRST
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         if len(self.known) > KNOWN:
-            self.known.clear()
+            self.known = {FIRST: b""}
         get, wait, new = self.known.get, [], set()
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if "  " in text or FIRST in text:
+            parts = self.parts(text)
+            if parts is None:
                 out[k] = self._plain([text])[0]
                 continue
-            parts = text.split(" ")
-            # what comes first has no space before it
-            if parts[0]:
-                parts[0] = FIRST + parts[0]
-            else:
-                del parts[0]
             found = list(map(get, parts))
             if None in found:
                 lacks = [j for j, f in enumerate(found) if f is None]
@@ -130,14 +181,12 @@ class Encoder:
     def groups(self, batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Slices of batches with all ids of their column ``text`` in a row, ``end`` after each text, and where each text ends."""
         last = np.uint32(end).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                coded = self.encode(some.column("text").to_pylist())
-                ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1)
-                yield some, np.frombuffer(last.join([*coded, b""]), np.uint32), ends
+        for some in sliced(batches, ROWS, CHARACTERS):
+            coded = self.encode(some.column("text").to_pylist())
+            ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1)
+            yield some, np.frombuffer(last.join([*coded, b""]), np.uint32), ends
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    return held(f"encoder of {path}", "tool", lambda: Encoder(path))
+    return held(f"encoder of {path}, {special}", "tool", lambda: Encoder(path, special))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,20 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and about so many bytes of ``text``; a longer text is a slice of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def rows(make: Callable[..., dict | None], *names: str, out: pa.Schema, keep: int = 2_000) -> Callable:
     """An Arrow loop that gives ``make`` each row's ``names`` and gathers what it returns."""
 

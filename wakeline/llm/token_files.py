@@ -10,16 +10,17 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.materialize import scratch_root
-from ..plans.prefix import add_part_base
 from .encoding import encoder
 from .text import documents
 
 END = 2
+#: Where a folder of token files keeps its table of files; readers of the folder pass over it.
+PARTS = "_parts"
 SCHEMA = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
@@ -34,10 +35,10 @@ SCHEMA = T.StructType(
 FILE_OPTIONS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "compression": "zstd"}
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        for some, ids, ends in encoder(path).groups(batches, end):
+        for some, ids, ends in encoder(path, special).groups(batches, end):
             sizes = np.diff(ends, prepend=0)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), some.column("doc_id").cast(pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), lists], names=SCHEMA.names)
@@ -46,22 +47,41 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_token_files(docs: DataFrame, out: str, path: str, end: int = END) -> None:
+def write_token_files(docs: DataFrame, out: str, path: str, end: int = END, special: bool = True) -> None:
     """Encode every whole text (null: empty), add ``end`` and write ids by ascending ``doc_id``.
 
     File k holds the k-th range of ids. A text is read once more for the range
-    bounds, shuffled once and encoded after that. Rows with the same id stand
-    side by side; a null id comes first. An empty table writes no rows.
+    bounds, shuffled once and encoded after that. A folder ``_parts`` beside the
+    files has, for each, its range of ids and the tokens before it, a row per
+    file, so that a reader of a few documents need not add up all files.
+    ``special=False`` reads the strings of special tokens as ordinary text.
+
+    Rows with the same id, repeated rows among them, stand side by side by
+    text; a null id comes first. Other columns are ignored, whatever their
+    names. An empty table writes no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_encode(path, end), SCHEMA).write.options(**FILE_OPTIONS).parquet(out)
+    rows.mapInArrow(_encode(path, end, special), SCHEMA).write.options(**FILE_OPTIONS).parquet(out)
+    files = docs.sparkSession.read.schema(SCHEMA).parquet(out)
+    parts = files.groupBy("part").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n_tokens").alias("tokens"))
+    ahead = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts.withColumn("base", F.coalesce(ahead, F.lit(0))).coalesce(1).write.parquet(f"{out}/{PARTS}")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files as a table; ``start`` is the sum of all tokens before a document."""
+def read_token_files(spark: SparkSession, path: str, *wanted: int) -> DataFrame:
+    """The files as a table; ``start`` is the sum of all tokens before a document.
+
+    With ``wanted`` ids only those documents are read: the predicate reaches
+    the files, whose row groups and pages are sorted by id, and ``start`` comes
+    from the table of parts.
+    """
     files = spark.read.schema(SCHEMA).parquet(path)
-    return add_part_base(files, "n_tokens", "part_start", "part", "start")
+    if wanted:
+        files = files.where(F.col("doc_id").isin(*wanted))
+    parts = spark.read.schema("part int, base long").parquet(f"{path}/{PARTS}").select(F.col("part").alias("_part"), F.col("base").alias("_base"))
+    found = files.join(F.broadcast(parts), F.col("part") == F.col("_part"))
+    return found.withColumn("start", F.col("_base") + F.col("part_start")).drop("_part", "_base")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
