@@ -93,14 +93,27 @@ def test_lines_of_many_documents_go_but_copies_stay(spark):
     assert out.keys() == {k for k, r in got.items() if r.kept}
 
 
-def test_documents_that_share_their_least_line_are_counted_apart(spark):
-    lines = sorted(("one header of this host", "another footer of this host"), key=lambda x: quality_rules.line_hash(x.encode().split()))
-    words = lambda k: next(t for j in range(10_000) if quality_rules.line_hash((t := " ".join(f"d{k}n{j}m{i}" for i in range(40))).encode().split()) > top)
-    top = quality_rules.line_hash(lines[0].encode().split())
-    rows = [(k, "\n".join([*lines, words(k)]), "h") for k in range(12)] + [(50 + k, "\n".join([*lines, words(99)]).upper(), "g") for k in range(12)]
-    got = {r.doc_id: r.removed for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    both = {quality_rules.line_hash(x.encode().split()) for x in lines}
-    assert all(set(got[k] or ()) == both for k in range(12)) and all(got[50 + k] is None for k in range(12))
+def test_documents_of_a_line_are_counted_apart_whatever_its_hash(spark):
+    """300 documents share a line and differ in the others: it goes from all, be its key the least or the greatest of the host's."""
+    words = lambda k: " ".join(f"d{k}n{i}" for i in range(30))
+    key = lambda line: quality_rules.line_key(b"h", line.encode().split())
+    tried = sorted((f"header number {k} of this host" for k in range(2000)), key=key)
+    for line in (tried[0], tried[-1]):
+        rows = [(k, f"{line}\n{words(k)}", "h") for k in range(300)] + [(1000 + k, f"{tried[1]}\n{words(k)}".upper(), "g") for k in [7] * 12]
+        got = {r.doc_id: r.removed for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert all(got[k] == [key(line)] for k in range(300)) and got[1007] is None
+
+
+def test_both_ways_of_cleaning_agree(spark, odd, none, monkeypatch):
+    """Lines known to all workers, or verdicts that are joined; with columns that bear the names used inside."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(k % 50, f"one line of all\n{words(k % 60, 40)}\nEND of page", "h", k) for k in range(90)] + [(None, f"one line of all\n{words(3, 30)}", "h", 1), (5, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("_id", "id", "host", "kept", "_kept", "removed", "_removed", "text_hash", "Of", "at", "lines", "digest")})
+    few = [sorted(map(str, quality_rules.keep_good(d).collect())) for d in (docs, odd, none)]
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)
+    many = [sorted(map(str, quality_rules.keep_good(d).collect())) for d in (docs, odd, none)]
+    assert few == many and len(few[0]) == 91 and "one line of all" not in "".join(few[0]) and few[1] == few[2] == []
+    assert quality_rules.keep_good(docs.drop("n_chars")).count() == 91
 
 
 def brute_targets(sizes, weights, repeats=3):

@@ -42,10 +42,10 @@ select doc_id, cast(size as bigint) size, source_size, target, cast(sum(case whe
 OP7 = rf"""
 with l as (select doc_id, coalesce(source, chr(0)) host, text, unnest(string_split(coalesce(text,''), chr(10))) line, unnest(range(len(string_split(coalesce(text,''), chr(10))))) pos from documents),
 lw as (select *, regexp_extract_all(line, '{_BLANKS}') w from l),
-ln as (select *, cast('0x'||md5({_LOW.format("array_to_string(w, ' ')")})[1:15] as bigint) h from lw where len(w)>0),
-ol as (select doc_id, host, min(h) outline from ln group by all),
+ln as (select *, {_LOW.format("array_to_string(w, ' ')")} h from lw where len(w)>0),
+ol as (select doc_id, host, md5(string_agg(h, chr(10) order by pos)) contents from ln group by all),
 dup as (select doc_id, count(*)-count(distinct line) n_dup_lines from ln group by 1),
-freq as (select host, h from (select distinct ln.host, h, outline from ln join ol using (doc_id, host)) group by all having count(*)>10),
+freq as (select ln.host, h from ln join ol using (doc_id, host) group by all having count(distinct contents)>10),
 gone as (select doc_id, sum(len(w)) gone from ln semi join freq using (host, h) group by 1),
 t as (select doc_id, regexp_extract_all(coalesce(text,''), '{_BLANKS}') w, len(regexp_replace(coalesce(text,''), '[^#*$%&|<>]', '', 'g')) n_symbols, len(regexp_replace(coalesce(text,''), '[\x20\x09-\x0D]', '', 'g')) word_chars from documents),
 win as (select doc_id, i, array_to_string(w[i:i+7], chr(1)) g from (select doc_id, w, unnest(range(1, len(w)-6)) i from t where len(w)>=8)),

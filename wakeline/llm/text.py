@@ -86,17 +86,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[
             at = to
 
 
-def rows(make: Callable[..., dict | None], *names: str, out: pa.Schema, keep: int = 2_000) -> Callable:
-    """An Arrow loop that gives ``make`` each row's ``names`` and gathers what it returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, keep):
-                part = batch.slice(start, keep)
-                found = [make(*x) for x in zip(*(part.column(n).to_pylist() for n in names), strict=True)]
-                yield pa.RecordBatch.from_pydict({f.name: [x[f.name] for x in found] for f in out}, schema=out)
-
-    return run
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of ``names`` has, whatever its case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def crc_fold(column: str, by: int) -> F.Column:
