@@ -3,6 +3,7 @@ import os
 import random
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +12,8 @@ from wakeline.llm import fingerprints as fp
 from wakeline.llm import mixing, quality_rules
 
 
-def likeness(a, b):
-    if not a and not b:
-        return 1.0
-    start, end = len(os.path.commonprefix([a, b])), len(os.path.commonprefix([a[::-1], b[::-1]]))
-    return min(start + end, len(a), len(b)) / max(len(a), len(b))
+def of(text):
+    return fp.Fingerprint(fp.PrefixHashes(fp._codes(text)))
 
 
 def test_fingerprints_equal_brute_force(spark, odd, none, texts):
@@ -27,12 +25,44 @@ def test_fingerprints_equal_brute_force(spark, odd, none, texts):
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + after[:quarter]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(likeness(text, edited)) and r.near_next == pytest.approx(likeness(text, after))
+        assert r.fingerprint == of(text).text() and r.edited_fingerprint == of(edited).text()
+        # likeness is had from the two strings alone, and is near the share that both texts have
+        assert r.near_edited == fp.likeness(fp.Fingerprint.read(r.fingerprint), fp.Fingerprint.read(r.edited_fingerprint))
+        assert r.near_next == fp.likeness(of(text), of(after))
+        assert len(text) > 1500 or abs(r.near_edited - brute_likeness(text, edited)) < 0.15
         assert seen.setdefault(r.fingerprint, text) == text and (r.fingerprint == r.edited_fingerprint) == (text == edited)
     assert len(rows) == len(ids)
     got = {r.doc_id: r for r in fp.fingerprints(odd).collect()}
     assert len(got) == 12 and got[3].fingerprint == got[4].fingerprint and got[5].n_chars == 12 and got[0].n_chars == 0
     assert fp.fingerprints(none).count() == 0 and fp.fingerprints(odd.where("doc_id = 3")).first().near_next == 1.0
+    assert fp.fingerprints(odd.unionByName(odd)).count() == 24
+
+
+def brute_likeness(a, b):
+    """Share of the longer text in common runs of 12 or more, longest first (each place once)."""
+    if a == b:
+        return 1.0
+    found = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    start, end = len(os.path.commonprefix([a, b])), len(os.path.commonprefix([a[::-1], b[::-1]]))
+    every = [(m.a, m.a + m.size) for m in found if m.size >= 12] + [(0, start), (len(a) - end, len(a))]
+    return min(1.0, len({k for x, y in every for k in range(x, y)}) / max(len(a), len(b), 1))
+
+
+def test_edits_anywhere_cost_what_they_touch():
+    random.seed(12)
+    for n in (40, 300, 3000, 60_000):
+        words = ["".join(random.choice("abcdefghij") for _ in range(random.randrange(2, 9))) for _ in range(n)]
+        whole = " ".join(words)
+        for places in ((0,), (n // 2,), (n - 1,), (1, n - 2), (0, n // 3, n - 1)):
+            changed = list(words)
+            for k in places:
+                changed[k] = "ELSE" if k % 2 else "one more"
+            # an edit costs at most a span of some twelfths of the text
+            assert fp.likeness(of(whole), of(" ".join(changed))) > 1 - 0.13 * len(places) - 0.02
+        random.shuffle(words)
+        assert fp.likeness(of(whole), of(" ".join(words))) < 0.1
+    assert fp.likeness(of("word " * 30_000), of("word " * 20_000 + "x" * 50_000)) > 0.6
+    assert len(of("a b c " * 500_000).text()) < 1500 and fp.likeness(of(""), of("a")) == 0.0 and fp.likeness(of(""), of("")) == 1.0
 
 
 def test_places_among_cuts(spark):
