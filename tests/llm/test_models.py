@@ -1,6 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import exp, log, log10
 
 import pytest
 
@@ -68,18 +68,67 @@ def test_quality_on_held_out_rows(spark, odd, none):
     assert {r.score for r in quality_knn.score_quality(odd, known.where("false")).collect()} == {0.5} and quality_knn.score_quality(none, known).count() == 0
 
 
+def brute_languages(docs):
+    """Mean log frequency of known words, else of known n-grams of the longest order, by dictionaries; docs: (id, text, lang)."""
+    seen = defaultdict(Counter)
+    letters = lambda t: ["".join(c for c in w.lower() if c.isalpha()) for w in (t or "").split()]
+    grams = lambda w, k: [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)] if k > 1 else list(w)
+    for i, text, lang in docs:
+        if lang and fold(i, 4) != 2:
+            seen[lang, 0].update(w for w in letters(text) if w)
+            for k in range(1, 6):
+                seen[lang, k].update(g for w in letters(text) if w for g in grams(w, k))
+    langs = sorted({lang for lang, _ in seen})
+    every = [set().union(*(seen[g, k] for g in langs)) for k in range(6)]
+    total = {(g, k): sum(seen[g, k].values()) + 0.5 * len(every[k]) + 1 for g in langs for k in range(6)}
+    of = lambda x, g, k: log((seen[g, k][x] + 0.5) / total[g, k])
+    out = {}
+    for i, text, _ in docs:
+        sums, n = [0.0] * len(langs), 0
+        for w in filter(None, letters(text)):
+            found = next(((k, some) for k in (0, 5, 4, 3, 2, 1) if (some := [x for x in (grams(w, k) if k else [w]) if x in every[k]])), None)
+            if found:
+                n += 1
+                sums = [s + sum(of(x, g, found[0]) for x in found[1]) / len(found[1]) for s, g in zip(sums, langs, strict=True)]
+        share = [exp((s - max(sums)) / max(1, n**0.5)) for s in sums]
+        best = share.index(max(share))
+        out[i] = (langs[best], share[best] / sum(share)) if any(c.isalpha() for c in text or "") else ("und", 0.0)
+    return out
+
+
+def test_languages_equal_brute_force(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    known = [tuple(r) for r in rows.collect()]
+    known += [(-1, "12 !!", None), (-2, None, "en"), (-3, "qqzzqx " * 5, None)]
+    want, docs = brute_languages(known), spark.createDataFrame(known, rows.schema)
+    for numbers in (language_id.NUMBERS, 40):  # scores are the same when the table of words starts anew all the time
+        monkeypatch.setattr(language_id, "NUMBERS", numbers)
+        for r in language_id.identify(docs).collect():
+            assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-3)
+
+
+def test_rare_languages_keep_their_words(spark):
+    """A language of few rows beside a large one knows all its words, in one label or many."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{'abcdefghij'[j % 10] * (1 + j // 10)}{'abcdefghij'[k % 10]}" for j in range(60)), "big") for k in range(300)] + [(1000 + k, "saperlot zut flute", "rare") for k in range(3)], "doc_id long, text string, lang string")
+    model = language_id.learn(docs, docs.doc_id.isNotNull())
+    assert {"saperlot", "zut", "flute"} <= model.index[0].keys() and language_id.Scorer(model)(["zut", "saperlotte"])[0][0] == "rare"
+
+
 def test_languages_on_held_out_rows(spark, odd, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.99
-    got = {r.doc_id: r for r in language_id.identify(odd).collect()}
+    got = {r.doc_id: r for r in language_id.identify(odd.unionByName(odd)).collect()}
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (0, 1, 2, 10)) and got[5].lang_pred in ("en", "fr")
-    assert language_id.identify(none).count() == 0 and {r.lang_pred for r in language_id.identify(odd.withColumn("lang", odd.lang.substr(9, 1)).where("lang = 'xx'")).collect()} == set()
+    assert language_id.identify(odd.unionByName(odd)).count() == 24 and language_id.identify(none).count() == 0
+    assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", odd.lang.substr(9, 0))).collect()} <= {"", "und"}
+    nothing = language_id.identify(odd.where("doc_id = 3").withColumn("lang", odd.source.substr(1, 0)).where("lang <> ''")).collect()
+    assert nothing == []
 
 
 def test_unseen_words_fall_back_to_ngrams(spark):
     docs = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate([("walking talking", "en"), ("gehen stehen", "de")] * 6)], "doc_id long, text string, lang string")
     model = language_id.learn(docs, docs.doc_id.isNotNull())
     score = language_id.Scorer(model)
-    assert score("stalking")[0] == "en" and score("drehen")[0] == "de" and score("123")[0] == "und"
+    assert [x[0] for x in score(["stalking", "drehen", "123", "x" * 100 + "king"])] == ["en", "de", "und", "en"] and not any(len(t) > 64 for t in score.place)
     assert language_id.keep_known(docs.unionByName(spark.createDataFrame([(99, "123", None)], docs.schema)), 0.5).count() == 12

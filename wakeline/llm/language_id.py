@@ -11,23 +11,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import CACHE, crc_fold, documents
+from ..plans import materialize
+from .text import crc_fold, documents, sliced
 
-#: About so many labelled documents of each language are learnt from, chosen by a hash of the id.
-SAMPLE = 3_000
-#: The most frequent words and n-grams that the model keeps, over all languages; these bound its size.
-MOST_WORDS, MOST_GRAMS = 60_000, 120_000
+#: About so many labelled documents of each language are learnt from, chosen by a hash of the id; all their words and n-grams are kept.
+SAMPLE = 1_500
+#: Longer runs of letters are no words; they are scored by their n-grams.
+LONGEST = 64
 #: Character n-grams of these lengths, tried from the longest; words are framed by a blank on each side.
 ORDERS = (5, 4, 3, 2, 1)
 #: A document of a score below this is rejected where documents are filtered.
 LEAST_SCORE = 0.5
+#: Numbers of a worker's table of scores (4 bytes each), and bytes of a token that is kept in it.
+NUMBERS, KEPT = 1_600_000, 64
+#: Up to so many languages, their counts are broadcast.
+BROADCAST_LANGS = 10_000
 
 _LETTER = re.compile(r"[^\W\d_]")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha())
 
 
 def normal(token: bytes) -> str:
     """The letters of a token in lower case; what stands around or between them goes."""
-    return "".join(c for c in token.decode().lower() if c.isalpha())
+    word = token.decode().lower()
+    if word.isalpha() or (word := word.strip(_MARKS)).isalpha():
+        return word
+    return "".join(filter(str.isalpha, word))
 
 
 def _grams(word: str, order: int) -> list[str]:
@@ -37,7 +46,7 @@ def _grams(word: str, order: int) -> list[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (order 0) and n-grams by language, summed within a batch."""
-    for batch in batches:
+    for batch in sliced(batches, 2_000, 8_000_000):
         raw: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw[lang].update((text or "").encode().split())
@@ -45,7 +54,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: list[Counter[str]] = [Counter() for _ in range(max(ORDERS) + 1)]
             for token, n in tokens.items():
                 if word := normal(token):
-                    found[0][word] += n
+                    if len(word) <= LONGEST:
+                        found[0][word] += n
                     for order in ORDERS:
                         for gram in _grams(word, order):
                             found[order][gram] += n
@@ -55,68 +65,76 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Per-language log frequencies of words and n-grams, with add-half smoothing."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        self.langs = sorted({lang for lang, order in totals if not order})
-        place = {lang: k for k, lang in enumerate(self.langs)}
-        self.scores: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
-        for _, order, gram, _ in rows:
-            self.scores[order].setdefault(gram, len(self.scores[order]))
-        self.table = []
-        for order, index in enumerate(self.scores):
-            counts = np.full((len(index), len(self.langs)), 0.5)
-            for lang, o, gram, n in rows:
-                if o == order:
-                    counts[index[gram], place[lang]] += n
-            size = np.array([totals.get((lang, order), 0) + 0.5 * len(index) + 1 for lang in self.langs])
-            self.table.append((np.log(counts) - np.log(size)).astype(np.float32))
-
-    def of(self, word: str) -> np.ndarray | None:
-        """The word's log frequencies, or the mean over its known n-grams of the longest order that has any."""
-        if (k := self.scores[0].get(word)) is not None:
-            return self.table[0][k]
+    """Per-language log frequencies of words and n-grams, with add-half smoothing, a row of ``table`` each."""
+
+    def __init__(self, counts: pa.Table, langs: list[str]):
+        self.langs = sorted(langs)
+        self.index: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
+        order = counts.column("order").to_numpy()
+        lang = np.searchsorted(np.array(self.langs, object), np.array(counts.column("lang").to_pylist(), object)) if len(order) else order
+        n = counts.column("n").to_numpy()
+        tables, base = [np.zeros((0, len(self.langs)))], 0
+        for k, index in enumerate(self.index):
+            mine = np.flatnonzero(order == k)
+            place = np.array([index.setdefault(g, base + len(index)) for g in counts.column("gram").take(pa.array(mine)).to_pylist()], np.int64) - base
+            table = np.full((len(index), len(self.langs)), 0.5)
+            np.add.at(table, (place, lang[mine]), n[mine])
+            # one more half for all that was not seen
+            tables.append(np.log(table) - np.log(table.sum(axis=0) + 1))
+            base += len(index)
+        self.table = np.concatenate(tables).astype(np.float32)
+
+    def known(self, word: str) -> list[int]:
+        """Rows of the word, or of its known n-grams of the longest order that has any."""
+        if (k := self.index[0].get(word)) is not None:
+            return [k]
         for order in ORDERS:
-            known = [k for g in _grams(word, order) if (k := self.scores[order].get(g)) is not None]
-            if known:
-                return self.table[order][known].mean(axis=0)
-        return None
+            if known := [k for g in _grams(word, order) if (k := self.index[order].get(g)) is not None]:
+                return known
+        return []
 
 
 class Scorer:
-    """Sums of word scores, each word's remembered by its token."""
+    """Sums of the words' scores, each the mean of what the model knows of the word; remembered by token."""
 
     def __init__(self, model: Model):
         self.model, self.place, self.used = model, {}, 0
-        self.rows = np.zeros((CACHE + 1, max(1, len(model.langs))), np.float32)
-
-    def _add(self, token: bytes) -> int:
-        word = normal(token)
-        found = self.model.of(word) if word else None
-        if found is None:
-            self.place[token] = 0
-            return 0
-        k = self.used = self.used + 1
-        self.rows[k] = found
-        self.place[token] = k
-        return k
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text) or not self.model.langs:
-            return "und", 0.0
-        tokens = text.encode().split()
-        total = np.zeros(len(self.model.langs))
-        words = 0
-        for at in range(0, len(tokens), 100_000):
-            part = tokens[at : at + 100_000]
-            if self.used + len(part) > CACHE:
-                self.place, self.used = {}, 0
-            found = list(map(self.place.get, part))
-            if None in found:
-                for k, f in enumerate(found):
-                    if f is None:
-                        found[k] = p if (p := self.place.get(part[k])) is not None else self._add(part[k])
-            found = np.array(found)
+        self.room = NUMBERS // max(1, len(model.langs))
+        self.rows = np.zeros((self.room + 1, max(1, len(model.langs))), np.float32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        if self.used + len(new) > len(self.rows) - 1:
+            self.rows = np.zeros((self.used + len(new) + 1, self.rows.shape[1]), np.float32)
+        known = [self.model.known(word) if (word := normal(token)) else [] for token in new]
+        full = [k for k, rows in enumerate(known) if rows]
+        if full:
+            sizes = np.array([len(known[k]) for k in full])
+            flat = np.fromiter((r for k in full for r in known[k]), np.int64, sizes.sum())
+            sums = np.add.reduceat(self.model.table[flat], np.cumsum(sizes) - sizes, axis=0)
+            self.rows[self.used + 1 : self.used + 1 + len(full)] = sums / sizes[:, None]
+        self.place.update(dict.fromkeys(new, 0))
+        self.place.update((new[k], self.used + 1 + at) for at, k in enumerate(full))
+        self.used += len(full)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        tokens = [text.encode().split() if text and self.model.langs and _LETTER.search(text) else None for text in texts]
+        every = set().union(*(t for t in tokens if t))
+        new = [t for t in every if t not in self.place]
+        if self.used + len(new) > self.room:
+            self.place, self.used, new = {}, 0, list(every)
+            self.rows = self.rows[: self.room + 1]
+        if new:
+            self._learn(new)
+        out = [self._score(t) if t else ("und", 0.0) for t in tokens]
+        for token in new:
+            if len(token) > KEPT:
+                del self.place[token]
+        return out
+
+    def _score(self, tokens: list[bytes]) -> tuple[str, float]:
+        total, words = np.zeros(len(self.model.langs)), 0
+        for at in range(0, len(tokens), 50_000):
+            found = np.array(list(map(self.place.__getitem__, tokens[at : at + 50_000])))
             total += self.rows[found].sum(axis=0, dtype=np.float64)
             words += int((found > 0).sum())
         # words of a text hang together, so their evidence counts as its root
@@ -126,36 +144,27 @@ class Scorer:
 
 
 def learn(docs: DataFrame, train, sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` rows of each language that satisfy ``train``, whole texts.
+    """A model from about ``sample`` rows of each language that satisfy ``train``, whole texts, with all their words and n-grams.
 
-    The driver gets a row per language, then the most frequent words and
-    n-grams, whose numbers are bounded.
+    The driver gets these counts, whose number the sample bounds for each
+    language, and a row per language: the column is one of tags.
     """
     rows = docs.where(train & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], {})
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))))
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("size")), "languages")
+    langs = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes
     chance = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) / (1 << 20)
-    counts = rows.where(chance < share[F.col("lang")]).select("lang", "text").mapInArrow(_counted, "lang string, order int, gram string, n long")
-    counts = counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).persist()
-    totals = {(r.lang, r.order): r.n for r in counts.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect()}
-    most = F.desc("n"), "lang", "order", "gram"
-    kept = [*counts.where("order = 0").orderBy(*most).limit(MOST_WORDS).collect(), *counts.where("order > 0").orderBy(*most).limit(MOST_GRAMS).collect()]
-    counts.unpersist()
-    return Model([tuple(r) for r in kept], totals)
+    chosen = rows.join(langs, "lang").where(chance < F.lit(sample) / F.col("size"))
+    counts = chosen.select("lang", "text").mapInArrow(_counted, "lang string, order int, gram string, n long")
+    counts = counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    return Model(counts.toArrow(), [r.lang for r in sizes.collect()])
 
 
 def _predicted(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model.value)
-        for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                lang, sure = score(text)
-                langs.append(lang)
-                scores.append(sure)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+        for some in sliced(batches, 2_000, 4_000_000):
+            found = score(some.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -168,6 +177,8 @@ def identify(docs: DataFrame, by: int = 4, held: int = 2, sample: int = SAMPLE)
     not held out are learnt from. A null text, or one without a letter, is
     ``und`` with score 0; so is all where no row has a language. Ties go to the
     first language by name. A null id has no remainder and is learnt from.
+    Repeated rows are learnt from and scored each; other columns are ignored,
+    whatever their names; an empty table gives none.
     """
     out = F.coalesce(crc_fold("doc_id", by) == held, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, ~out, sample))
@@ -176,16 +187,20 @@ def identify(docs: DataFrame, by: int = 4, held: int = 2, sample: int = SAMPLE)
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose language is known with at least ``least``; all their columns stay as they are."""
+    """The rows whose language is known with at least ``least``; all their columns stay as they are, whatever their names.
+
+    A null text or one without a letter goes; repeated rows and ties are as in
+    :func:`identify`; an empty table gives none.
+    """
     out = F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, ~out))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model.value)
-        for batch in batches:
-            found = [score(text) for text in batch.column("text").to_pylist()]
-            yield batch.select(names).filter(pa.array([lang != "und" and sure >= least for lang, sure in found], pa.bool_()))
+        for some in sliced(batches, 2_000, 4_000_000):
+            found = score(some.column("text").to_pylist())
+            yield some.select(names).filter(pa.array([lang != "und" and sure >= least for lang, sure in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
