@@ -1,9 +1,13 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from wakeline.llm import language_id, mixing, near_dedup, quality_rules, stages
 from wakeline.plans import materialize
 
+from test_near_dedup import brute
+
 
 def test_stages_keep_columns_and_decide(spark):
     folder = "/root/testdata/sf0.001"
@@ -18,7 +22,8 @@ def test_stages_keep_columns_and_decide(spark):
         elif name == "language_id":
             assert set(got) <= ids and len(got) >= 0.99 * len(ids) and language_id.keep_known(docs, 1.1).count() == 0
         elif name == "near_dedup":
-            assert set(got) == {r.doc_id for r in near_dedup.near_duplicates(docs).where("kept").collect()} and len(got) < len(ids)
+            want = brute({r.doc_id: r.text for r in docs.collect()}, stages.NEAR_PERCENT)
+            assert set(got) == {i for i, (_, _, kept) in want.items() if kept} and len(got) < len(ids) and max(got.values()) == 1
         else:
             assert got == {r.doc_id: r.copies for r in mixing.mix(docs).where("copies > 0").collect()}
         docs = out
@@ -26,11 +31,37 @@ def test_stages_keep_columns_and_decide(spark):
     assert Counter(r.doc_id for r in last if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
 
 
-def test_odd_rows_pass_through(spark, odd):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+def test_odd_rows_pass_through(spark, odd, none):
+    """Each stage takes odd rows, twice, with columns named as those inside, and an empty table; the columns stay."""
+    extra = {c: F.lit(7) for c in ("id", "hash", "key", "copies", "copy", "_id", "_copies", "lines", "digest", "group", "text_hash", "kept")}
+    docs = odd.withColumns(extra)
+    for twice, source in ((2, docs.unionByName(docs)), (1, docs)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, source, "")
+            assert out.columns == source.columns
+            got = Counter(r.doc_id for r in out.collect())
+            if name == "quality_rules":
+                assert not got  # too few words, or the same ones again
+            elif name == "language_id":
+                assert set(got) <= {3, 4, 5, 6, 7, 8, 9, None} and got[3] == twice
+            elif name == "near_dedup":
+                # 3 and 4 are one text; without words or without an id all stay
+                assert got == {0: twice, 1: twice, 2: twice, 3: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, None: twice}
+            else:
+                assert set(got) <= {r.doc_id for r in odd.collect()} and got[0] == got[1] * 1
+        assert corpus_pipeline.STAGES[-1][1](spark, source, "").where("piece = 0").count() == 12 * twice
+    empty = none.withColumns(extra)
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
-    assert docs.count() >= 0
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    text = [f"w{k}" for k in range(60)]
+    rows = [(5, "other words " + " ".join(f"v{k}" for k in range(60))), (5, " ".join(text)), (8, " ".join(text[:58])), (9, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(5, 56, 5), (5, 58, 5), (8, 54, 5), (9, 1, 9)]
+    assert sorted(map(tuple, stages.dedup(spark, docs, "").select("doc_id", "text").collect())) == sorted([rows[0], rows[1], rows[3]])
 
 
 def test_near_copies_above_80_percent_go(spark):

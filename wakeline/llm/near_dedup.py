@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import connected_components, materialize
-from .text import documents, mix, shingles, word_hashes, words
+from .text import documents, mix, shingles, sliced, word_hashes, words
 
 #: A set's 128 minima make bands of 5, or of fewer where a lower limit needs that; at a similarity of 0.85 all 25 bands of 5 miss once in two million pairs.
 PERMUTATIONS, BAND_ROWS, BITS = 128, 5, 4
@@ -59,7 +59,12 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
 
 
-SKETCH = f"doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f'{x} long' for x in WORDS_OF_BITS)}"
+SKETCH = f"doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f'{x} long' for x in WORDS_OF_BITS)}"
+
+
+def set_digest(found: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set's hashes that tell sets apart, whatever the order."""
+    return int(found.sum(dtype=np.uint64).view(np.int64)), int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
 def _sketched(band: int):
@@ -67,23 +72,21 @@ def _sketched(band: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                n = some.num_rows
-                size, digest, banded, bits = np.zeros(n, np.int64), np.zeros((2, n), np.int64), [], np.zeros((n, len(WORDS_OF_BITS)), np.int64)
-                for k, text in enumerate(some.column("text").to_pylist()):
-                    found = shingles(hashes.of(words(text)))
-                    size[k] = len(found)
-                    if not len(found):
-                        banded.append([])
-                        continue
-                    digest[:, k] = found.sum(dtype=np.uint64).view(np.int64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)
-                    low = minima(found)
-                    banded.append(bands(low, band))
-                    bits[k] = packed(low)
-                columns = [some.column("doc_id"), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), pa.array(banded, pa.list_(pa.int64())), *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
+        for some in sliced(batches, 1000, 8_000_000):
+            n = some.num_rows
+            size, digest, banded, bits = np.zeros(n, np.int64), np.zeros((2, n), np.int64), [], np.zeros((n, len(WORDS_OF_BITS)), np.int64)
+            for k, text in enumerate(some.column("text").to_pylist()):
+                found = shingles(hashes.of(words(text)))
+                size[k] = len(found)
+                if not len(found):
+                    banded.append([])
+                    continue
+                digest[:, k] = set_digest(found)
+                low = minima(found)
+                banded.append(bands(low, band))
+                bits[k] = packed(low)
+            columns = [some.column("doc_id"), some.column("text_hash"), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), pa.array(banded, pa.list_(pa.int64())), *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
 
     return run
 
@@ -205,12 +208,12 @@ def _confirmed(percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the classes' rows; a row that only shares its id with a class's goes."""
     hashes = word_hashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            found = [shingles(hashes.of(words(t))).tobytes() for t in some.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("class", "rep", "blocks")), pa.array(found, pa.binary())], names=["class", "rep", "blocks", "found"])
+    for some in sliced(batches, 500, 8_000_000):
+        found = [shingles(hashes.of(words(t))) for t in some.column("text").to_pylist()]
+        own = pa.array([list(set_digest(f)) == of for f, *of in zip(found, *(some.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("class", "rep", "blocks")), pa.array([f.tobytes() for f in found], pa.binary())], names=["class", "rep", "blocks", "found"]).filter(own)
 
 
 def block_pairs(df: DataFrame, name: str, blocks: str) -> DataFrame:
@@ -221,7 +224,7 @@ def block_pairs(df: DataFrame, name: str, blocks: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``text_hash`` and ``group`` of every row.
 
     Rows with the same set are one class at once. Classes that share a band are
     compared with the least of their bucket by bit counts, then across what is
@@ -230,18 +233,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked is joined. No list of pairs is made: a block gives a spanning forest.
 
     A null or empty text, or one of blanks, has no shingles, links with nothing
-    and is kept. Ids should be unique: rows that share one are named alike. A
-    row with a null id has a null component and is kept. Other columns are
-    ignored.
+    and is kept. Each row is judged by its own text: a repeated row is like the
+    first, and rows that share an id may belong to different groups, which
+    ``group``, a number, tells apart (null without shingles). A row with a null
+    id has a null component and is kept. A pair at the limit exactly is linked.
+    Other columns are ignored, whatever their names; an empty table gives none.
     """
     limit = least_matches(percent)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sketches = materialize(rows.mapInArrow(_sketched(band_rows(percent)), SKETCH), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = materialize(classes, "classes")
-    reps = full.join(copies.select("rep", "set_a", "set_b"), (F.col("doc_id") == F.col("rep")) & (full.set_a == copies.set_a) & (full.set_b == copies.set_b), "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    reps = materialize(reps.select("rep", "bands", *WORDS_OF_BITS), "reps")
+    # classes go by a number of their set, as an id may stand for several texts
+    key = F.xxhash64("set_a", "set_b")
+    copies = materialize(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).select(key.alias("rep"), "set_a", "set_b", "least", "n"), "classes")
+    reps = full.groupBy(key.alias("rep")).agg(F.first(F.struct("bands", *WORDS_OF_BITS)).alias("x")).select("rep", "x.*")
+    reps = materialize(reps, "reps")
 
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     leads = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -262,19 +268,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         every = grouping.unionByName(merged.select(F.col("class").alias("rep"), "class")).dropDuplicates(["rep"])
         grouping = every.join(merged, "class", "left").select("rep", F.coalesce("wider", "class").alias("class"))
 
+    # one row of each class in a group brings its text
     sizes = grouping.groupBy("class").agg(F.count("*").alias("n"))
     wanted = grouping.join(sizes, "class").select("class", "rep", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    wanted = wanted.join(copies, "rep").select("class", "rep", "blocks", "set_a", "set_b", F.col("least").alias("at"))
     wanted = materialize(wanted, "wanted")
     listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = rows.join(listed, F.col("doc_id") == F.col("rep")).select("class", "rep", "blocks", "text").mapInArrow(_sets, "class long, rep long, blocks long, found binary")
+    found = rows.join(listed, F.col("doc_id") == F.col("at")).select("class", "rep", "blocks", "set_a", "set_b", "text").mapInArrow(_sets, "class long, rep long, blocks long, found binary")
     found = block_pairs(found, "rep", "blocks").repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
     links = connected_components(found.mapInArrow(_confirmed(percent), "a long, b long"), "a", "b")
 
-    named = copies.join(links, copies.rep == links.node, "left").withColumn("top", F.coalesce("component", "rep")).where("n > 1 or top <> rep").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "top")
-    out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(named, (F.col("n_shingles") > 0) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # a component is named by the least id of its classes
+    linked = links.join(copies.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "component", "least")
+    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
+    linked = linked.join(tops, "component").select("node", "component", "top")
+    named = copies.join(linked, copies.rep == linked.node, "left").withColumn("top", F.coalesce("top", "least")).where("n > 1 or component is not null")
+    named = named.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "top", "component")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(named, (F.col("n_shingles") > 0) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("top", "doc_id"))
+    group = F.when(known & (F.col("n_shingles") > 0), F.coalesce("component", key))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash", group.alias("group"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_hash", "group")
