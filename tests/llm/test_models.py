@@ -2,6 +2,8 @@ import zlib
 from collections import Counter, defaultdict
 from math import exp, log, log10
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wakeline.llm import language_id, lm_scoring, quality_knn
@@ -40,7 +42,11 @@ def brute_scores(texts):
     return {i: (len(w), sum(t in one for t in w), n, sum(log10((one[t] + 1) / (n + v + 1)) for t in w), sum(log10(p(a, b)) for a, b in zip([None, *w[:-1]], w, strict=True))) for i, w in tokens.items()}
 
 
-def test_scores_equal_brute_force(spark, texts):
+@pytest.mark.parametrize("wide", [False, True])
+def test_scores_equal_brute_force(spark, texts, monkeypatch, wide):
+    """Also with keys as for more words than 32 bits can number."""
+    if wide:
+        monkeypatch.setattr(lm_scoring, "WIDE", 0)
     want = brute_scores(texts)
     rows = lm_scoring.op8_lm_scoring(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(want)
@@ -49,10 +55,19 @@ def test_scores_equal_brute_force(spark, texts):
         assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id][3]), pytest.approx(want[r.doc_id][4]))
 
 
+def test_large_counts_are_kept_whole():
+    keys, counts = np.array([3, 5, 1 << 63], np.uint64), np.array([1, 1 << 40, 7])
+    blob = lm_scoring._pack(keys, counts, counts * 0)
+    assert [c.tolist() for c in lm_scoring._unpack(blob, 2)] == [keys.tolist(), counts.tolist(), [0, 0, 0]]
+    rows = [pa.record_batch([pa.array([0, 0], pa.int32()), pa.array([blob, blob], pa.binary())], names=["shard", "data"])]
+    assert [c.tolist() for c in next(lm_scoring._by_shard(iter(rows), 2))[1]] == [keys.tolist(), (2 * counts).tolist(), [0, 0, 0]]
+
+
 def test_scores_of_odd_rows(odd, none):
     got = {r.doc_id: r for r in lm_scoring.score_documents(odd).collect()}
     assert len(got) == 12 and got[0].n_tokens == got[2].n_tokens == 1 and all(r.score < 0 for r in got.values())
-    assert lm_scoring.score_documents(none).count() == 0
+    twice = lm_scoring.score_documents(odd.unionByName(odd)).collect()
+    assert len(twice) == 24 and len({(r.doc_id, r.score) for r in twice}) == 12 and lm_scoring.score_documents(none).count() == 0
 
 
 def test_quality_on_held_out_rows(spark, odd, none):

@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from ..plans import materialize
 from ..plans.materialize import scratch_root
-from .text import CACHE, crc_fold, documents, held, mix, word_hashes, words
+from .text import CACHE, KEPT, crc_fold, documents, held, mix, word_hashes, words
 
-#: The end of a text is a token of its own; no word is empty. A text's first word follows the start.
-END, START = b"", 0xFFFFFFFF
+#: The end of a text is a token of its own; no word is empty. A text's first word follows the start, whose number no word has.
+END, START, WIDE_START = b"", 0xFFFFFFFF, 1 << 62
 #: Texts read together: about so many tokens at once.
 TOKENS = 1_000_000
-#: Documents for one shard of the model's arrays; shards are ranges of hashes.
-DOCS_PER_SHARD, MOST_SHARDS = 4_000, 4_096
+#: Documents for one shard of the model's arrays, whose number grows with them; shards are ranges of hashes.
+DOCS_PER_SHARD, LEAST_SHARDS = 100_000, 64
+#: From so many distinct words on, two numbers don't make one key of 64 bits, and keys of pairs are hashes.
+WIDE = START
+
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Write whole and rename, so that a repeated task leaves the same file."""
@@ -32,20 +35,27 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(path, f"{folder}/{name}.npy")
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in 1, 2, 4 or 8 bytes, as their greatest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Sorted keys as differences, then the other columns, deflated."""
-    keys = np.diff(arrays[0], prepend=arrays[0].dtype.type(0))
-    planes = keys.view(np.uint8).reshape(len(keys), -1).T.tobytes()
-    return zlib.compress(planes + b"".join(a.tobytes() for a in arrays[1:]), 1)
+    """Sorted keys as differences, then the other columns in the bytes they need, deflated."""
+    keys = np.diff(arrays[0].astype(np.uint64), prepend=np.uint64(0))
+    columns = [_small(a) for a in arrays[1:]]
+    sizes = bytes(c.itemsize for c in columns)
+    return zlib.compress(sizes + keys.view(np.uint8).reshape(-1, 8).T.tobytes() + b"".join(c.tobytes() for c in columns), 1)
 
 
-def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
+def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     raw = zlib.decompress(blob)
-    n, at, out = len(raw) // sum(np.dtype(t).itemsize for t in types), 0, []
-    for k, t in enumerate(types):
-        size = np.dtype(t).itemsize
-        part = np.frombuffer(raw, np.uint8, n * size, at)
-        out.append(np.cumsum(part.reshape(size, n).T.copy().view(t).ravel(), dtype=t) if not k else part.view(t))
+    sizes, at = list(raw[:columns]), columns
+    n = (len(raw) - columns) // (8 + sum(sizes))
+    out = [np.cumsum(np.frombuffer(raw, np.uint8, n * 8, at).reshape(8, n).T.copy().view(np.uint64).ravel(), dtype=np.uint64)]
+    at += 8 * n
+    for size in sizes:
+        out.append(np.frombuffer(raw, f"<u{size}", n, at).astype(np.int64))
         at += n * size
     return out
 
@@ -99,18 +109,21 @@ def _count_words(shards: int):
             for found in tokens:
                 counts.update(found)
             keys, sums = _summed(word_hashes("lm").of(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
-            yield _blobs(shards, keys, sums.astype(np.uint32))
+            yield _blobs(shards, keys, sums)
 
     return run
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], *types: type) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The columns of each shard, from blobs that arrive sorted by shard; blobs are merged eight at a time."""
+def _by_shard(batches: Iterator[pa.RecordBatch], columns: int, fixed: int = 0) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each shard, from blobs that arrive sorted by shard; blobs are merged eight at a time. All columns are summed but the first ``fixed``, which a key determines."""
     now, held = None, []
 
     def merged() -> list[np.ndarray]:
-        keys = np.concatenate([h[0] for h in held])
-        return list(_summed(keys, *(np.concatenate([h[k] for h in held]) for k in range(1, len(types)))))
+        keys, *rest = (np.concatenate([h[k] for h in held]) for k in range(columns + 1))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return [keys[first], *(c[order][first] for c in rest[:fixed]), *(np.add.reduceat(c[order], first) for c in rest[fixed:])]
 
     for batch in batches:
         for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
@@ -118,7 +131,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch], *types: type) -> Iterator[tuple
                 yield now, merged()
                 held = []
             now = shard
-            held.append(_unpack(blob, *types))
+            held.append(_unpack(blob, columns))
             if len(held) >= 8:
                 held = [merged()]
     if held:
@@ -127,9 +140,9 @@ def _by_shard(batches: Iterator[pa.RecordBatch], *types: type) -> Iterator[tuple
 
 def _store_words(folder: str):
     def run(batches):
-        for shard, (keys, counts) in _by_shard(batches, np.uint64, np.uint32):
+        for shard, (keys, counts) in _by_shard(batches, 1):
             _save(folder, f"words-{shard}", keys)
-            _save(folder, f"counts-{shard}", counts.astype(np.int64))
+            _save(folder, f"counts-{shard}", _small(counts))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "n", "total"])
 
     return run
@@ -177,18 +190,26 @@ class Arrays:
             for s, which, at in self.places("words", keys[order]):
                 found[order[which]] = self.bases[s] + at
             self.ids.update(zip(new, found.tolist(), strict=True))
-        return np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
-
-    def by_id(self, name: str, ids: np.ndarray, missing) -> np.ndarray:
-        """Values of a column of the words' shards for known ids, ``missing`` elsewhere."""
+        out = np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
+        for word in new:
+            if len(word) > KEPT:
+                del self.ids[word]
+        return out
+
+    def by_id(self, names: list[str], ids: np.ndarray) -> list[np.ndarray]:
+        """Values of columns of the words' shards for known ids, 0 elsewhere."""
         every, back = np.unique(ids, return_inverse=True)
-        out = np.full(len(every), missing)
+        out = np.zeros((len(names), len(every)), np.int64)
         shard = np.searchsorted(self.bases, every, "right") - 1
-        for s in np.unique(shard[every >= 0]).tolist():
-            which = np.flatnonzero((shard == s) & (every >= 0))
-            if (have := self.get(f"{name}-{s}")) is not None:
-                out[which] = have[every[which] - self.bases[s]]
-        return out[back]
+        cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(every) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(every)], strict=True):
+            s, a = int(shard[a]), a if every[a] >= 0 else a + 1
+            if s < 0 or a == b:
+                continue
+            for k, name in enumerate(names):
+                if (have := self.get(f"{name}-{s}")) is not None:
+                    out[k, a:b] = have[every[a:b] - self.bases[s]]
+        return [column[back] for column in out]
 
 
 def _arrays(folder: str, shards: int, bases: list[int]) -> Arrays:
@@ -202,30 +223,36 @@ def _fresh(folder: str, shards: int, bases: list[int]) -> Arrays:
     return held("lm", "arrays", lambda: Arrays(folder, shards, bases))
 
 
-def _history(ids: np.ndarray, tokens: list[list[bytes]]) -> np.ndarray:
+def _history(ids: np.ndarray, tokens: list[list[bytes]], start: int) -> np.ndarray:
     """The number before each token; the start before each text's first."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[np.cumsum([0, *map(len, tokens[:-1])])] = START
+    before[np.cumsum([0, *map(len, tokens[:-1])])] = start
     return before
 
 
-def _pair(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A key for each pair of numbers; a bijection, so pairs never clash."""
+def _pair(before: np.ndarray, ids: np.ndarray, wide: bool) -> np.ndarray:
+    """A key for each pair of numbers: a bijection where they have 32 bits each, so that pairs never clash; else a hash."""
+    if wide:
+        return mix(mix(before.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64))
     return mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
 
 
-def _count_pairs(folder: str, shards: int, bases: list[int]):
+def _count_pairs(folder: str, shards: int, bases: list[int], wide: bool):
     def run(batches):
         model = _arrays(folder, shards, bases)
         for _, tokens in _texts(batches, ["text"]):
             ids = model.word_ids(tokens)
-            both = np.sort(_history(ids, tokens).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            counts, keys = np.diff(np.append(first, len(both))).astype(np.uint32), both[first]
-            mixed = mix(keys)
-            order = np.argsort(mixed)
-            yield _blobs(shards, mixed[order], counts[order])
+            before = _history(ids, tokens, WIDE_START if wide else START)
+            keys = _pair(before, ids, wide)
+            if wide:
+                order = np.argsort(keys)
+                keys, before, ids = keys[order], before[order], ids[order]
+            else:
+                keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            counts = np.diff(np.append(first, len(keys)))
+            yield _blobs(shards, keys[first], *((before[first], ids[first]) if wide else ()), counts)
 
     return run
 
@@ -241,7 +268,7 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].tolist()
 
 
-def _store_pairs(folder: str, bases: list[int]):
+def _store_pairs(folder: str, bases: list[int], wide: bool):
     """Stores the pairs; gives what each word has as a history, and in how many pairs it comes second."""
     starts = np.array(bases, np.int64)
     names = ["kind", "shard", "data", "counts"]
@@ -249,15 +276,15 @@ def _store_pairs(folder: str, bases: list[int]):
     def parts(kind: int, ids: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         cuts = np.append(np.searchsorted(ids, starts.astype(np.uint64)), len(ids))
         full = [s for s in range(len(starts)) if cuts[s] < cuts[s + 1]]
-        data = [_pack(ids[cuts[s] : cuts[s + 1]], *(c[cuts[s] : cuts[s + 1]].astype(np.uint32) for c in columns)) for s in full]
+        data = [_pack(ids[cuts[s] : cuts[s + 1]], *(c[cuts[s] : cuts[s + 1]] for c in columns)) for s in full]
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array([None] * len(full), pa.list_(pa.int64()))], names=names)
 
     def run(batches):
-        for shard, (keys, counts) in _by_shard(batches, np.uint64, np.uint32):
+        for shard, (keys, *ends, counts) in _by_shard(batches, 3, 2) if wide else _by_shard(batches, 1):
             _save(folder, f"pairs-{shard}", keys)
-            _save(folder, f"pair_counts-{shard}", counts.astype(np.uint32))
-            both = _unmix(keys)
-            first, second = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+            _save(folder, f"pair_counts-{shard}", _small(counts))
+            both = None if wide else _unmix(keys)
+            first, second = (e.astype(np.uint64) for e in ends) if wide else (both >> np.uint64(32), both & np.uint64(0xFFFFFFFF))
             yield parts(0, *_summed(first, counts, counts == 1, counts == 2, counts > 2))
             yield parts(1, *_summed(second, np.ones(len(second), np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([_counts_of_counts(counts)], pa.list_(pa.int64()))], names=names)
@@ -265,17 +292,17 @@ def _store_pairs(folder: str, bases: list[int]):
     return run
 
 
-def _store_histories(folder: str, bases: list[int], sizes: list[int]):
+def _store_histories(folder: str, bases: list[int], sizes: list[int], wide: bool):
     """Aligned with the words: total and kinds of successors; the start's own are in files of their own."""
 
     def run(batches):
-        for shard, (ids, total, one, two, more) in _by_shard(batches, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32):
-            start = ids == START
+        for shard, (ids, total, one, two, more) in _by_shard(batches, 4):
+            start = ids == (WIDE_START if wide else START)
             known = (ids[~start] - np.uint64(bases[shard])).astype(np.int64)
             for name, values in (("total", total), ("one", one), ("two", two), ("more", more)):
                 column = np.zeros(sizes[shard], np.int64)
                 column[known] = values[~start]
-                _save(folder, f"{name}-{shard}", column)
+                _save(folder, f"{name}-{shard}", _small(column))
                 if start.any():
                     _save(folder, f"start_{name}", values[start])
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
@@ -285,10 +312,10 @@ def _store_histories(folder: str, bases: list[int], sizes: list[int]):
 
 def _store_continuations(folder: str, bases: list[int], sizes: list[int]):
     def run(batches):
-        for shard, (ids, kinds) in _by_shard(batches, np.uint64, np.uint32):
+        for shard, (ids, kinds) in _by_shard(batches, 1):
             column = np.zeros(sizes[shard], np.int64)
             column[(ids - np.uint64(bases[shard])).astype(np.int64)] = kinds
-            _save(folder, f"kinds-{shard}", column)
+            _save(folder, f"kinds-{shard}", _small(column))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_counts_of_counts(kinds)], pa.list_(pa.int64())), pa.array([[int((kinds == 1).sum()), int((kinds == 2).sum()), int((kinds > 2).sum())]], pa.list_(pa.int64()))], names=["shard", "counts", "kinds"])
 
     return run
@@ -306,7 +333,7 @@ def discounts(n: list[int]) -> list[float]:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(folder: str, shards: int, bases: list[int], known: dict):
+def _score(folder: str, shards: int, bases: list[int], known: dict, wide: bool):
     n, v = known["tokens"], known["words"]
     pair_cut, word_cut = (np.array([0.0, *known[x]]) for x in ("pair_discounts", "word_discounts"))
     kinds_total = max(1, known["pairs"])
@@ -317,17 +344,17 @@ def _score(folder: str, shards: int, bases: list[int], known: dict):
         start = {x: int(s[0]) if (s := model.get(f"start_{x}")) is not None else 0 for x in ("total", "one", "two", "more")}
         for rows, tokens in _texts(batches, ["doc_id", "held_out", "text"]):
             ids = model.word_ids(tokens)
-            before = _history(ids, tokens)
+            before = _history(ids, tokens, WIDE_START if wide else START)
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             edges = np.cumsum(sizes) - sizes
-            counts = model.by_id("counts", ids, 0)
-            kinds = model.by_id("kinds", ids, 0)
+            opens = before == (WIDE_START if wide else START)
+            counts, kinds, *own = model.by_id(["counts", "kinds", "total", "one", "two", "more"], ids)
             low = np.maximum(kinds - word_cut[np.minimum(kinds, 3)], 0) / kinds_total + spread / (v + 1)
-            inner = np.where(before == START, -1, before)
-            total, one, two, more = (np.where(before == START, start[x], model.by_id(x, inner, 0)) for x in ("total", "one", "two", "more"))
+            # a token's history is the token before it
+            total, one, two, more = (np.where(opens, start[x], np.append(0, c[:-1])) for x, c in zip(start, own, strict=True))
             seen = np.zeros(len(ids), np.int64)
             both = np.flatnonzero((ids >= 0) & (before >= 0))
-            keys = _pair(before[both], ids[both])
+            keys = _pair(before[both], ids[both], wide)
             order = np.argsort(keys)
             for s, which, at in model.places("pairs", keys[order]):
                 seen[both[order[which]]] = model.get(f"pair_counts-{s}")[at]
@@ -354,7 +381,9 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
 
     ``spark.checkpoint.dir`` must be a mounted folder (``file:``). A null or
     empty text is its end alone. Without training rows every token is unknown.
-    A null id has no remainder and is learnt from.
+    A null id has no remainder and is learnt from. Repeated rows count each and
+    score alike; other columns are ignored, whatever their names; an empty
+    table gives none.
     """
     spark = docs.sparkSession
     root = scratch_root(spark)
@@ -364,7 +393,7 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     os.makedirs(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_fold("doc_id", by) == held, F.lit(False)).alias("held_out"), "text")
     train = rows.where("not held_out").select("text")
-    shards = max(8, min(MOST_SHARDS, docs.count() // DOCS_PER_SHARD))
+    shards = max(LEAST_SHARDS, docs.count() // DOCS_PER_SHARD)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(shards, "shard").sortWithinPartitions("shard")
@@ -375,20 +404,19 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     for x in stored:
         sizes[x.shard], tokens = x.n, tokens + x.total
     bases = [0, *np.cumsum(sizes)[:-1].tolist()]
-    if sum(sizes) >= START:
-        raise ValueError("more distinct words than numbers of 32 bits")
+    wide = sum(sizes) >= WIDE
 
-    pairs = dealt(train.mapInArrow(_count_pairs(folder, shards, bases), blob)).mapInArrow(_store_pairs(folder, bases), "kind int, shard int, data binary, counts array<long>")
+    pairs = dealt(train.mapInArrow(_count_pairs(folder, shards, bases, wide), blob)).mapInArrow(_store_pairs(folder, bases, wide), "kind int, shard int, data binary, counts array<long>")
     pairs = materialize(pairs, "histories")
     pair_n = [0] * 4
     for x in pairs.where("kind = 2").select("counts").collect():
         pair_n = [a + b for a, b in zip(pair_n, x.counts, strict=True)]
-    dealt(pairs.where("kind = 0").select("shard", "data")).mapInArrow(_store_histories(folder, bases, sizes), "shard int").count()
+    dealt(pairs.where("kind = 0").select("shard", "data")).mapInArrow(_store_histories(folder, bases, sizes, wide), "shard int").count()
     ends = dealt(pairs.where("kind = 1").select("shard", "data")).mapInArrow(_store_continuations(folder, bases, sizes), "shard int, counts array<long>, kinds array<long>").collect()
     word_n, word_kinds = [sum(x.counts[k] for x in ends) for k in range(4)], [sum(x["kinds"][k] for x in ends) for k in range(3)]
     total = sum(int(np.load(f"{folder}/pairs-{s}.npy", mmap_mode="r").shape[0]) for s in range(shards) if os.path.exists(f"{folder}/pairs-{s}.npy"))
     known = {"tokens": tokens, "words": sum(sizes), "pairs": total, "pair_discounts": discounts(pair_n), "word_discounts": discounts(word_n), "word_kinds": word_kinds}
-    return rows.mapInArrow(_score(folder, shards, bases, known), SCORES)
+    return rows.mapInArrow(_score(folder, shards, bases, known, wide), SCORES)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

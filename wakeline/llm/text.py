@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the ASCII blanks 0x20 and 0x09-0x0D; ``bytes.split`` cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Entries of a worker's word caches; a cache that is full starts anew.
-CACHE = 400_000
+#: Entries of a worker's word caches, and bytes of a word that is kept; a cache that is full starts anew.
+CACHE, KEPT = 400_000, 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -26,9 +26,11 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to ``CACHE`` entries."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = out
         return out
 
     def of(self, found: list[bytes]) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import CACHE, documents, held
+from .text import CACHE, KEPT, documents, held
 
 
 class LongestMatch:
@@ -81,9 +81,11 @@ class LongestMatch:
 
     def __call__(self, word: bytes) -> int:
         if (n := self.cache.get(word)) is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            n = self.cache[word] = self.count(word)
+            n = self.count(word)
+            if len(word) <= KEPT:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[word] = n
         return n
 
 
@@ -114,7 +116,9 @@ def count_pieces(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_words`` and ``n_tokens`` of every whole text; a map without a shuffle.
 
     Words are cut at ASCII blanks and taken as they are, each with the blank
-    before it left out. A null or empty text has 0 of both. Rows may repeat.
+    before it left out. A null or empty text has 0 of both. Repeated rows are
+    counted each; other columns are ignored, whatever their names; an empty
+    table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_count(path), "doc_id long, n_words long, n_tokens long")
