@@ -70,6 +70,32 @@ def test_scores_of_odd_rows(odd, none):
     assert len(twice) == 24 and len({(r.doc_id, r.score) for r in twice}) == 12 and lm_scoring.score_documents(none).count() == 0
 
 
+def brute_quality(texts, labels):
+    """Cosines with all labelled vectors by a plain singular value decomposition, and a full sort."""
+    known = sorted((i, y) for i, y in labels.items() if fold(i, 3) != 1 and i in texts)
+    found = {i: quality_knn.term_counts(t) for i, t in texts.items()}
+    holds = Counter(k for i, _ in known for k in found[i])
+    terms = [k for k, n in sorted(holds.items(), key=lambda x: (-x[1], x[0])) if n >= max(2, quality_knn.LEAST_SHARE * len(known))][: quality_knn.MOST_TERMS]
+    rows = lambda ids: np.array([[found[i].get(k, 0.0) * log(1 + len(known) / holds[k]) for k in terms] for i in ids])
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    axes = np.linalg.svd(rows([i for i, _ in known]), full_matrices=False)[2][: quality_knn.DIMENSIONS].T
+    taught, out = unit(rows([i for i, _ in known]) @ axes), {}
+    for i, vector in zip(texts, unit(rows(texts) @ axes), strict=True):
+        near = sorted(((float(c), y) for c, (_, y) in zip(taught @ vector, known, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(max(c, 1e-6) ** 8, y) for c, y in near]
+        out[i] = sum(v * y for v, y in votes) / sum(v for v, _ in votes)
+    return out
+
+
+def test_quality_equals_brute_force(spark, texts):
+    labels = {i: int("!" in (t or "")) for i, t in texts.items() if i % 2}
+    want = brute_quality(texts, labels)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_knn.score_quality(docs, spark.createDataFrame([*labels.items()] * 2, "doc_id long, quality int")).collect()}
+    assert all(r.held_out == (fold(i, 3) == 1) and r.predicted == (r.score >= 0.5) for i, r in got.items())
+    assert sum(abs(got[i].score - want[i]) < 1e-3 for i in want) >= 0.98 * len(want) == 0.98 * len(got)
+
+
 def test_quality_on_held_out_rows(spark, odd, none):
     rows = quality_knn.op6_quality_classifier(spark, SMALL)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
@@ -80,6 +106,7 @@ def test_quality_on_held_out_rows(spark, odd, none):
     known = spark.createDataFrame([(3, 1), (8, 0), (5, None)], "doc_id long, quality int")
     got = quality_knn.score_quality(odd, known).collect()
     assert len(got) == 12 and all(0 <= r.score <= 1 for r in got)
+    assert {(r.doc_id, r.score) for r in quality_knn.score_quality(odd.unionByName(odd), known).collect()} and quality_knn.score_quality(odd.unionByName(odd), known).count() == 24
     assert {r.score for r in quality_knn.score_quality(odd, known.where("false")).collect()} == {0.5} and quality_knn.score_quality(none, known).count() == 0
 
 

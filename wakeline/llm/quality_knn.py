@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import crc_fold, documents, held
+from ..plans import materialize
+from .text import KEPT, crc_fold, documents, held, sliced
 
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
 SAMPLE = 4_000
@@ -30,16 +31,18 @@ def shape(token: bytes) -> str:
         sign = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != sign:
             out.append(sign)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class Terms(dict):
     """Terms of a token: itself in lower case and its outline; remembered up to a bound."""
 
     def __missing__(self, token: bytes) -> tuple[str, str]:
-        if len(self) > 300_000:
-            self.clear()
-        self[token] = out = ("w" + token.decode().lower(), "s" + shape(token))
+        out = ("w" + token.decode().lower(), "s" + shape(token))
+        if len(token) <= KEPT:
+            if len(self) > 300_000:
+                self.clear()
+            self[token] = out
         return out
 
 
@@ -71,28 +74,30 @@ def term_counts(text: str | None) -> dict[str, float]:
 
 
 class Space:
-    """Latent-semantic axes of the sample's terms, and the labelled vectors in them."""
-
-    def __init__(self, texts: list[str], labels: list[int]):
-        found = [term_counts(t) for t in texts]
-        holds = Counter(k for f in found for k in f)
-        most = [k for k, n in sorted(holds.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS] if n >= max(2, LEAST_SHARE * len(texts))]
-        self.place = {k: i for i, k in enumerate(most)}
-        self.weight = np.log1p(len(texts) / np.array([holds[k] for k in most] or [1])).astype(np.float32)
-        self.labels = np.array(labels, np.float32)
-        rows = self._rows(found) if texts else np.zeros((0, len(most)), np.float32)
+    """Latent-semantic axes of the sample's terms, and the labelled vectors in them.
+
+    ``taught`` has of each row its label and its values of ``terms``, by
+    number; ``holds`` says how many rows hold each term.
+    """
+
+    def __init__(self, terms: list[str], holds: list[int], taught: list[tuple[int, list[int], list[float]]]):
+        self.place = {k: i for i, k in enumerate(terms)}
+        self.weight = np.log1p(len(taught) / np.array(holds or [1])).astype(np.float32)
+        self.labels = np.array([t[0] for t in taught], np.float32)
+        rows = self._rows([t[1:] for t in taught])
         # axes of the terms' products: a square of the number of terms, whatever the sample
-        values, axes = np.linalg.eigh(rows.T @ rows) if len(most) else (np.zeros(0), np.zeros((0, 0)))
+        values, axes = np.linalg.eigh(rows.T @ rows) if terms and taught else (np.zeros(0), np.zeros((len(terms), 0)))
         self.axes = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS], np.float32)
         self.vectors = self._unit(rows @ self.axes)
 
-    def _rows(self, found: list[dict[str, float]]) -> np.ndarray:
+    def numbered(self, terms: dict[str, float]) -> tuple[list[int], list[float]]:
+        known = [(p, v) for t, v in terms.items() if (p := self.place.get(t)) is not None]
+        return ([p for p, _ in known], [v for _, v in known])
+
+    def _rows(self, found: list[tuple[list[int], list[float]]]) -> np.ndarray:
         out = np.zeros((len(found), len(self.place)), np.float32)
-        for k, terms in enumerate(found):
-            known = [(p, v) for t, v in terms.items() if (p := self.place.get(t)) is not None]
-            if known:
-                at, values = zip(*known, strict=True)
-                out[k, list(at)] = values
+        for k, (at, values) in enumerate(found):
+            out[k, at] = values
         out *= self.weight[: out.shape[1]]
         return out
 
@@ -104,7 +109,7 @@ class Space:
         """Votes for label 1 by cosine, among the nearest; a half where nothing was learnt."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        cosines = self._unit(self._rows([term_counts(t) for t in texts]) @ self.axes) @ self.vectors.T
+        cosines = self._unit(self._rows([self.numbered(term_counts(t)) for t in texts]) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         votes = np.maximum(np.take_along_axis(cosines, near, axis=1).astype(np.float64), 1e-6) ** 8
@@ -114,35 +119,63 @@ class Space:
 def _scored(space, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = space.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                some = batch.slice(at, BLOCK)
-                score = model.score(some.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+        for some in sliced(batches, BLOCK, 8_000_000):
+            score = model.score(some.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return run
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in sliced(batches, BLOCK, 8_000_000):
+        found = [term_counts(t) for t in some.column("text").to_pylist()]
+        lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), some.column("text_hash"), *lists], names=["doc_id", "label", "text_hash", "terms", "amounts"])
+
+
+def learn(rows: DataFrame, chosen: DataFrame) -> Space:
+    """The space of the chosen rows' terms. Terms are counted where texts are read; the driver gets the common ones, and of each row its values of these."""
+    taught = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_label").cast("int").alias("label"), F.xxhash64("text").alias("text_hash"), "text")
+    taught = materialize(taught.mapInArrow(_terms, "doc_id long, label int, text_hash long, terms array<string>, amounts array<double>"), "taught")
+    many = taught.count()
+    holds = taught.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, LEAST_SHARE * many))
+    common = holds.orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()
+    known = {r.term for r in common}
+    place = {r.term: k for k, r in enumerate(common)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[(place[t], v) for t, v in zip(*x, strict=True) if t in known] for x in zip(batch.column("terms").to_pylist(), batch.column("amounts").to_pylist(), strict=True)]
+            lists = [pa.array([[p[k] for p in some] for some in pairs], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "text_hash")), *lists], names=["doc_id", "label", "text_hash", "at", "amounts"])
+
+    gathered = taught.mapInArrow(numbered, "doc_id long, label int, text_hash long, at array<int>, amounts array<double>").collect()
+    gathered.sort(key=lambda r: r[:3])
+    return Space([r.term for r in common], [r.n for r in common], [r[1:2] + r[3:] for r in gathered])
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row, by its whole text; a map without a shuffle.
 
-    About ``sample`` labelled rows that aren't held out are gathered to build
-    the space; it is broadcast with its vectors, all of bounded size. Every
-    document is compared with every vector, a block of documents at a time.
+    About ``sample`` labelled rows that aren't held out build the space of
+    their ``MOST_TERMS`` most common terms; it is broadcast with its vectors,
+    all of bounded size. Every document is compared with every vector, a block
+    of documents at a time.
 
     A null or empty text is scored like any other, by having no words. Rows
-    whose label is null teach nothing; an id with several labels counts once
-    for each. With no labels at all every score is 0.5. Ties at the edge of the
-    nearest fall by position in the sample, which is ordered by id.
+    whose label is null teach nothing; a repeated label counts once, an id with
+    two labels once for each, and each row of a repeated id teaches. With no
+    labels at all every score is 0.5. Ties at the edge of the nearest fall by
+    position in the sample, which is ordered by id. Repeated rows score alike,
+    a null id isn't held out, other columns are ignored, whatever their names,
+    and an empty table gives none.
     """
     out = F.coalesce(crc_fold("doc_id", by) == held, F.lit(False))
-    known = labels.where(F.col("quality").isNotNull() & ~crc_fold("doc_id", by).eqNullSafe(F.lit(held))).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_label"))
+    known = labels.where(F.col("quality").isNotNull() & ~crc_fold("doc_id", by).eqNullSafe(F.lit(held))).select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_label")).distinct()
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text")
-    taught = rows.where("not held_out").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label").collect()
-    taught.sort(key=lambda r: (r[0], r[1] or "", r[2]))
-    space = docs.sparkSession.sparkContext.broadcast(Space([r[1] for r in taught], [r[2] for r in taught]))
+    space = docs.sparkSession.sparkContext.broadcast(learn(rows.where("not held_out"), chosen))
     return rows.mapInArrow(_scored(space, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double, predicted int")
 
 
