@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -11,7 +12,7 @@ METRE = 1 / 111_194.93
 
 def ids(spark, fixes, rules=VoyageConfig()):
     rows = [(k, 1, *f) for k, f in enumerate(fixes)]
-    placed, tracks = voyages.detect(spark.createDataFrame(rows, POSITION), rules)
+    placed, tracks = voyages.detect(spark.createDataFrame(rows, POSITION), replace(rules, first_track_id=0))
     return [r.track_id for r in placed.orderBy("seq").collect()], [(r.track_id, r.points_count) for r in tracks.orderBy("track_ord").collect()]
 
 
@@ -51,12 +52,13 @@ def test_drift_never_idles(spark):
 def test_ids_follow_first_fixes_and_tables_closing(spark):
     random.seed(3)
     rules = VoyageConfig(gap_very_hard_sec=500)
+    assert rules.first_track_id == 1
     rows, now = [], [0] * 4
     for k in range(400):
         ship = random.randrange(4)
         now[ship] += random.choice((60, 100, 400, 600))
         rows.append((k, ship, now[ship], 30.0, 130.0, 100, "A"))
-    open_, next_id, want, counts, closed = {}, 0, [], {}, []
+    open_, next_id, want, counts, closed = {}, 1, [], {}, []
     last = {}
     for seq, ship, ts, *_ in rows:
         if ship not in open_ or ts - last[ship] > 500:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from math import asin, cos, radians, sin, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import VoyageConfig
@@ -81,48 +81,68 @@ class Vessel:
         return out
 
 
+#: A row per fix (``first_seq`` is null), and one per voyage that ended or is still open at the vessel's last fix.
+WALKED = "seq long, ship_id long, local_no int, first_seq long, start_timestamp int, end_timestamp int, start_lat float, start_lon float, end_lat float, end_lon float, points_count int, open int, closing long"
+
+
 def _walk(rules: VoyageConfig):
+    """Fixes with the number of their voyage, and voyages as they end: where they began, the last fix and the vessel's next, which closes them."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ship, state = None, None
+        ship, state, ship_first, now, ended = None, None, None, None, []
+
+        def end(closing: int | None) -> None:
+            nonlocal now
+            if now is not None:
+                number, seq, first, last, points = now
+                ended.append((ship, number, seq, first[0], last[0], *first[1:3], *last[1:3], points, int(closing is None), ship_first if closing is None else closing))
+            now = None
+
         for frame in frames:
-            numbers, opens = [], []
-            for ship_id, *fix in zip(*(frame[c].tolist() for c in ("ship_id", "timestamp", "lat", "lon", "speed", "destination")), strict=True):
+            numbers = []
+            for seq, ship_id, *fix in zip(*(frame[c].tolist() for c in ("seq", "ship_id", "timestamp", "lat", "lon", "speed", "destination")), strict=True):
                 if ship_id != ship:
-                    ship, state = ship_id, Vessel(rules=rules)
+                    end(None)
+                    ship, state, ship_first = ship_id, Vessel(rules=rules), seq
                 number, opened = state.take(tuple(fix))
                 numbers.append(number)
-                opens.append(opened)
-            yield pd.DataFrame({"seq": frame["seq"], "ship_id": frame["ship_id"], "timestamp": frame["timestamp"], "lat": frame["lat"], "lon": frame["lon"], "local_no": numbers, "opens": opens})
+                if opened or number < 0:
+                    end(seq)
+                if opened:
+                    now = [number, seq, fix, fix, 1]
+                elif number >= 0:
+                    now[3:] = fix, now[4] + 1
+            yield _frame(frame["seq"], frame["ship_id"], numbers, ended)
+            ended.clear()
+        end(None)
+        yield _frame([], [], [], ended)
 
     return run
 
 
+def _frame(seq, ship_id, numbers: list[int], ended: list[tuple]) -> pd.DataFrame:
+    names = [x.split()[0] for x in WALKED.split(", ")]
+    fixes = pd.DataFrame({"seq": seq, "ship_id": ship_id, "local_no": numbers})
+    return pd.concat([fixes, pd.DataFrame(ended, columns=names[1:])]).reindex(columns=names)
+
+
 def detect(positions: DataFrame, rules: VoyageConfig = VoyageConfig()) -> tuple[DataFrame, DataFrame]:
     """Positions (seq, ship_id, track_id) and voyages of at least two fixes.
 
     Fixes are hashed by vessel and sorted by arrival; a task walks through its
     vessels row by row and holds one vessel's state only, so long histories
-    stream. Voyages are numbered by the arrival of their first fix, over a
-    table with a row per voyage; their table is ordered by when they closed.
+    stream. Voyages are numbered from ``first_track_id`` by the arrival of
+    their first fix, over a table with a row per voyage, which the walk gives;
+    their table is ordered by when they closed.
     """
     rows = positions.select("seq", "ship_id", F.col("timestamp").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"), F.col("speed").cast("int"), "destination")
-    walked = rows.repartition("ship_id").sortWithinPartitions("ship_id", "seq").mapInPandas(_walk(rules), "seq long, ship_id long, timestamp long, lat double, lon double, local_no int, opens boolean")
+    walked = rows.repartition("ship_id").sortWithinPartitions("ship_id", "seq").mapInPandas(_walk(rules), WALKED)
     walked = materialize(walked, "walked")
-    firsts = walked.where("opens").select("ship_id", "local_no", F.col("seq").alias("first_seq"), F.lit(1).cast("long").alias("one"))
-    ids = running_total(firsts, ["first_seq", "ship_id"], "one", "track_id").select("ship_id", "local_no", "first_seq", "track_id")
-    numbered = walked.join(ids.select("ship_id", "local_no", "track_id"), ["ship_id", "local_no"], "left")
+    ended = walked.where("first_seq is not null").drop("seq").withColumn("one", F.lit(1).cast("long"))
+    ids = running_total(ended, ["first_seq", "ship_id"], "one", "track_id").withColumn("track_id", F.col("track_id") + rules.first_track_id)
+    fixes = walked.where("first_seq is null").select("seq", "ship_id", "local_no")
+    numbered = fixes.join(ids.select("ship_id", "local_no", "track_id"), ["ship_id", "local_no"], "left")
     placed = numbered.select("seq", "ship_id", F.coalesce("track_id", F.lit(rules.idle_track_id)).cast("long").alias("track_id"))
-
-    on = numbered.where("local_no >= 0")
-    first, last = (lambda c: F.min_by(c, "seq")), (lambda c: F.max_by(c, "seq"))
-    tracks = on.groupBy("track_id", "ship_id").agg(
-        first("timestamp").cast("int").alias("start_timestamp"), last("timestamp").cast("int").alias("end_timestamp"), first("lat").cast("float").alias("start_lat"), first("lon").cast("float").alias("start_lon"),
-        last("lat").cast("float").alias("end_lat"), last("lon").cast("float").alias("end_lon"), F.count("*").cast("int").alias("points_count"), F.max("seq").alias("last_seq"), F.max("local_no").alias("no"),
-    )
     # a voyage closes with the vessel's next fix; open ones follow, by the vessel's first
-    order = Window.partitionBy("ship_id").orderBy("seq")
-    after = walked.select("ship_id", F.col("seq").alias("last_seq"), F.lead("seq").over(order).alias("closes"), F.min("seq").over(Window.partitionBy("ship_id")).alias("ship_first"))
-    tracks = tracks.where("points_count >= 2").join(after, ["ship_id", "last_seq"])
-    tracks = tracks.withColumns({"open": F.col("closes").isNull().cast("int"), "closing": F.coalesce("closes", "ship_first"), "one": F.lit(1).cast("long")})
-    tracks = running_total(tracks.drop("ship_first", "closes"), ["open", "closing", "track_id"], "one", "track_ord")
+    tracks = running_total(ids.where("points_count >= 2"), ["open", "closing", "track_id"], "one", "track_ord")
     return placed, tracks.select("track_id", "ship_id", "start_timestamp", "end_timestamp", "start_lat", "start_lon", "end_lat", "end_lon", "points_count", "track_ord")

@@ -498,14 +498,31 @@ def loss_values(spark, sf_dir):
     return _rounded(metrics.losses(_logits(spark, sf_dir)), 6, "bce", "dice_loss")
 
 
-@query()
+#: The state of each vessel, carried from fix to fix by a recursion: rest before the fix decides on destinations, rest with it on idling.
+_WALK = f"""o as (select seq, ship_id, "timestamp" ts, lat, lon, speed, destination dest, row_number() over (partition by ship_id order by seq) rn from pos),
+w as (select ship_id, rn, seq, ts, lat, lon, dest, 0 voyage, 0 local_no, false idle, lat ila, lon ilo, dest idest, lat ala, lon alo, speed<10 stopped, cast(0 as bigint) still from o where rn=1
+union all select ship_id, rn, seq, ts, lat, lon, dest, case when act='begin' then voyage+1 else voyage end, case when act='begin' then voyage+1 when act='stay' then voyage else -1 end, act in ('rest','idle'),
+  case when act='rest' then lat else ila end, case when act='rest' then lon else ilo end, case when act='rest' then dest else idest end, case when act='begin' then lat else ala2 end, case when act='begin' then lon else alo2 end, slow, case when act='begin' then 0 else still2 end
+ from (select *, case when idle then case when cast(not slow as int)+cast(away>60000 as int)+cast(dest<>idest as int)>=2 then 'begin' else 'idle' end when brk then 'begin' when slow and still2>=900 then 'rest' else 'stay' end act
+ from (select *, case when slow and not inside then lat else ala1 end ala2, case when slow and not inside then lon else alo1 end alo2, case when slow and inside then still1+dt else 0 end still2
+ from (select *, {_distance("ala1", "alo1", "lat", "lon")}<=60000 inside, {_distance("ila", "ilo", "lat", "lon")} away, dt>2400 or (dt>1200 and far>150000) or far>250000 or (dest<>pdest and (dt>600 or far>50000 or stopped)) brk
+ from (select o.*, w.voyage, w.idle, w.ila, w.ilo, w.idest, w.dest pdest, w.stopped, greatest(0, o.ts-w.ts) dt, {_distance("w.lat", "w.lon", "o.lat", "o.lon")} far, o.speed<10 slow,
+  case when o.speed<10 and not w.stopped then o.lat else w.ala end ala1, case when o.speed<10 and not w.stopped then o.lon else w.alo end alo1, case when w.stopped then w.still else 0 end still1
+  from w join o on o.ship_id=w.ship_id and o.rn=w.rn+1) a) b) c) d),
+n as (select *, row_number() over (order by first_seq) track_id from (select ship_id, local_no, min(seq) first_seq, arg_min(ts, seq) t0, arg_max(ts, seq) t1, arg_min(lat, seq) la0, arg_min(lon, seq) lo0, arg_max(lat, seq) la1, arg_max(lon, seq) lo1, count(*) points, max(rn) last_rn from w where local_no>=0 group by ship_id, local_no))"""
+
+
+@query(f"{POS}, {_WALK} select w.seq, w.ship_id, coalesce(n.track_id, -1) track_id from w left join n on n.ship_id=w.ship_id and n.local_no=w.local_no")
 def voyage_positions(spark, sf_dir):
     return voyages.detect(positions(spark, sf_dir), VOYAGES)[0]
 
 
-@query()
+@query(f"""{POS}, {_WALK} select n.track_id, n.ship_id, cast(t0 as int) start_timestamp, cast(t1 as int) end_timestamp, round(la0,4) start_lat, round(lo0,4) start_lon, round(la1,4) end_lat, round(lo1,4) end_lon, cast(points as int) points_count,
+ row_number() over (order by c.seq is null, coalesce(c.seq, f.seq), n.track_id)-1 track_ord from n left join o c on c.ship_id=n.ship_id and c.rn=n.last_rn+1 join o f on f.ship_id=n.ship_id and f.rn=1 where points>=2""")
 def voyage_tracks(spark, sf_dir):
-    return voyages.detect(positions(spark, sf_dir), VOYAGES)[1]
+    found = voyages.detect(positions(spark, sf_dir), VOYAGES)[1]
+    places = ("start_lat", "start_lon", "end_lat", "end_lon")
+    return _rounded(found.withColumns({c: F.col(c).cast("double") for c in places}), 4, *places)
 
 
 def _examples(spark, sf_dir, grid):
