@@ -45,14 +45,15 @@ class Encoder:
     ids are cut again at what stands between them. A text that holds the string
     of a special token, or a character that tools take for a blank differently,
     goes to the library whole. ``special=False`` reads such strings as ordinary
-    text. Memory: at most ``KNOWN`` parts of ``LONGEST`` characters, and one
-    group of texts.
+    text. Memory: at most ``KNOWN`` parts of ``LONGEST`` characters, or ``known``,
+    and one group of texts.
     """
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, path: str, special: bool = True, known: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = known or KNOWN
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not special
         vocabulary = self.library.get_vocab()
@@ -153,7 +154,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        if len(self.known) > KNOWN:
+        if len(self.known) > self.most:
             self.known = {FIRST: b""}
         get, wait, new = self.known.get, [], set()
         for k, text in enumerate(texts):
@@ -187,6 +188,6 @@ class Encoder:
             yield some, np.frombuffer(last.join([*coded, b""]), np.uint32), ends
 
 
-def encoder(path: str, special: bool = True) -> Encoder:
-    """This process's encoder for a vocabulary file."""
-    return held(f"encoder of {path}, {special}", "tool", lambda: Encoder(path, special))
+def encoder(path: str, special: bool = True, known: int | None = None) -> Encoder:
+    """This process's encoder for a vocabulary file; ``known`` bounds its table where that shares a worker with others."""
+    return held(f"encoder of {path}, {special}, {known}", "tool", lambda: Encoder(path, special, known))

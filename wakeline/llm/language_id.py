@@ -23,7 +23,7 @@ ORDERS = (5, 4, 3, 2, 1)
 #: A document of a score below this is rejected where documents are filtered.
 LEAST_SCORE = 0.5
 #: Numbers of a worker's table of scores (4 bytes each), and bytes of a token that is kept in it.
-NUMBERS, KEPT = 1_600_000, 64
+NUMBERS, KEPT = 800_000, 64
 #: Up to so many languages, their counts are broadcast.
 BROADCAST_LANGS = 10_000
 

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from ..plans import materialize
 from ..plans.materialize import scratch_root
-from .text import CACHE, KEPT, crc_fold, documents, held, mix, word_hashes, words
+from .text import KEPT, crc_fold, documents, held, mix, word_hashes, words
 
 #: The end of a text is a token of its own; no word is empty. A text's first word follows the start, whose number no word has.
 END, START, WIDE_START = b"", 0xFFFFFFFF, 1 << 62
-#: Texts read together: about so many tokens at once.
-TOKENS = 1_000_000
+#: Texts read together: about so many tokens at once. Words whose numbers a worker keeps.
+TOKENS, NUMBERED = 1_000_000, 400_000
 #: Documents for one shard of the model's arrays, whose number grows with them; shards are ranges of hashes.
 DOCS_PER_SHARD, LEAST_SHARDS = 100_000, 64
 #: From so many distinct words on, two numbers don't make one key of 64 bits, and keys of pairs are hashes.
@@ -181,7 +181,7 @@ class Arrays:
         flat = [w for found in tokens for w in found]
         new = list(set(flat).difference(self.ids))
         if new:
-            if len(self.ids) + len(new) > CACHE:
+            if len(self.ids) + len(new) > NUMBERED:
                 self.ids.clear()
                 new = list(set(flat))
             keys = word_hashes("lm").of(new)

@@ -20,11 +20,11 @@ END, ROOM = 1, 4096
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, part_rank long"
 
 
-def _cut(path: str, end: int, room: int):
+def _cut(path: str, end: int, room: int, known: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, names = TaskContext.get().partitionId(), [x.split()[0] for x in PIECES.split(", ")]
         types, seen = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), np.zeros(room + 1, np.int64)
-        for some, ids, ends in encoder(path).groups(batches, end):
+        for some, ids, ends in encoder(path, known=known).groups(batches, end):
             raw, begin, found = memoryview(ids).cast("B"), 0, []
             for doc_id, stop in zip(some.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                 for piece, at in enumerate(range(begin, stop, room)):
@@ -107,7 +107,7 @@ def _place(plan_of):
     return run
 
 
-def pack(docs: DataFrame, path: str, end: int = END, room: int = ROOM) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = END, room: int = ROOM, known: int | None = None) -> DataFrame:
     """Pieces of all documents (null text: empty) with their place in sequences of at most ``room`` tokens.
 
     Only documents above ``room`` are cut. Where a piece goes depends on its
@@ -115,11 +115,14 @@ def pack(docs: DataFrame, path: str, end: int = END, room: int = ROOM) -> DataFr
     numbers at any input size); ranks among equal lengths come from counts per
     task and length. The plan is broadcast: its rows are bounded by what
     :func:`plan_bins` says, not by the documents. Texts are never shuffled.
-    Repeated rows and ids give pieces of their own; an empty table gives none.
+    Pieces of equal length are placed in the order in which they were read.
+    Repeated rows and ids give pieces of their own; other columns are ignored,
+    whatever their names; an empty table gives none. ``known`` bounds a
+    worker's table of parts where other operators use its memory, too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialize(rows.mapInArrow(_cut(path, end, room), PIECES), "pieces")
+    pieces = materialize(rows.mapInArrow(_cut(path, end, room, known), PIECES), "pieces")
     parts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = materialize(parts.withColumn("base", F.coalesce(before, F.lit(0))), "lengths")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the ASCII blanks 0x20 and 0x09-0x0D; ``bytes.split`` cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a worker's word caches, and bytes of a word that is kept; a cache that is full starts anew.
-CACHE, KEPT = 400_000, 64
+CACHE, KEPT = 150_000, 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,8 +77,17 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def release() -> None:
+    """Give back what this process no longer needs: a worker serves one operator after another, and its memory stays at the most that any took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows, and about so many bytes of ``text``; a longer text is a slice of its own."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
