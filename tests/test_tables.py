@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline import config, schema
+from wakeline.functions import dates
 from wakeline.operators import activity, events, gaps, layout, metrics, ports, rasters, relational, selection
 from wakeline.sources import archive, artifacts, dataset
 
@@ -85,13 +86,16 @@ def test_dense_cells(spark):
         rasters.dense_cells(cells, "absolute", 0)
 
 
-def test_ports_end_to_end(spark):
+def test_ports_end_to_end(spark, tmp_path):
     tracks = [(k, 1, 0, 100 + k, 0.5, 0.5, 5.5, 5.5, 3, k) for k in range(4)] + [(9, 1, 0, 50, 5.5, 5.5, 0.5, 0.5, 3, 9)]
     table = spark.createDataFrame([(*t[:4], *map(float, t[4:8]), *t[8:]) for t in tracks], "track_id long, ship_id long, start_timestamp int, end_timestamp int, start_lat double, start_lon double, end_lat double, end_lon double, points_count int, track_ord long")
     fixes = spark.createDataFrame([(k, t[0], 10 * n, 0.5 + n, 0.5 + n, d) for k, (t, n, d) in enumerate((t, n, d) for t in tracks for n, d in enumerate(("none", "osaka_bay")))], "seq long, track_id long, timestamp long, lat double, lon double, destination string")
     setup = config.PortConfig(extent=(0.0, 10.0, 0.0, 10.0), bins=(10, 10), threshold_mode="absolute", threshold_value=1.0, min_cluster_cells=1)
     found = ports.extract(table, fixes, setup)
     assert {r.pair: r.track_ids for r in found["poi_pairs"].collect()} == {"0->1": [0, 1, 2, 3], "1->0": [9]}
+    where = ports.write_document(found, str(tmp_path / "set.h5"), setup)
+    assert where.endswith("set_poi.json") and {r.track_id for r in ports.document_track_ids(spark, where).collect()} == {0, 1, 2, 3, 9}
+    assert ports.read_quality(spark, where).count() == found["track_quality"].count() == 5
     body = json.loads(ports.document(found, "x", setup))
     assert body["stats"] == {"pois_count": 2, "pairs_count": 2, "tracks_count": 5} and body["pois"][1]["top_destinations"] == [{"name": "OSAKA BAY", "count": 4}]
 
@@ -130,8 +134,27 @@ def test_layout_files(spark, tmp_path):
 
 
 def test_both_directions_of_one_voyage(spark):
-    row = spark.createDataFrame([(1, 30.0, 130.0, 30.0, 130.0)], "track_id long, start_lat double, start_lon double, end_lat double, end_lon double")
-    assert sorted(r.direction for r in selection.both_ways(row, (30.0, 130.0), (30.01, 130.0), 5000).collect()) == ["AB", "BA"]
+    row = spark.createDataFrame([(1, 30.0, 130.0, 30.0, 130.0, 5, 9), (2, 30.0, 130.0, 30.0, 130.0, 3, 4), (3, 0.0, 0.0, 0.0, 0.0, 1, 99)], "track_id long, start_lat double, start_lon double, end_lat double, end_lon double, start_timestamp long, end_timestamp long")
+    found = selection.both_ways(row, (30.0, 130.0), (30.01, 130.0), 5000).collect()
+    assert sorted((r.track_id, r.direction) for r in found) == [(1, "AB"), (1, "BA"), (2, "AB"), (2, "BA")] and {(r.min_ts, r.max_ts) for r in found} == {(3, 9)}
+
+
+def test_things_that_queries_do_not_reach(spark):
+    """Seeded samples, scraped strings, times of a fixed offset, means over samples."""
+    rows = spark.range(100).withColumnRenamed("id", "track_id")
+    one, other = ([r.track_id for r in selection.shuffled_head(rows.repartition(n), "track_id", 7, 10).collect()] for n in (1, 5))
+    assert one == other != sorted(one) and len(set(one)) == 10 and one != [r.track_id for r in selection.shuffled_head(rows, "track_id", 8, 10).collect()]
+    raw = spark.createDataFrame([("12", "1.5", "--", "86400", "x")], "SHIP_ID string, LAT string, FLAG string, TIMESTAMP string, SPEED string")
+    clean = relational.clean_legacy(raw).first()
+    assert (clean.SHIP_ID, clean.LAT, clean.FLAG, clean.SPEED) == (12, 1.5, None, None) and str(clean.TIMESTAMP) == "1970-01-02 00:00:00"
+    assert str(spark.createDataFrame([(0,)], "at long").select(dates.local_time("at").alias("t")).first().t) == "1970-01-01 10:00:00"
+    cells = spark.createDataFrame([(1, 0.9, 1.0), (1, 0.2, 0.0), (2, 0.9, 0.0), (2, 0.9, 1.0)], "sample int, logit double, target double").withColumn("logit", F.col("logit") - 0.5)
+    one, two = (r.iou for r in metrics.sample_metrics(cells).orderBy("sample").collect())
+    assert metrics.mean_metrics(cells).first().iou == pytest.approx((one + two) / 2) and (round(one, 6), round(two, 6)) == (1.0, 0.5)
+
+
+def test_ports_documents_lie_beside_their_dataset():
+    assert [ports.default_path(p) for p in ("/a/b/data.h5", "/a/b/data/", "data")] == ["/a/b/data_poi.json", "/a/b/data_poi.json", "data_poi.json"]
 
 
 def test_frames(spark):

@@ -81,6 +81,15 @@ def tile_of(path) -> dict[str, Column]:
     return {n: F.regexp_extract(_c(path), rf"{k}:(\d+)", 1).try_cast("int") for n, k in (("tile_z", "z"), ("tile_x", "X"), ("tile_y", "Y"))}
 
 
+def url_position(url) -> Column:
+    """Longitude, latitude and zoom that a map's URL names, as a struct; null where it names none."""
+    url = F.col(url) if isinstance(url, str) else url
+    number = r"(-?\d+(?:\.\d+)*)"
+    pattern = f"centerx:{number}/centery:{number}/zoom:(\\d+)"
+    part = lambda k, kind: F.nullif(F.regexp_extract(url, pattern, k), F.lit("")).try_cast(kind)
+    return F.when(F.regexp_like(url, F.lit(pattern)), F.struct(part(1, "double").alias("x"), part(2, "double").alias("y"), part(3, "int").alias("zoom")))
+
+
 def event_time(response, elapsed) -> Column:
     """When a fix was taken: the response's time less its age."""
     return _c(response) - F.coalesce(_c(elapsed), F.lit(0))

@@ -70,6 +70,19 @@ def distribution(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.count(value).alias("n_rows"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *(F.percentile(value, s).alias(f"p{round(s * 100)}") for s in shares))
 
 
+def describe(rows: DataFrame, value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of a column, a row."""
+    v = number(value)
+    return rows.agg(F.count(value).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *(F.percentile(v, s).alias(f"q{round(s * 100)}") for s in (0.25, 0.5, 0.75)), F.max(v).alias("max"))
+
+
+def median_steps(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The median difference between neighbouring distinct values of each group."""
+    order = Window.partitionBy(by).orderBy(value)
+    steps = rows.select(by, value).distinct().withColumn("step", F.col(value) - F.lag(value).over(order))
+    return steps.where("step is not null").groupBy(by).agg(F.percentile("step", 0.5).alias("median_step"), F.count("*").alias("n_steps"))
+
+
 def slice_stats(positions: DataFrame, by: str = "ship_id") -> DataFrame:
     """Speeds of a slice and what its last fix says."""
     last = [F.max_by(c, "seq").alias(f"last_{c}") for c in ("speed", "heading", "course", "rot", "destination")]

@@ -12,19 +12,29 @@ from ..schema import LAYOUT_FIELDS
 
 def buckets(config: LayoutConfig = LayoutConfig()) -> dict[str, Column]:
     """Group and sub-range of a voyage id; floors, so that idle rows (-1) get a group of their own."""
-    size, tid = config.tracks_per_group, F.col("track_id")
-    width = -(-size // config.datasets_per_group)
+    size, tid = config.group, F.col("track_id")
+    width = -(-size // config.parts)
     group = F.floor(tid / size).cast("long") * size
     sub = group + F.floor((tid - group) / width).cast("long") * width
     return {"track_group": group, "group_label": range_label(group, group + (size - 1)), "subrange": sub, "subrange_label": range_label(sub, F.least(sub + (width - 1), group + (size - 1)))}
 
 
+#: Tasks that share a sub-range of voyages: a voyage's rows stay together, and a busy range is spread.
+SPREAD = 8
+
+
 def track_sorted(positions: DataFrame, wanted: DataFrame | None = None, config: LayoutConfig = LayoutConfig(), fields=LAYOUT_FIELDS) -> DataFrame:
-    """Chosen fields of the wanted voyages, ranged by voyage and sorted by time; ``seq`` settles ties."""
+    """Chosen fields of the wanted voyages, dealt by sub-range and sorted by time within a voyage; ``seq`` settles ties.
+
+    Sub-ranges are arithmetic, so nothing is sampled and what lies before runs
+    once. The voyages of a sub-range go to ``SPREAD`` tasks.
+    """
     rows = positions.select(*(f for f in fields if f in positions.columns), "seq")
-    if config.use_poi_filter and wanted is not None:
+    if wanted is not None:
         rows = rows.join(wanted.select("track_id"), "track_id", "left_semi")
-    return rows.withColumn("track_group", buckets(config)["track_group"]).repartitionByRange("track_group", "track_id").sortWithinPartitions("track_group", "track_id", "timestamp", "seq")
+    made = buckets(config)
+    rows = rows.withColumns({"track_group": made["track_group"], "_part": made["subrange"]})
+    return rows.repartition("_part", F.pmod(F.xxhash64("track_id"), F.lit(SPREAD))).sortWithinPartitions("track_group", "track_id", "timestamp", "seq").drop("_part")
 
 
 def write_track_sorted(positions: DataFrame, path: str, wanted: DataFrame | None = None, config: LayoutConfig = LayoutConfig(), mode: str = "errorifexists") -> None:
@@ -33,7 +43,7 @@ def write_track_sorted(positions: DataFrame, path: str, wanted: DataFrame | None
 
 def track_points(table: DataFrame, track_id: int, s: int | None = None, e: int | None = None, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """One voyage of the layout, or its slice [s, e): the group prunes folders, sorted files skip row groups."""
-    size = config.tracks_per_group
+    size = config.group
     rows = table.where((F.col("track_group") == track_id // size * size) & (F.col("track_id") == track_id))
     if s is None:
         return rows.orderBy("timestamp", "seq")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PortConfig
 from ..functions.geo import grid_cell, in_box
 from ..functions.text import bad_destination, normal_destination, pair_key
+from ..plans import materialize
 from . import rasters
 from .gaps import gap_metrics
 
@@ -54,12 +55,29 @@ def assign(tracks: DataFrame, labelled: DataFrame, config: PortConfig = PortConf
     return rows.drop("start_iy", "start_ix", "end_iy", "end_ix")
 
 
+def pair_counts(assigned: DataFrame) -> DataFrame:
+    """How many voyages run between each pair of ports; a partial aggregate, however busy a pair is."""
+    found = assigned.groupBy("start_poi", "end_poi").agg(F.count("*").alias("tracks_count"))
+    return found.select(pair_key("start_poi", "end_poi").alias("pair"), "start_poi", "end_poi", "tracks_count")
+
+
+def pair_tracks(assigned: DataFrame) -> DataFrame:
+    """A row per voyage with its pair, in whose order of closing they are listed: what :func:`pairs` lists, at any size."""
+    return assigned.select(pair_key("start_poi", "end_poi").alias("pair"), "start_poi", "end_poi", "track_ord", "track_id")
+
+
 def pairs(assigned: DataFrame) -> DataFrame:
-    """Voyages between each pair of ports, listed by their order of closing."""
+    """Voyages between each pair of ports, listed by their order of closing. A list is one value: for documents of one extract."""
     found = assigned.groupBy("start_poi", "end_poi").agg(F.count("*").alias("tracks_count"), F.array_sort(F.collect_list(F.struct("track_ord", "track_id"))).alias("_t"))
     return found.select(pair_key("start_poi", "end_poi").alias("pair"), "start_poi", "end_poi", "tracks_count", F.col("_t.track_id").alias("track_ids"))
 
 
+def port_tracks(assigned: DataFrame) -> DataFrame:
+    """A row for each end of a voyage at a port: ``port_end`` says whether it starts or ends there."""
+    ends = F.array(*(F.struct(F.lit(end).alias("port_end"), F.col(f"{end}_poi").alias("poi_id")) for end in ("start", "end")))
+    return assigned.select("track_id", "track_ord", F.explode(ends).alias("x")).select("x.poi_id", "x.port_end", "track_ord", "track_id").where("poi_id >= 0")
+
+
 def last_destination(positions: DataFrame) -> DataFrame:
     """The destination of each voyage's latest fix; the first to arrive wins a tie."""
     return positions.groupBy("track_id").agg(F.max_by("destination", F.struct(F.col("timestamp"), -F.col("seq"))).alias("destination"))
@@ -79,10 +97,10 @@ def top_destinations(counts: DataFrame, top: int = 10) -> DataFrame:
 
 def extract(tracks: DataFrame, positions: DataFrame, config: PortConfig = PortConfig()) -> dict[str, DataFrame]:
     """All tables of the port document: ``pois``, ``poi_pairs``, ``track_quality``, ``assigned`` and ``cells``."""
-    heat = rasters.start_end_heatmap(tracks, config.extent, config.bins, config.min_track_points)
+    heat = materialize(rasters.start_end_heatmap(tracks, config.extent, config.bins, config.min_track_points), "heat")
     dense = rasters.dense_cells(heat, config.threshold_mode, config.threshold_value)
     labelled = rasters.components(dense, config.min_cluster_cells, config.bins)
-    assigned = assign(tracks, labelled, config)
+    assigned = materialize(assign(tracks, labelled, config), "assigned")
     on_voyages = positions.join(assigned.select("track_id"), "track_id", "left_semi")
     named = top_destinations(destinations(assigned, last_destination(on_voyages), config), config.top_destinations_per_poi)
     listed = named.groupBy(F.col("end_poi").alias("poi_id")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "count"))).alias("_n"))
@@ -92,21 +110,45 @@ def extract(tracks: DataFrame, positions: DataFrame, config: PortConfig = PortCo
 
 
 def document(found: dict[str, DataFrame], source: str, config: PortConfig = PortConfig()) -> str:
-    """The port document as JSON; it holds the ports and pairs of one extract, gathered on the driver."""
+    """The port document as JSON; it holds the ports and pairs of one extract, gathered on the driver. The qualities of voyages are a table, see :func:`write_document`."""
     pois = [r.asDict(recursive=True) for r in found["pois"].orderBy("poi_id").collect()]
     links = [r.asDict() for r in found["poi_pairs"].orderBy("start_poi", "end_poi").collect()]
-    quality = {str(r.track_id): {"points_seen": r.points_seen, "max_gap_sec": r.max_gap_sec, "max_gap_dist_m": r.max_gap_dist_m} for r in found["track_quality"].toLocalIterator()}
     limit = found["cells"].agg(F.max("threshold")).first()[0]
     body = {
         "source_dataset": source, "extent": list(config.extent), "bins": list(config.bins),
         "threshold": {"mode": config.threshold_mode, "value": config.threshold_value, "dense_thr": limit or 0.0, "min_cluster_cells": config.min_cluster_cells},
         "stats": {"pois_count": len(pois), "pairs_count": len(links), "tracks_count": sum(x["tracks_count"] for x in links)},
         "pois": [{k: v for k, v in p.items() if k not in ("min_lon", "min_lat", "max_lon", "max_lat")} | {"bbox": [p["min_lon"], p["min_lat"], p["max_lon"], p["max_lat"]], "top_destinations": p["top_destinations"] or []} for p in pois],
-        "pairs": {x.pop("pair"): x for x in links}, "track_quality": quality,
+        "pairs": {x.pop("pair"): x for x in links},
     }
     return json.dumps(body, ensure_ascii=False)
 
 
+def default_path(dataset: str) -> str:
+    """Where a dataset's port document lies: beside it, by its name."""
+    folder, _, name = dataset.rstrip("/").rpartition("/")
+    return f"{folder}/{name.rpartition('.')[0] or name}_poi.json" if folder else f"{name.rpartition('.')[0] or name}_poi.json"
+
+
+def write_document(found: dict[str, DataFrame], source: str, config: PortConfig = PortConfig(), path: str | None = None) -> str:
+    """Write the document as one file and its qualities, a row per voyage, as a table beside it; gives the file's path."""
+    path = path or default_path(source)
+    spark = found["pois"].sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(document(found, source, config).encode()))
+    finally:
+        out.close()
+    found["track_quality"].write.mode("overwrite").parquet(path.removesuffix(".json") + "_quality")
+    return path
+
+
+def read_quality(spark, path: str) -> DataFrame:
+    """The qualities beside a port document."""
+    return spark.read.parquet(path.removesuffix(".json") + "_quality")
+
+
 def document_track_ids(spark, path: str) -> DataFrame:
     """The voyages that a port document's pairs list."""
     schema = "pairs map<string,struct<start_poi:int,end_poi:int,tracks_count:bigint,track_ids:array<bigint>>>"

@@ -72,6 +72,12 @@ def log_scaled(cells: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(most)).withColumn("value", F.when(F.col("_most") > 0, F.log1p("cnt") / F.col("_most")).otherwise(0.0)).drop("_most")
 
 
+def display_scaled(cells: DataFrame, share: float = 0.98) -> DataFrame:
+    """Counts over their percentile of a share, held at 1: what a picture shows without being drowned by the busiest cells."""
+    top = cells.agg(F.percentile("cnt", share).cast("double").alias("_top"))
+    return cells.join(F.broadcast(top)).withColumn("shade", F.when(F.col("_top") > 0, F.least(F.lit(1.0), F.col("cnt") / F.col("_top"))).otherwise(0.0)).drop("_top")
+
+
 def crop(cells: DataFrame, geo, shape, window) -> DataFrame:
     """Cells of a window (min lon, max lon, min lat, max lat), numbered from its corner; empty where they don't meet."""
     import math

@@ -33,7 +33,7 @@ def area_query(spark: SparkSession, positions: DataFrame, ships: DataFrame, **at
         select p.ship_id, s.name, p.timestamp, p.lat, p.lon, p.speed
         from {positions} p join {ships} s on s.ship_id = p.ship_id
         where p.lat between :min_lat and :max_lat and p.lon between :min_lon and :max_lon
-          and p.speed >= :min_speed and s.name like :name and p.timestamp >= :from_ts and p.timestamp < :to_ts
+          and p.speed >= :min_speed and s.width between :min_width and :max_width and s.name like :name and p.timestamp >= :from_ts and p.timestamp < :to_ts
         order by p.ship_id, p.timestamp, p.lat
     """
     return spark.sql(text, args=at, positions=positions, ships=ships)
@@ -45,6 +45,11 @@ def ship_query(spark: SparkSession, positions: DataFrame, ships: DataFrame, mt_i
     return spark.sql(text, args={"mt_id": mt_id}, positions=positions, ships=ships)
 
 
+def parse_event(rows: DataFrame, description: str = "UNKNOWN") -> DataFrame:
+    """The row that registers a parse: its first and last time, and what it is."""
+    return rows.agg(F.min("timestamp").alias("parse_start"), F.max("timestamp").alias("parse_end")).withColumn("description", F.lit(description))
+
+
 def violations(ships: DataFrame, positions: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rows that break a constraint of the mirror, counted by rule; every rule has a row."""
     rules = [

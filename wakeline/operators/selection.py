@@ -22,10 +22,21 @@ def from_to(tracks: DataFrame, a: tuple[float, float], b: tuple[float, float] |
 
 
 def both_ways(tracks: DataFrame, a: tuple[float, float], b: tuple[float, float], radius_m: float) -> DataFrame:
-    """Voyages from a to b and back in one pass, a row for each direction that fits; adds the span of all."""
+    """Voyages from a to b and back in one pass, a row for each direction that fits, with the first start and last end of all of them."""
     ways = F.array_compact(F.array(F.when(_near("start", a, radius_m) & _near("end", b, radius_m), "AB"), F.when(_near("start", b, radius_m) & _near("end", a, radius_m), "BA")))
     rows = tracks.withColumn("direction", F.explode(ways))
-    return rows
+    span = rows.agg(F.min("start_timestamp").alias("min_ts"), F.max("end_timestamp").alias("max_ts"))
+    return rows.join(F.broadcast(span))
+
+
+def within_time(tracks: DataFrame, from_ts: int | None = None, to_ts: int | None = None, max_sec: int | None = None, min_points: int = 0) -> DataFrame:
+    """Voyages of enough fixes that begin and end within a time window and last at most so long."""
+    rows = tracks.where(F.col("points_count") >= min_points)
+    if from_ts is not None:
+        rows = rows.where(F.col("start_timestamp") >= from_ts)
+    if to_ts is not None:
+        rows = rows.where(F.col("end_timestamp") <= to_ts)
+    return rows if max_sec is None else rows.where(F.col("end_timestamp") - F.col("start_timestamp") <= max_sec)
 
 
 def time_range(tracks: DataFrame) -> DataFrame:

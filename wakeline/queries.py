@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ArtifactConfig, GridConfig, PortConfig, RouteConfig, StopConfig, VoyageConfig
+from .config import ArtifactConfig, ExampleConfig, LayoutConfig, PortConfig, RouteConfig, StopConfig, VoyageConfig
 from .fixture import POS_SQL, TRK_SQL, positions, tracks
 from .functions import dates, geo, text
 from .operators import activity, events, gaps, layout, metrics, paths, ports, rasters, relational, selection, stops, voyages
+from .plans import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +21,7 @@ STOPS = StopConfig(speed_max=30, min_sec=600, gap_sec=3600, clip_sec=600, extent
 PORTS = PortConfig(extent=EXTENT, bins=BINS, threshold_value=60.0, min_cluster_cells=2)
 FRAGS = ArtifactConfig(frag_gap_sec=1500, frag_gap_m=200_000.0, min_points=4, min_displacement_m=10_000.0)
 VOYAGES = VoyageConfig(stop_radius_m=60_000.0, stop_dwell_sec=900, gap_hard_sec=1200, gap_very_hard_sec=2400, dest_gap_sec=600)
+EXAMPLE = ExampleConfig(size=32, cell_m=10_000.0, ends=1, gap_fixes=(1, 3))
 A, B = (33.5, 128.5), (33.5, 128.5)
 
 
@@ -83,10 +85,10 @@ def kept_positions(spark, sf_dir):
     return activity.keep_ships(rows, activity.active_ships(rows)).select("seq", "ship_id", "speed")
 
 
-@query(f"""{POS}, {_STEPS} select track_id, count(*) points_seen, cast(coalesce(max(case when dt_ is not null then greatest(0,dt_) end),0) as bigint) max_gap_sec, round(coalesce(max(dist_),0.0)/10000.0,1) max_gap_10km from st group by track_id""")
+@query(f"""{POS}, {_STEPS} select track_id, count(*) points_seen, cast(coalesce(max(case when dt_ is not null then greatest(0,dt_) end),0) as bigint) max_gap_sec, round(cast(cast(coalesce(max(dist_),0.0) as float) as double)) max_gap_dist_m from st group by track_id""")
 def gap_metrics(spark, sf_dir):
     found = gaps.gap_metrics(positions(spark, sf_dir).where("track_id >= 0"))
-    return found.select("track_id", "points_seen", "max_gap_sec", F.round(F.col("max_gap_dist_m") / 10000.0, 1).alias("max_gap_10km"))
+    return found.select("track_id", "points_seen", "max_gap_sec", F.round("max_gap_dist_m").alias("max_gap_dist_m"))
 
 
 @query(f"""{POS}, n as (select track_id, seq, "timestamp", lat, lon, lead("timestamp") over w nt, lead(lat) over w nlat, lead(lon) over w nlon from pos where track_id>=0 window w as (partition by track_id order by "timestamp", seq))
@@ -200,7 +202,7 @@ lb as (select cl.iy, cl.ix, cast(cs.poi_id as int) poi_id, cs.cells_count from c
 
 
 def _labelled(spark, sf_dir):
-    heat = rasters.start_end_heatmap(tracks(spark, sf_dir), EXTENT, BINS)
+    heat = materialize(rasters.start_end_heatmap(tracks(spark, sf_dir), EXTENT, BINS), "heat")
     return heat, rasters.components(rasters.dense_cells(heat, "percentile", 60.0), 2, BINS)
 
 
@@ -241,7 +243,8 @@ def od_pairs(spark, sf_dir):
 
 @query(f"{TRK}, {_COMP}, {_ASSIGN} select start_poi, end_poi, count(*) tracks_count from asg where start_poi>=0 and end_poi>=0 and start_poi<>end_poi group by start_poi, end_poi order by tracks_count desc, start_poi, end_poi limit 10")
 def top_pairs(spark, sf_dir):
-    return od_pairs(spark, sf_dir).select("start_poi", "end_poi", "tracks_count").orderBy(F.desc("tracks_count"), "start_poi", "end_poi").limit(10)
+    found = ports.pair_counts(ports.assign(tracks(spark, sf_dir), _labelled(spark, sf_dir)[1], PORTS))
+    return found.select("start_poi", "end_poi", "tracks_count").orderBy(F.desc("tracks_count"), "start_poi", "end_poi").limit(10)
 
 
 @query(f"""{POS} select track_id, arg_max(destination, "timestamp"*1000000000-seq) destination from pos where track_id>=0 group by track_id""")
@@ -253,8 +256,9 @@ def last_destination(spark, sf_dir):
 ct as (select end_poi, upper(destination) "name", count(*) "count", min(track_ord) fo from asg join ld using (track_id) where start_poi>=0 and end_poi>=0 and start_poi<>end_poi group by 1,2),
 rk as (select *, row_number() over (partition by end_poi order by "count" desc, fo, "name") place from ct) select end_poi, "name", "count", cast(place as int) place from rk where place<=3""")
 def destination_topn(spark, sf_dir):
-    assigned = ports.assign(tracks(spark, sf_dir), _labelled(spark, sf_dir)[1], PORTS)
-    counts = ports.destinations(assigned, ports.last_destination(positions(spark, sf_dir).where("track_id >= 0")), PORTS)
+    assigned = materialize(ports.assign(tracks(spark, sf_dir), _labelled(spark, sf_dir)[1], PORTS), "assigned")
+    fixes = positions(spark, sf_dir).join(assigned.select("track_id"), "track_id", "left_semi")
+    counts = ports.destinations(assigned, ports.last_destination(fixes), PORTS)
     return ports.top_destinations(counts, 3).select("end_poi", "name", "count", "place")
 
 
@@ -263,9 +267,9 @@ def tracks_a_to_b(spark, sf_dir):
     return selection.from_to(tracks(spark, sf_dir), A, (33.4, 128.6), 150_000).select("track_id", "points_count")
 
 
-@query(f"{TRK}, w as (select track_id, {_flat('start_lat', 'start_lon', *A)}<=120000 and {_flat('end_lat', 'end_lon', 33.3, 128.9)}<=120000 ab, {_flat('start_lat', 'start_lon', 33.3, 128.9)}<=120000 and {_flat('end_lat', 'end_lon', *A)}<=120000 ba from trk) select track_id, 'AB' direction from w where ab union all select track_id, 'BA' from w where ba")
+@query(f"{TRK}, w as (select track_id, start_timestamp t0, end_timestamp t1, {_flat('start_lat', 'start_lon', *A)}<=120000 and {_flat('end_lat', 'end_lon', 33.3, 128.9)}<=120000 ab, {_flat('start_lat', 'start_lon', 33.3, 128.9)}<=120000 and {_flat('end_lat', 'end_lon', *A)}<=120000 ba from trk), d as (select track_id, 'AB' direction, t0, t1 from w where ab union all select track_id, 'BA', t0, t1 from w where ba) select track_id, direction, cast(min(t0) over () as bigint) min_ts, cast(max(t1) over () as bigint) max_ts from d")
 def ab_ba_tracks(spark, sf_dir):
-    return selection.both_ways(tracks(spark, sf_dir), A, (33.3, 128.9), 120_000).select("track_id", "direction")
+    return selection.both_ways(tracks(spark, sf_dir), A, (33.3, 128.9), 120_000).select("track_id", "direction", "min_ts", "max_ts")
 
 
 @query(f"{TRK} select track_id, points_count, round({_distance('start_lat', 'start_lon', '33.5', '128.5')},3) start_m, round({_distance('end_lat', 'end_lon', '33.5', '128.5')},3) end_m from trk where {_distance('start_lat', 'start_lon', '33.5', '128.5')}<=200000 and {_distance('end_lat', 'end_lon', '33.5', '128.5')}<=200000")
@@ -357,9 +361,7 @@ def pruned_range(spark, sf_dir):
 
 @query(f"{POS}, b as (select track_id, cast(floor(track_id/100.0)*100 as bigint) g from pos) select track_id, g track_group, cast(g+floor((track_id-g)/10.0)*10 as bigint) subrange, count(*) n_rows from b group by 1,2,3")
 def track_buckets(spark, sf_dir):
-    from .config import LayoutConfig
-
-    made = layout.buckets(LayoutConfig(tracks_per_group=100, datasets_per_group=10))
+    made = layout.buckets(LayoutConfig(group=100, parts=10))
     rows = positions(spark, sf_dir).select("track_id", made["track_group"].alias("track_group"), made["subrange"].alias("subrange"))
     return rows.groupBy("track_id", "track_group", "subrange").agg(F.count("*").alias("n_rows"))
 
@@ -392,18 +394,16 @@ def first_seen_ids(spark, sf_dir):
     return relational.first_seen_ids(_table(spark, sf_dir, "events"), "event_type", "event_id", "type_id")
 
 
-@query(f"""{POS} select p.ship_id, c.c_name "name", cast(p."timestamp" as bigint) "timestamp", p.lat, p.lon, p.speed from pos p join customer c on c.c_custkey=p.ship_id where p.lat between 32 and 36 and p.lon between 127 and 133 and p.speed>=10 and c.c_name like 'Customer%' and p."timestamp">=1000 and p."timestamp"<30000""")
+@query(f"""{POS} select p.ship_id, c.c_name "name", cast(p."timestamp" as bigint) "timestamp", p.lat, p.lon, p.speed from pos p join customer c on c.c_custkey=p.ship_id where p.lat between 32 and 36 and p.lon between 127 and 133 and p.speed>=10 and c.c_custkey%40 between 3 and 30 and c.c_name like 'Customer%' and p."timestamp">=1000 and p."timestamp"<30000""")
 def area_query(spark, sf_dir):
-    ships = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ship_id"), F.col("c_name").alias("name"))
-    return relational.area_query(spark, positions(spark, sf_dir), ships, min_lat=32, max_lat=36, min_lon=127, max_lon=133, min_speed=10, name="Customer%", from_ts=1000, to_ts=30000)
+    ships = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ship_id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 40).alias("width"))
+    return relational.area_query(spark, positions(spark, sf_dir), ships, min_width=3, max_width=30, min_lat=32, max_lat=36, min_lon=127, max_lon=133, min_speed=10, name="Customer%", from_ts=1000, to_ts=30000)
 
 
-@query(f"""{POS} select cast("timestamp" as bigint) "timestamp", lat, lon, speed from pos where ship_id=(select min(c_custkey) from customer where c_name=(select c_name from customer where c_custkey=5))""")
+@query(f"""{POS} select cast("timestamp" as bigint) "timestamp", lat, lon, speed from pos where ship_id=(select min(c_custkey) from customer where c_name='Customer#000000005')""")
 def ship_query(spark, sf_dir):
     ships = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ship_id"), F.col("c_name").alias("mt_id"))
-    name = "Customer#000000005"
-    found = ships.where("ship_id = 5").first()
-    return relational.ship_query(spark, positions(spark, sf_dir), ships, found.mt_id if found else name)
+    return relational.ship_query(spark, positions(spark, sf_dir), ships, "Customer#000000005")
 
 
 @query(f"{POS} select seq, lat, lon from pos where pow(lat-34.0,2)+pow(lon-130.0,2)<=4.0")
@@ -416,12 +416,25 @@ def envelope_query(spark, sf_dir):
     return positions(spark, sf_dir).where(geo.envelope_contains("lat", "lon", 127.5, 32.5, 131.25, 35.75)).select("seq")
 
 
-@query(f"""{TRK}, r as (select 'positions_track_same_ship' "rule", count(*) bad_rows from pos join trk using (track_id) where pos.ship_id<>trk.ship_id union all select 'positions_values_positive', count(*) from pos where speed<0 or course<0 or heading<0 union all select 'tracks_ship_known', count(*) from trk where ship_id not in (select user_id from events)) select * from r""")
+#: Tables with rows that break each rule of the mirror.
+_MIRROR = """sh as (select c_custkey ship_id, concat('M', cast(c_custkey//2*2 as varchar)) mt_id, case when c_custkey%9>0 then 1 end ship_type, 1 gt_ship_type, c_nationkey-1 "length", c_custkey%7 width, 5 dwt from customer where c_custkey<=120),
+ps as (select seq, ship_id, track_id, case when seq%50>0 then lat end lat, lon, speed, course, heading, case when seq%33=0 then -1 else 0 end elapsed from pos), tk as (select track_id, case when track_id%13=0 then ship_id+1 else ship_id end ship_id from trk)"""
+
+
+@query(f"""{TRK}, {_MIRROR} select * from (
+select 'ships_mt_id_unique' "rule", count(*) bad_rows from (select mt_id from sh group by 1 having count(*)>1) union all select 'ships_type_required', count(*) from sh where ship_type is null or gt_ship_type is null
+union all select 'ships_sizes_positive', count(*) from sh where "length"<0 or width<0 or dwt<0 union all select 'positions_ship_known', count(*) from ps where ship_id not in (select ship_id from sh)
+union all select 'positions_values_positive', count(*) from ps where speed<0 or course<0 or heading<0 or elapsed<0 union all select 'positions_place_required', count(*) from ps where lat is null or lon is null
+union all select 'tracks_ship_known', count(*) from tk where ship_id not in (select ship_id from sh) union all select 'positions_track_same_ship', count(*) from ps join tk using (track_id) where track_id>=0 and ps.ship_id<>tk.ship_id)""")
 def constraint_checks(spark, sf_dir):
-    rows, voy = positions(spark, sf_dir), tracks(spark, sf_dir)
-    ships = rows.select("ship_id").distinct().select("ship_id", F.col("ship_id").cast("string").alias("mt_id"), *(F.lit(1).alias(c) for c in ("ship_type", "gt_ship_type", "length", "width", "dwt")))
-    found = relational.violations(ships, rows.withColumn("elapsed", F.lit(0)), voy)
-    return found.where(F.col("rule").isin("positions_track_same_ship", "positions_values_positive", "tracks_ship_known"))
+    """Rows that break each of the eight rules; the tables are changed so that each is broken."""
+    n = F.col("c_custkey")
+    ships = _table(spark, sf_dir, "customer").where(n <= 120).select(
+        n.alias("ship_id"), F.concat(F.lit("M"), (F.floor(n / 2) * 2).cast("string")).alias("mt_id"), F.when(n % 9 > 0, 1).alias("ship_type"), F.lit(1).alias("gt_ship_type"), (F.col("c_nationkey") - 1).alias("length"), (n % 7).alias("width"), F.lit(5).alias("dwt")
+    )
+    rows = positions(spark, sf_dir).withColumns({"lat": F.when(F.col("seq") % 50 > 0, F.col("lat")), "elapsed": F.when(F.col("seq") % 33 == 0, -1).otherwise(0)})
+    voy = tracks(spark, sf_dir).withColumn("ship_id", F.when(F.col("track_id") % 13 == 0, F.col("ship_id") + 1).otherwise(F.col("ship_id")))
+    return relational.violations(ships, rows, voy)
 
 
 @query("select event_type as grp, count(*) n from events group by 1 union all select '*' , count(*) from events")
@@ -532,17 +545,18 @@ def _examples(spark, sf_dir, grid):
 
 @query()
 def fragment_examples(spark, sf_dir):
-    made = _examples(spark, sf_dir, GridConfig(grid_size=32, cell_m=10_000.0, n_anchor=1, gaps_min_points=1, gaps_max_points=3))
+    made = _examples(spark, sf_dir, EXAMPLE)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return made.select("track_id", "s", "n_points", F.size("gaps").alias("n_gaps"), total("known").alias("known_cells"), total("target").alias("target_cells"))
+    made = paths.with_density(made, density_cells(spark, sf_dir), (EXTENT[0], EXTENT[2], 17 / 60, 0.25), BINS[::-1], EXAMPLE.size)
+    return made.select("track_id", "s", "n_points", "reason", F.size("gaps").alias("n_gaps"), total("known").alias("known_cells"), total("target").alias("target_cells"), total(paths.missing()).alias("missing_cells"), total("density").alias("density_sum"))
 
 
 @query()
 def restored_routes(spark, sf_dir):
-    size = 32
-    made = _examples(spark, sf_dir, GridConfig(grid_size=size, cell_m=10_000.0, n_anchor=1, gaps_min_points=1, gaps_max_points=3))
+    size = EXAMPLE.size
+    made = _examples(spark, sf_dir, EXAMPLE)
     made = paths.scored(made, paths.smoothing_scorer(size))
-    return paths.routes(made.withColumn("idx", F.xxhash64("track_id", "s")), size, RouteConfig(low_threshold=0.05, high_threshold=0.5)).drop("lat", "lon")
+    return paths.routes(made.withColumn("idx", F.xxhash64("track_id", "s")), size, RouteConfig(low_threshold=0.05, high_threshold=0.5)).withColumn("gaps", F.to_json("gaps")).drop("lat", "lon", "path", "min_lon", "max_lon", "min_lat", "max_lat")
 
 
 @query(f"{TRK} select track_id, points_count from trk order by points_count desc, track_id limit 10 offset 20")
@@ -600,6 +614,64 @@ def degree_classes(spark, sf_dir):
     return rasters.degrees(density_cells(spark, sf_dir)).groupBy(F.least("degree", F.lit(3)).cast("long").alias("degree_class")).agg(F.count("*").alias("cells"))
 
 
+@query(f"""{TRK}, {_COMP}, {_ASSIGN}, g as (select * from asg where start_poi>=0 and end_poi>=0 and start_poi<>end_poi) select start_poi poi_id, 'start' port_end, track_id from g union all select end_poi, 'end', track_id from g""")
+def port_tracks(spark, sf_dir):
+    return ports.port_tracks(ports.assign(tracks(spark, sf_dir), _labelled(spark, sf_dir)[1], PORTS)).select("poi_id", "port_end", "track_id")
+
+
+@query(f"""{TRK} select track_id, points_count from trk where points_count>=3 and start_timestamp>=5000 and end_timestamp<=30000 and end_timestamp-start_timestamp<=6000""")
+def tracks_within_time(spark, sf_dir):
+    return selection.within_time(tracks(spark, sf_dir), 5000, 30_000, 6000, 3).select("track_id", "points_count")
+
+
+@query(f"{POS}, {_GAPS} select count(gap_sec) \"count\", round(avg(gap_sec),6) mean, round(stddev_samp(gap_sec),6) std, cast(min(gap_sec) as double) min, quantile_cont(gap_sec,0.25) q25, quantile_cont(gap_sec,0.5) q50, quantile_cont(gap_sec,0.75) q75, cast(max(gap_sec) as double) max from gp")
+def gap_description(spark, sf_dir):
+    found = gaps.steps(positions(spark, sf_dir).where("track_id >= 0")).where("dt is not null")
+    return _rounded(events.describe(found.select(F.col("dt").alias("gap_sec")), "gap_sec"), 6, "mean", "std")
+
+
+@query(f"{POS}, d as (select distinct tile_z, lon from pos), l as (select tile_z, lon-lag(lon) over (partition by tile_z order by lon) step from d) select tile_z, round(median(step),9) median_step, count(step) n_steps from l where step is not null group by tile_z")
+def zoom_steps(spark, sf_dir):
+    return _rounded(events.median_steps(positions(spark, sf_dir), "tile_z", "lon"), 9, "median_step")
+
+
+@query(f"{POS} select distinct tile_z zoom, ship_id%16 zone_group from pos")
+def zoom_groups(spark, sf_dir):
+    return positions(spark, sf_dir).select(F.col("tile_z").alias("zoom"), (F.col("ship_id") % 16).alias("zone_group")).distinct()
+
+
+@query(f"""{POS} select cast(min("timestamp") as bigint) parse_start, cast(max("timestamp") as bigint) parse_end, 'fixture' description from pos""")
+def parse_event(spark, sf_dir):
+    return relational.parse_event(positions(spark, sf_dir), "fixture")
+
+
+@query(f"{POS}, {_CELLS} select iy, ix, round(least(1.0, cnt/(select quantile_cont(cnt,0.98) from dc)),9) shade from dc")
+def display_density(spark, sf_dir):
+    return _rounded(rasters.display_scaled(density_cells(spark, sf_dir)).select("iy", "ix", "shade"), 9, "shade")
+
+
+@query(f"""{POS}, u as (select seq, concat('https://map/centerx:', round(lon,3), '/centery:', round(lat,3), '/zoom:', tile_z) url from pos where seq%3>0 union all select seq, concat('https://map/', seq) from pos where seq%3=0)
+select seq, try_cast(regexp_extract(url, 'centerx:([0-9.]+)/', 1) as double) x, try_cast(regexp_extract(url, 'centery:([0-9.]+)/', 1) as double) y, try_cast(regexp_extract(url, 'zoom:([0-9]+)', 1) as int) zoom from u""")
+def url_positions(spark, sf_dir):
+    named = F.concat(F.lit("https://map/centerx:"), F.round("lon", 3).cast("string"), F.lit("/centery:"), F.round("lat", 3).cast("string"), F.lit("/zoom:"), F.col("tile_z").cast("string"))
+    rows = positions(spark, sf_dir).withColumn("url", F.when(F.col("seq") % 3 > 0, named).otherwise(F.concat(F.lit("https://map/"), F.col("seq").cast("string"))))
+    return rows.select("seq", text.url_position("url").alias("at")).select("seq", "at.x", "at.y", "at.zoom")
+
+
+@query(f"""{POS}, {_STEPS}, {_FRAG}, m as (select track_id, s, (min_lat+max_lat)/2 la, (min_lon+max_lon)/2 lo, max_lat-min_lat dla, max_lon-min_lon dlo from fr), h as (select *, greatest(32*10000/2, 0.5*greatest(dla*111320.0, dlo*111320.0*cos(radians(la))))+32*10000 half from m)
+select track_id, s, round(lo-half/(111320.0*cos(radians(la))),6) win_min_lon, round(lo+half/(111320.0*cos(radians(la))),6) win_max_lon, round(la-half/111320.0,6) win_min_lat, round(la+half/111320.0,6) win_max_lat from h""")
+def fragment_windows(spark, sf_dir):
+    made = geo.fragment_window("min_lat", "max_lat", "min_lon", "max_lon", EXAMPLE.size, EXAMPLE.cell_m)
+    return track_fragments(spark, sf_dir).select("track_id", "s", *(F.round(c, 6).alias(n) for n, c in made.items()))
+
+
+@query(f"{POS} select seq, round(30.0+(cast(floor((lat-30.0)*4) as int)+0.5)*0.25,9) mid_lat, round(125.0+(cast(floor((lon-125.0)*(60/17.0)) as int)+0.5)*(17/60.0),9) mid_lon from pos where lon>=125 and lon<142 and lat>=30 and lat<45")
+def cell_centres(spark, sf_dir):
+    rows = positions(spark, sf_dir).where("lon >= 125 and lon < 142 and lat >= 30 and lat < 45")
+    middle = lambda c, low, high: F.round(geo.cell_centre(geo.grid_cell(c, low, high, 60), low, high, 60), 9)
+    return rows.select("seq", middle("lat", 30.0, 45.0).alias("mid_lat"), middle("lon", 125.0, 142.0).alias("mid_lon"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_heatmap(spark, sf_dir)
 

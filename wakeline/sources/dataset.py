@@ -6,7 +6,7 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -68,16 +68,25 @@ def filtered_copy(spark: SparkSession, source: str, out: str, config, overwrite:
     kept.unpersist()
 
 
+def arrival(day: str, file_id: str, ord_in_file: str) -> Column:
+    """Fixes in their order of arrival as one number, from its parts, so that nothing is sorted for it: 15 bits of the day, 24 of the file and 24 of the place in it. More than these hold raise."""
+    parts = [(F.unix_date(day), 15), (F.col(file_id), 24), (F.col(ord_in_file), 24)]
+    out = F.lit(0).cast("long")
+    for value, bits in parts:
+        fits = (value >= 0) & (value < 1 << bits)
+        out = F.shiftleft(out, bits).bitwiseOR(F.when(fits, value.cast("long")).otherwise(F.raise_error(F.lit("a day, file or place beyond its bits")).cast("long")))
+    return out
+
+
 def tracked_copy(spark: SparkSession, source: str, out: str, config, overwrite: bool = False) -> None:
     """A dataset with voyages: positions get their ids, the table of voyages is written, the rest is copied."""
     from ..config import to_json
     from ..operators.voyages import detect
-    from ..plans import running_total
 
     create(spark, out, overwrite, **read_meta(spark, source) | {"tracks_at": datetime.now(UTC).isoformat(), "track_rules": to_json(config)})
-    rows = running_total(read(spark, source, "positions").withColumn("_one", F.lit(1).cast("long")), ["dt", "file_id", "ord_in_file"], "_one", "seq")
+    rows = read(spark, source, "positions").withColumn("seq", arrival("dt", "file_id", "ord_in_file"))
     placed, tracks = detect(rows, config)
-    named = rows.drop("track_id", "_one").join(placed.select("seq", "track_id"), "seq")
+    named = rows.drop("track_id").join(placed.select("seq", "track_id"), "seq")
     write(named.select(*schema.POSITIONS.names), out, "positions")
     write(tracks.select(*schema.TRACKS.names), out, "tracks")
     for table in ("ships", "files", "zones"):
@@ -93,12 +102,12 @@ def ship_extract(spark: SparkSession, source: str, out: str, ship_id: int) -> No
 
 
 def import_zones(spark: SparkSession, json_path: str, out: str | None = None) -> DataFrame:
-    """Zones of a JSON list (zone, lat, lon, zoom), numbered from 0 by place; writing replaces the table."""
+    """Zones of a JSON list (zone, lat, lon, zoom), numbered from 0 by place in each import; writing appends to the table."""
     raw = spark.read.schema("value string").text(json_path, wholetext=True)
     rows = raw.select(F.posexplode(F.from_json("value", "array<struct<zone:string,lon:double,lat:double,zoom:int>>")).alias("place", "z"))
     zones = rows.select(F.col("place").cast("long").alias("zone_id"), byte_text("z.zone", 256).alias("name"), F.col("z.lat").cast("float").alias("lat"), F.col("z.lon").cast("float").alias("lon"), F.col("z.zoom").alias("zoom"))
     if out:
-        write(zones, out, "zones", "overwrite")
+        write(zones, out, "zones")
     return zones
 
 
@@ -120,13 +129,19 @@ def folder_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every table, days of positions, and the first and last file."""
+    """Rows of every table, days of positions, and in ``value`` the first and last file and the attributes."""
     out = None
     for table in TABLES:
         one = read(spark, path, table).agg(F.lit(table).alias("table"), F.count("*").alias("rows"))
         out = one if out is None else out.unionByName(one)
     days = read(spark, path, "positions").agg(F.lit("days").alias("table"), F.count_distinct("dt").alias("rows"))
-    return out.unionByName(days)
+    files = read(spark, path, "files")
+    ends = [files.agg(F.lit(f"{n} file").alias("table"), F.lit(1).cast("long").alias("rows"), f("name", "file_id").cast("string").alias("value")) for n, f in (("first", F.min_by), ("last", F.max_by))]
+    attributes = spark.read.parquet(f"{path}/dataset_meta").select(F.explode("attributes")).select(F.concat(F.lit("attribute "), "key").alias("table"), F.lit(1).cast("long").alias("rows"), "value")
+    out = out.unionByName(days).withColumn("value", F.lit(None).cast("string"))
+    for one in (*ends, attributes):
+        out = out.unionByName(one)
+    return out
 
 
 def structure(spark: SparkSession, path: str) -> DataFrame:
