@@ -22,7 +22,7 @@ END, START, WIDE_START = b"", 0xFFFFFFFF, 1 << 62
 #: Texts read together: about so many tokens at once. Words whose numbers a worker keeps.
 TOKENS, NUMBERED = 1_000_000, 400_000
 #: Documents for one shard of the model's arrays, whose number grows with them; shards are ranges of hashes.
-DOCS_PER_SHARD, LEAST_SHARDS = 100_000, 64
+DOCS_PER_SHARD, LEAST_SHARDS = 4_000, 8
 #: From so many distinct words on, two numbers don't make one key of 64 bits, and keys of pairs are hashes.
 WIDE = START
 
