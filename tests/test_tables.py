@@ -153,6 +153,16 @@ def test_things_that_queries_do_not_reach(spark):
     assert metrics.mean_metrics(cells).first().iou == pytest.approx((one + two) / 2) and (round(one, 6), round(two, 6)) == (1.0, 0.5)
 
 
+def test_missing_rows_go_to_a_relational_mirror_with_ids(spark):
+    at = {"url": "jdbc:derby:memory:mirror;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    artifacts.write_jdbc(spark.createDataFrame([(3, "a"), (7, "b")], "id long, mt_id string"), table="ships", **at)
+    found = spark.createDataFrame([("b",), ("d",), ("c",), ("d",), (None,)], "mt_id string")
+    given = {r.mt_id: r.id for r in artifacts.insert_jdbc(found, table="ships", key="mt_id", id_name="id", **at).collect()}
+    assert given == {"a": 3, "b": 7, "c": 8, "d": 9} == {r.mt_id: r.id for r in artifacts.read_jdbc(spark, table="ships", **at).collect()}
+    artifacts.insert_jdbc(found, table="ships", key="mt_id", id_name="id", **at)
+    assert artifacts.read_jdbc(spark, table="ships", **at).count() == 4
+
+
 def test_ports_documents_lie_beside_their_dataset():
     assert [ports.default_path(p) for p in ("/a/b/data.h5", "/a/b/data/", "data")] == ["/a/b/data_poi.json", "/a/b/data_poi.json", "data_poi.json"]
 
@@ -182,7 +192,15 @@ def test_history(spark):
 def test_artifacts(spark, tmp_path):
     rows = spark.createDataFrame([(k, k // 50, 60 * k, 30.0 + 0.01 * k, 130.0) for k in range(200)], "seq long, track_id long, timestamp long, lat double, lon double")
     artifacts.build(rows, gaps.gap_metrics(rows), (129.0, 131.0, 29.0, 33.0), str(tmp_path / "art"))
-    assert artifacts.load(spark, str(tmp_path / "art"), "frags").count() == 4 and artifacts.load(spark, str(tmp_path / "art"), "meta").first().fragments == 4
+    art = str(tmp_path / "art")
+    assert artifacts.load_frags(spark, art).count() == 4 and artifacts.load(spark, art, "meta").first().fragments == 4
+    held_out = {r.track_id for r in artifacts.load(spark, art, "split").collect()}
+    assert {r.track_id for r in artifacts.load_frags(spark, art, "val").collect()} == held_out and artifacts.load_config(spark, art) == config.ArtifactConfig()
+    cells, corner, shape_ = artifacts.load_density(spark, art)
+    assert corner[:2] == (129.0, 29.0) and cells.agg(F.max("iy")).first()[0] < shape_[0] and cells.agg(F.max("ix")).first()[0] < shape_[1]
+    spark.range(1).write.mode("overwrite").parquet(f"{art}-odd/frags")
+    with pytest.raises(ValueError, match="fragments without track_id"):
+        artifacts.load_frags(spark, f"{art}-odd")
     artifacts.save_csv(artifacts.load(spark, str(tmp_path / "art"), "frags").drop("split"), str(tmp_path / "csv"))
     kind = "track_id long, s int, e int, points int, t0 long, t1 long, min_lat double, min_lon double, max_lat double, max_lon double"
     assert artifacts.load_csv(spark, str(tmp_path / "csv"), kind).count() == 4 and len(schema.FRAGMENTS) == 10

@@ -7,23 +7,52 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ArtifactConfig, to_json
-from ..operators import gaps, layout, rasters, selection
+from ..config import ArtifactConfig, from_json, to_json
+from ..operators import gaps, layout, rasters, relational, selection
+from ..plans import materialize
+from ..schema import FRAGMENTS
 
 
 def build(positions: DataFrame, quality: DataFrame, extent, out: str, config: ArtifactConfig = ArtifactConfig(), cell_m: float = 1000.0) -> None:
-    """All artifacts of the good voyages: each is a table below ``out``; counts go to ``meta``."""
+    """All artifacts of the good voyages, each a table below ``out``.
+
+    ``frags`` in folders by split (so a half is read alone), ``track_index``,
+    ``density`` with its ``density_geometry``, ``frag_stats``, ``split`` (the
+    held-out voyages, its share and seed), ``config`` and counts in ``meta``.
+    """
     good = selection.good_tracks(quality, config.good_gap_sec, config.good_gap_m, config.max_tracks).select("track_id")
     rows = positions.join(good, "track_id", "left_semi")
-    frags = gaps.split_fragments(gaps.fragments(rows, config), config.val_fraction, config.seed)
-    frags.write.mode("overwrite").parquet(f"{out}/frags")
-    layout.track_offsets(rows).write.mode("overwrite").parquet(f"{out}/track_index")
-    rasters.metric_density(rows, extent, cell_m).write.mode("overwrite").parquet(f"{out}/density")
+    put = lambda table, name, *by: table.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/{name}")
+    put(gaps.split_fragments(gaps.fragments(rows, config), config.val_fraction, config.seed), "frags", "split")
+    put(layout.track_offsets(rows), "track_index")
+    put(rasters.metric_density(rows, extent, cell_m), "density")
     spark = positions.sparkSession
-    saved = spark.read.parquet(f"{out}/frags")
-    gaps.fragment_stats(saved).write.mode("overwrite").parquet(f"{out}/frag_stats")
-    meta = saved.agg(F.lit(to_json(config)).alias("config"), F.lit(json.dumps(list(extent))).alias("extent"), F.count("*").alias("fragments"), F.count_if(F.col("split") == "val").alias("val_fragments"))
-    meta.write.mode("overwrite").parquet(f"{out}/meta")
+    one = spark.range(1)
+    nx, ny, step_lon, step_lat = rasters.metric_shape(extent, cell_m)
+    put(one.select(F.lit(float(extent[0])).alias("min_lon"), F.lit(float(extent[2])).alias("min_lat"), F.lit(step_lon).alias("step_lon"), F.lit(step_lat).alias("step_lat"), F.lit(nx).alias("columns"), F.lit(ny).alias("rows")), "density_geometry")
+    saved = load_frags(spark, out)
+    put(gaps.fragment_stats(saved), "frag_stats")
+    put(saved.where("split = 'val'").select("track_id").distinct().withColumns({"seed": F.lit(config.seed), "val_fraction": F.lit(config.val_fraction)}), "split")
+    put(one.select(F.lit(to_json(config)).alias("config")), "config")
+    put(saved.agg(F.lit(json.dumps(list(extent))).alias("extent"), F.count("*").alias("fragments"), F.count_if(F.col("split") == "val").alias("val_fragments"), F.count_distinct("track_id").alias("tracks")), "meta")
+
+
+def load_frags(spark: SparkSession, out: str, split: str | None = None) -> DataFrame:
+    """Fragments, or those of one split; raises where a column of the model is missing."""
+    rows = spark.read.parquet(f"{out}/frags")
+    if lacks := [f.name for f in FRAGMENTS if f.name not in rows.columns]:
+        raise ValueError(f"fragments without {', '.join(lacks)}")
+    return rows if split is None else rows.where(F.col("split") == split)
+
+
+def load_config(spark: SparkSession, out: str) -> ArtifactConfig:
+    return from_json(ArtifactConfig, load(spark, out, "config").first().config)
+
+
+def load_density(spark: SparkSession, out: str) -> tuple[DataFrame, tuple[float, float, float, float], tuple[int, int]]:
+    """The raster, its corner and steps (longitude, latitude), and its rows and columns."""
+    g = load(spark, out, "density_geometry").first()
+    return load(spark, out, "density"), (g.min_lon, g.min_lat, g.step_lon, g.step_lat), (g["rows"], g["columns"])
 
 
 def load(spark: SparkSession, out: str, table: str) -> DataFrame:
@@ -39,9 +68,21 @@ def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_jdbc(rows: DataFrame, url: str, table: str, **options: str) -> None:
-    """Append to a relational mirror; ids come from :func:`wakeline.operators.relational.insert_missing`."""
+    """Append to a relational mirror."""
     rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 
 
+def insert_jdbc(found: DataFrame, url: str, table: str, key: str, id_name: str, **options: str) -> DataFrame:
+    """Insert the values that a table of the mirror lacks, with the next ids, in batches of 100 rows; gives all ids, old and new.
+
+    Ids are fixed in the shared folder before anything is written, so a
+    repeated task writes the same ones.
+    """
+    known = materialize(read_jdbc(found.sparkSession, url, table, **options).select(id_name, key), "known")
+    every = materialize(relational.insert_missing(found, known, key, id_name), "ids")
+    write_jdbc(every.join(known.select(id_name), id_name, "left_anti"), url, table, batchsize="100", **options)
+    return every
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
