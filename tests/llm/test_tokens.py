@@ -118,6 +118,12 @@ def test_packing_is_tight(spark, texts):
         assert r.start == r.piece * 4096 and r.ids_crc32 == zlib.crc32(piece.tobytes()) and (r.length == 4096 or r.start + r.length == len(ids[r.doc_id]))
 
 
+def test_packing_with_many_parts_is_the_same(odd, monkeypatch):
+    few = sorted(map(tuple, packing.pack(odd, WORDS).collect()), key=str)
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", 0)
+    assert sorted(map(tuple, packing.pack(odd, WORDS).collect()), key=str) == few
+
+
 def test_packing_odd_rows(odd, none):
     rows = packing.pack(odd, WORDS).collect()
     assert sum(r.doc_id == 8 for r in rows) == 8 and sum(r.length for r in rows if r.doc_id in (0, 1, 2)) == 3

@@ -24,16 +24,21 @@ def targets(sources: DataFrame, share: float = 1.0, repeats: int = REPEATS) -> D
 
     Sources in order of their limit for a unit of weight fill up first; the
     first whose limit the level of what remains doesn't reach sets the level
-    for itself and all after it. Works on a row per source.
+    for itself and all after it. Sums before a source are running totals over
+    ranges, so sources may be as many as hosts of the web.
     """
-    order = Window.orderBy("_limit", "place")
     known = sources.withColumn("_limit", F.lit(repeats).cast("double") * F.col("source_size") / F.col("weight"))
-    known = known.withColumn("_full", F.coalesce(F.sum(repeats * F.col("source_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    known = known.withColumn("_open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    known = known.withColumn("_level", (F.lit(share) * F.sum("source_size").over(Window.partitionBy(F.lit(1))) - F.col("_full")) / F.col("_open"))
-    level = F.min(F.when(F.col("_level") <= F.col("_limit"), F.struct("_limit", "place", "_level"))).over(Window.partitionBy(F.lit(1)))["_level"]
-    target = F.least((repeats * F.col("source_size")).cast("double"), F.coalesce(level, F.col("_limit")) * F.col("weight"))
-    return known.withColumn("target", target).drop("_limit", "_full", "_open", "_level")
+    known = known.withColumns({"_most": (repeats * F.col("source_size")).cast("long"), "weight": F.col("weight").cast("long")})
+    for value, before in (("_most", "_full"), ("weight", "_ahead")):
+        known = running_total(known, ["_limit", "place"], value, before)
+    known = materialize(known, "limits")
+    sums = known.agg(F.sum("source_size").alias("_every"), F.sum("weight").alias("_weights"))
+    level = (F.lit(share) * F.col("_every") - F.col("_full")) / (F.col("_weights") - F.col("_ahead"))
+    levels = known.join(F.broadcast(sums)).withColumn("_level", level).where("_level <= _limit")
+    # one row, null where every source is full
+    first = levels.agg(F.min(F.struct("_limit", "place", "_level"))["_level"].alias("_at"))
+    target = F.least(F.col("_most").cast("double"), F.coalesce("_at", "_limit") * F.col("weight"))
+    return known.join(F.broadcast(first)).withColumn("target", target).drop("_limit", "_full", "_ahead", "_most", "_at")
 
 
 def mix(docs: DataFrame, share: float = 1.0, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
@@ -49,13 +54,15 @@ def mix(docs: DataFrame, share: float = 1.0, repeats: int = REPEATS, seed: str =
     Rows that share an id are one document with the sum of their sizes and the
     least of their sources. A null text has size 0; documents of size 0 are
     taken as they come. A null source is a source, the last. Where no document
-    has a word, targets are 0. An empty table gives no rows.
+    has a word, targets are 0. An empty table gives no rows, and other columns
+    are ignored, whatever their names.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
     units = materialize(units.groupBy("doc_id").agg(F.sum("size").alias("size"), F.min("source").alias("source")), "units")
     sources = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = sources.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))).withColumn("weight", weights(F.col("place")))
+    sources = running_total(sources.withColumns({"_null": F.col("source").isNull(), "_one": F.lit(1).cast("long")}), ["_null", "source"], "_one", "place")
+    sources = sources.withColumn("place", F.col("place") + 1).withColumn("weight", weights(F.col("place"))).drop("_null", "_one")
     sources = materialize(targets(sources, share, repeats), "sources")
     ranges = max(1, min(1 << 16, -(-int(sources.agg(F.max("n")).first()[0] or 0) // QUEUE)))
 

@@ -17,6 +17,8 @@ from .encoding import encoder
 from .text import documents
 
 END, ROOM = 1, 4096
+#: Up to so many rows (20 bytes each), a row per task and length, all tasks get what lies before each; beyond it pieces are shuffled, without their texts.
+BROADCAST_PARTS = 1_000_000
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, part_rank long"
 
 
@@ -131,7 +133,9 @@ def pack(docs: DataFrame, path: str, end: int = END, room: int = ROOM, known: in
         histogram[x.length] = x.n
     plan = plan_bins(histogram, room)
     plan = spark.sparkContext.broadcast(plan[np.lexsort((plan[:, 1], plan[:, 0]))])
-    ranked = pieces.join(parts.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("part_rank"))
+    bases = parts.select("part", "length", "base")
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_PARTS else bases.hint("merge")
+    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("part_rank"))
     return ranked.mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
