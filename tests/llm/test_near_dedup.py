@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wakeline.llm import near_dedup as nd
@@ -39,8 +40,10 @@ def test_small_table_equals_brute_force(spark, texts):
     assert found(nd.near_duplicates(docs)) == brute(texts)
 
 
-def test_chains_and_edges(spark):
-    """Copies of copies link in a chain; similarities lie on both sides of the limit."""
+@pytest.mark.parametrize("block", [nd.BLOCK, 3])
+def test_chains_and_edges(spark, monkeypatch, block):
+    """Copies of copies link in a chain; similarities lie on both sides of the limit; groups fit a block, or take many."""
+    monkeypatch.setattr(nd, "BLOCK", block)
     random.seed(2)
     base = [f"w{k}" for k in range(120)]
     texts = {0: " ".join(base), 1: " ".join(base).upper()}
@@ -67,6 +70,23 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert found(nd.near_duplicates(docs)) == brute(texts)
 
 
+def test_sets_far_from_the_first_find_each_other_across_blocks(spark):
+    """In one candidate group of many blocks: copies of the first, pairs apart from it, and sets alone."""
+    random_ = np.random.default_rng(5)
+    draw = lambda n: np.unique(random_.integers(0, 1 << 60, n).astype(np.uint64))
+    base, rows, want = draw(100), [], {}
+    for k in range(900):
+        rows.append((0, k, np.unique(np.append(base, draw(2)))))
+        want[k] = 0
+    for k in range(900, 1500, 2):
+        pair = draw(60)
+        rows += [(0, k, pair), (0, k + 1, pair[1:])]
+        want[k] = want[k + 1] = k
+    rows += [(0, k, draw(50)) for k in range(1500, 1600)]
+    sets = spark.createDataFrame([(c, r, len(rows), bytearray(f.tobytes())) for c, r, f in rows], "class long, rep long, n long, found binary")
+    assert {r.node: r.component for r in nd.confirmed_links(sets, 85).collect()} == want
+
+
 def test_odd_rows(odd, none):
     got = {(r.doc_id): (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(odd).collect()}
     assert got[0] == (0, 0, True) and got[2] == (0, 2, True) and got[4] == (1, 3, False) and got[None][1:] == (None, True) and len(got) == 12

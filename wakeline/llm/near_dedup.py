@@ -213,7 +213,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some in sliced(batches, 500, 8_000_000):
         found = [shingles(hashes.of(words(t))) for t in some.column("text").to_pylist()]
         own = pa.array([list(set_digest(f)) == of for f, *of in zip(found, *(some.column(c).to_pylist() for c in ("set_a", "set_b")), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("class", "rep", "blocks")), pa.array([f.tobytes() for f in found], pa.binary())], names=["class", "rep", "blocks", "found"]).filter(own)
+        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("class", "rep", "n")), pa.array([f.tobytes() for f in found], pa.binary())], names=["class", "rep", "n", "found"]).filter(own)
 
 
 def block_pairs(df: DataFrame, name: str, blocks: str) -> DataFrame:
@@ -223,14 +223,43 @@ def block_pairs(df: DataFrame, name: str, blocks: str) -> DataFrame:
     return df.withColumn("_pair", F.explode(pairs)).withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j")}).drop("_pair")
 
 
+def confirmed_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows ``(node, component)`` of the sets (class, rep, n, found) that links join within their candidate group (class) of n.
+
+    A group of up to ``BLOCK`` sets is compared whole. A larger one is dealt
+    into blocks, each with the group's first set, so that every set moves
+    once; this joins nearly all copies of a text. Then what is not in the
+    group's largest component is compared with all blocks: of any two sets
+    that are still apart, one is among these. So no link is lost, and a group
+    of copies costs in proportion to its size.
+    """
+    compare = lambda units: units.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j").mapInArrow(_confirmed(percent), "a long, b long")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("rep"), blocks)
+    every = lambda many: F.sequence(F.lit(0).cast("long"), many - 1)
+    homes = F.when((F.col("rep") == F.col("class")) & (blocks > 1), every(blocks)).otherwise(F.array(own))
+    edges = materialize(compare(sets.withColumn("i", F.explode(homes)).withColumn("j", F.col("i"))), "links")
+    large = materialize(sets.where(F.col("n") > BLOCK).select("class", "rep", "n").distinct(), "large")
+    if large.limit(1).count():
+        placed = large.join(connected_components(edges, "a", "b"), F.col("rep") == F.col("node"), "left").select("class", "rep", "n", F.coalesce("component", "rep").alias("part"))
+        parts = placed.groupBy("class", "part").agg(F.count("*").alias("size")).groupBy("class").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
+        rest = materialize(placed.join(parts, "class").where("part <> main").select("class", "rep", "n"), "rest")
+        many = rest.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("many"))
+        left = rest.join(many, "class").select("class", "rep", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("many")).alias("i"), F.explode(every(blocks)).alias("j"))
+        others = large.join(many, "class").select("class", "rep", F.explode(every(F.col("many"))).alias("i"), own.alias("j"))
+        units = left.unionByName(others).distinct().join(sets.select("rep", "found"), "rep").select("class", "rep", "i", "j", "found")
+        edges = edges.unionByName(materialize(compare(units), "links"))
+    return connected_components(edges, "a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``text_hash`` and ``group`` of every row.
 
     Rows with the same set are one class at once. Classes that share a band are
     compared with the least of their bucket by bit counts, then across what is
     still apart in the bucket, in blocks of ``BLOCK``; that gives candidate
-    groups. In these, all whole sets are compared, again in blocks, and what is
-    linked is joined. No list of pairs is made: a block gives a spanning forest.
+    groups, whose whole sets are compared by :func:`confirmed_links`. No list
+    of pairs is made: a block gives a spanning forest.
 
     A null or empty text, or one of blanks, has no shingles, links with nothing
     and is kept. Each row is judged by its own text: a repeated row is like the
@@ -270,13 +299,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # one row of each class in a group brings its text
     sizes = grouping.groupBy("class").agg(F.count("*").alias("n"))
-    wanted = grouping.join(sizes, "class").select("class", "rep", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    wanted = wanted.join(copies, "rep").select("class", "rep", "blocks", "set_a", "set_b", F.col("least").alias("at"))
+    wanted = grouping.join(sizes, "class").join(copies.drop("n"), "rep").select("class", "rep", "n", "set_a", "set_b", F.col("least").alias("at"))
     wanted = materialize(wanted, "wanted")
     listed = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = rows.join(listed, F.col("doc_id") == F.col("at")).select("class", "rep", "blocks", "set_a", "set_b", "text").mapInArrow(_sets, "class long, rep long, blocks long, found binary")
-    found = block_pairs(found, "rep", "blocks").repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
-    links = connected_components(found.mapInArrow(_confirmed(percent), "a long, b long"), "a", "b")
+    found = rows.join(listed, F.col("doc_id") == F.col("at")).select("class", "rep", "n", "set_a", "set_b", "text")
+    links = confirmed_links(materialize(found.mapInArrow(_sets, "class long, rep long, n long, found binary"), "sets"), percent)
 
     # a component is named by the least id of its classes
     linked = links.join(copies.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "component", "least")
