@@ -70,7 +70,8 @@ def fragment_stats(frags: DataFrame, shares=(0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.
 
 def split_fragments(frags: DataFrame, fraction: float = 0.02, seed: int = 42) -> DataFrame:
     """Train or validation by a hash of the voyage, so that all its fragments stay together at any size."""
-    chance = F.pmod(F.xxhash64("track_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    key = F.concat_ws(":", F.lit(seed), "track_id").cast("binary")
+    chance = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / (1 << 32)
     return frags.withColumn("split", F.when(chance < fraction, "val").otherwise("train"))
 
 

@@ -142,7 +142,7 @@ def fragment_stats(spark, sf_dir):
     return gaps.fragment_stats(track_fragments(spark, sf_dir), (0.1, 0.5, 0.9))
 
 
-@query()
+@query(f"{POS}, {_STEPS}, {_FRAG} select track_id, s, e, case when cast('0x'||md5(concat('42:', track_id))[1:8] as bigint)/4294967296.0 < 0.1 then 'val' else 'train' end split from fr")
 def fragment_split(spark, sf_dir):
     return gaps.split_fragments(track_fragments(spark, sf_dir), 0.1).select("track_id", "s", "e", "split")
 
