@@ -211,3 +211,14 @@ def test_config_round_trip():
     assert config.from_json(config.PortConfig, config.to_json(one)) == one
     with pytest.raises(ValueError, match="nope"):
         config.from_json(config.PortConfig, '{"nope": 1}')
+
+
+def test_a_step_leaves_its_own_table_alone(spark):
+    from pathlib import Path
+
+    from wakeline.plans import materialize, materialize_alone, scratch_root
+
+    there = lambda: {p.name.rpartition("-")[0] for p in Path(scratch_root(spark).removeprefix("file:")).iterdir()}
+    kept = materialize(spark.range(3), "kept")
+    out = materialize_alone(spark, lambda: materialize(materialize(spark.range(5), "inner_one").where("id > 1"), "inner_two"), "outer")
+    assert out.count() == 3 == kept.count() and {"kept", "outer"} <= there() and not there() & {"inner_one", "inner_two"}

@@ -1,7 +1,7 @@
 """Plan helpers: materialisation, prefix sums and connected components."""
 
 from .components import connected_components
-from .materialize import materialize, scratch_root
+from .materialize import drop_materialized, materialize, materialize_alone, scratch_root
 from .prefix import running_total
 
-__all__ = ["connected_components", "materialize", "running_total", "scratch_root"]
+__all__ = ["connected_components", "drop_materialized", "materialize", "materialize_alone", "running_total", "scratch_root"]

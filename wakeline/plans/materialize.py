@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +38,36 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
+    for made in _made:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of tables written since each open :func:`materialize_alone` began.
+_made: list[list[str]] = []
+
+
+def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Write what ``make`` gives, then drop the tables that were written for it: a job of many steps keeps one step's tables at a time."""
+    _made.append([])
+    try:
+        out = materialize(make(), label)
+    finally:
+        made = _made.pop()
+    for path in made[:-1]:
+        _delete(spark, path)
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table that :func:`materialize` wrote."""
     spark = df.sparkSession
-    root = scratch_root(spark)
+    own = f"/wakeline-{spark.sparkContext.applicationId}/"
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/wakeline-" in name and name.startswith(root.split("://")[0]):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if own in name:
+            _delete(spark, name)
