@@ -143,8 +143,10 @@ def test_languages_equal_brute_force(spark, monkeypatch):
     known = [tuple(r) for r in rows.collect()]
     known += [(-1, "12 !!", None), (-2, None, "en"), (-3, "qqzzqx " * 5, None)]
     want, docs = brute_languages(known), spark.createDataFrame(known, rows.schema)
-    for numbers in (language_id.NUMBERS, 40):  # scores are the same when the table of words starts anew all the time
+    # scores are the same when the table of words starts anew all the time, and when languages are too many to broadcast
+    for numbers, langs in ((language_id.NUMBERS, language_id.BROADCAST_LANGS), (40, 0)):
         monkeypatch.setattr(language_id, "NUMBERS", numbers)
+        monkeypatch.setattr(language_id, "BROADCAST_LANGS", langs)
         for r in language_id.identify(docs).collect():
             assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-3)
 

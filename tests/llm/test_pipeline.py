@@ -64,6 +64,15 @@ def test_rows_that_share_an_id_keep_their_links(spark):
     assert sorted(map(tuple, stages.dedup(spark, docs, "").select("doc_id", "text").collect())) == sorted([rows[0], rows[1], rows[3]])
 
 
+def test_long_lists_of_ids_are_joined_alike(spark, monkeypatch):
+    """Beyond the limits of broadcasts the same rows stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = [sorted(r.doc_id for r in stage(spark, docs, "").collect()) for stage in (stages.dedup, stages.mixture)]
+    monkeypatch.setattr(stages, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert few == [sorted(r.doc_id for r in stage(spark, docs, "").collect()) for stage in (stages.dedup, stages.mixture)]
+
+
 def test_near_copies_above_80_percent_go(spark):
     """Of 100 words, 96 shingles each: a changed word costs 5, so 91 / 101 and 86 / 106 (0.81) go, 81 / 111 (0.73) stays."""
     base = [f"w{k}" for k in range(100)]
