@@ -538,6 +538,29 @@ def voyage_tracks(spark, sf_dir):
     return _rounded(found.withColumns({c: F.col(c).cast("double") for c in places}), 4, *places)
 
 
+def _by_halves(spark, sf_dir):
+    """Voyages of the first half of all fixes by arrival, then of the second, which sees the first's only through what was carried."""
+    rows = positions(spark, sf_dir)
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    first = voyages.carry_on(rows.where(F.col("seq") <= half), None, VOYAGES)
+    second = voyages.carry_on(rows.where(F.col("seq") > half), first[2], VOYAGES)
+    return first, second
+
+
+@query(ORACLE_SQL["voyage_positions"])
+def voyage_positions_by_halves(spark, sf_dir):
+    (before, *_), (after, *_) = _by_halves(spark, sf_dir)
+    return before.unionByName(after)
+
+
+@query(ORACLE_SQL["voyage_tracks"])
+def voyage_tracks_by_halves(spark, sf_dir):
+    (_, before, _), (_, after, carried) = _by_halves(spark, sf_dir)
+    found = before.unionByName(after).unionByName(voyages.still_open(carried))
+    places = ("start_lat", "start_lon", "end_lat", "end_lon")
+    return _rounded(found.withColumns({c: F.col(c).cast("double") for c in places}), 4, *places)
+
+
 def _examples(spark, sf_dir, grid):
     rows = positions(spark, sf_dir).where("track_id >= 0")
     return paths.examples(gaps.slice_of(rows, gaps.fragments(rows, FRAGS)), grid)

@@ -6,12 +6,13 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.dates import utc_day
 from ..functions.text import byte_text
+from ..plans import materialize
 
 TABLES = {"positions": schema.POSITIONS, "ships": schema.SHIPS, "tracks": schema.TRACKS, "files": schema.FILES, "zones": schema.ZONES}
 PARTITIONS = {"positions": ["dt"]}
@@ -33,12 +34,41 @@ def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
     return dict(spark.read.parquet(f"{path}/dataset_meta").first()[0])
 
 
+#: Fixes of a file of positions, about; and ranges of vessels whose rows are counted by day, to deal them to files.
+FILE_ROWS, RANGES = 2_000_000, 1024
+#: Counts up to this many are broadcast to the rows; beyond it they are joined by a shuffle.
+BROADCAST_COUNTS = 1_000_000
+
+
+def spread(rows: DataFrame, file_rows: int | None = None) -> DataFrame:
+    """Positions dealt to tasks so that each day is written as files of even size, of about ``file_rows``, or one.
+
+    Rows are counted by day and range of hashed vessels first. A range's rows
+    fill the day's files from where the ranges before it end, and a range (or
+    one busy vessel) that is larger than a file is spread by time. So a day
+    with nearly all rows has nearly all tasks, and a quiet one has one.
+    """
+    most, names = file_rows or FILE_ROWS, rows.columns
+    place = F.pmod(F.xxhash64("ship_id"), F.lit(RANGES)).cast("int")
+    counts = materialize(rows.groupBy(F.col("dt").alias("_day"), place.alias("_range")).agg(F.count("*").alias("_n")), "counts")
+    days = counts.groupBy("_day").agg(F.sum("_n").alias("_total")).withColumn("_files", F.greatest(F.lit(1), F.round(F.col("_total") / most)).cast("long"))
+    # a row per day
+    before = F.sum("_files").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = materialize(days.withColumn("_first", F.coalesce(before, F.lit(0))), "days")
+    upto = F.sum("_n").over(Window.partitionBy("_day").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    slots = counts.withColumn("_before", F.coalesce(upto, F.lit(0))).withColumnRenamed("_day", "_d")
+    slots = slots.join(F.broadcast(days), F.col("_d").eqNullSafe(F.col("_day"))).drop("_d")
+    slots = F.broadcast(slots) if counts.count() <= BROADCAST_COUNTS else slots
+    dealt = rows.withColumn("_place", place).join(slots, (F.col("_place") == F.col("_range")) & F.col("dt").eqNullSafe(F.col("_day")))
+    within = F.pmod(F.xxhash64("ship_id", "timestamp"), F.lit(1 << 20)) / float(1 << 20)
+    file = F.least(F.floor((F.col("_before") + within * F.col("_n")) * F.col("_files") / F.col("_total")), F.col("_files") - 1)
+    total = days.agg(F.sum("_files")).first()[0] or 1
+    return dealt.select(*names, (F.col("_first") + file).cast("int").alias("_file")).repartitionById(total, F.col("_file")).sortWithinPartitions("dt", "ship_id", "timestamp").drop("_file")
+
+
 def write(rows: DataFrame, path: str, table: str, mode: str = "append") -> None:
-    """Append or overwrite a table; positions go to a folder per UTC day, rows of a day by vessel and time."""
-    writer = rows
-    if table in PARTITIONS:
-        writer = rows.repartition(*PARTITIONS[table], F.pmod(F.col("ship_id"), F.lit(16))).sortWithinPartitions(*PARTITIONS[table], "ship_id", "timestamp")
-    out = writer.write.mode(mode)
+    """Append or overwrite a table; positions go to a folder per UTC day, in files of even size, by vessel and time."""
+    out = (spread(rows) if table in PARTITIONS else rows).write.mode(mode)
     (out.partitionBy(*PARTITIONS[table]) if table in PARTITIONS else out).parquet(f"{path}/{table}")
 
 
@@ -93,6 +123,61 @@ def tracked_copy(spark: SparkSession, source: str, out: str, config, overwrite:
         write(read(spark, source, table), out, table)
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _carried(spark: SparkSession, out: str):
+    """The day up to which voyages were found, and what was carried from it; a state counts once its last table is whole."""
+    from ..operators.voyages import Carried
+
+    days = [d for d in _folders(spark, f"{out}/voyage_state") if "_SUCCESS" in _folders(spark, f"{out}/voyage_state/{d}/counters")]
+    if not days:
+        return None, None
+    counts = spark.read.parquet(f"{out}/voyage_state/{days[-1]}/counters").first()
+    return days[-1], Carried(spark.read.parquet(f"{out}/voyage_state/{days[-1]}/vessels"), counts.next_id, counts.next_ord)
+
+
+def tracked_days(spark: SparkSession, source: str, out: str, start: str, end: str, config) -> None:
+    """Voyages of more days (closed range, YYYY-MM-DD) of a dataset, in order, without the days before.
+
+    Reads these days' folders and the state that the last call left, a row per
+    vessel; appends positions with ids, and the voyages that these days closed,
+    and leaves the next state in ``voyage_state``. Days that are done are
+    refused. What a call wrote before it failed is overwritten when it is made
+    again, as state comes last: positions by day, voyages by the call's end.
+    Calls for all days give what :func:`tracked_copy` gives of the whole.
+    """
+    from ..operators.voyages import carry_on
+
+    done, before = _carried(spark, out)
+    if done is not None and done >= start:
+        raise ValueError(f"days up to {done} are done")
+    rows = read(spark, source, "positions").where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).withColumn("seq", arrival("dt", "file_id", "ord_in_file"))
+    placed, closed, after = carry_on(rows, before, config)
+    named = rows.drop("track_id").join(placed.select("seq", "track_id"), "seq").select(*schema.POSITIONS.names)
+    spread(named).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(f"{out}/positions")
+    closed.write.mode("overwrite").parquet(f"{out}/tracks_closed/{end}")
+    for table in ("ships", "files", "zones"):
+        write(read(spark, source, table), out, table, "overwrite")
+    after.vessels.write.mode("overwrite").parquet(f"{out}/voyage_state/{end}/vessels")
+    counts = spark.range(1).select(F.lit(after.next_id).cast("long").alias("next_id"), F.lit(after.next_ord).cast("long").alias("next_ord"))
+    counts.write.mode("overwrite").parquet(f"{out}/voyage_state/{end}/counters")
+
+
+def tracks_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """Voyages that :func:`tracked_days` closed, and those open at the end of its last day."""
+    from ..operators.voyages import still_open
+
+    done, carried = _carried(spark, out)
+    folders = [f"{out}/tracks_closed/{d}" for d in _folders(spark, f"{out}/tracks_closed") if done is not None and d <= done]
+    if not folders:
+        return spark.createDataFrame([], schema.TRACKS)
+    return spark.read.schema(schema.TRACKS).parquet(*folders).unionByName(still_open(carried).select(*schema.TRACKS.names))
+
+
 def ship_extract(spark: SparkSession, source: str, out: str, ship_id: int) -> None:
     """A dataset of one vessel; only its days have folders."""
     create(spark, out, **read_meta(spark, source) | {"ship_id": str(ship_id)})
