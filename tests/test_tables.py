@@ -73,11 +73,41 @@ def test_components_both_ways(spark):
     cells = [(0, 0), (1, 1), (0, 5), (0, 6), (5, 5), (5, 6), (6, 5), (9, 0)]
     table = spark.createDataFrame(cells, "iy int, ix int")
     want = {(0, 0): 0, (1, 1): 0, (0, 5): 1, (0, 6): 1, (5, 5): 2, (5, 6): 2, (6, 5): 2}
-    for shape in (None, (10, 10)):
-        assert {(r.iy, r.ix): r.poi_id for r in rasters.components(table, 2, shape).collect()} == want
+    for tile in (1, 2, 5, 512):
+        assert {(r.iy, r.ix): r.poi_id for r in rasters.components(table, 2, tile).collect()} == want
     assert rasters.components(table.where("false"), 2).count() == 0
 
 
+def test_components_cross_many_tiles(spark):
+    """A spiral that passes nearly all tiles, and specks, against a flood fill."""
+    import random
+
+    draw, cells = random.Random(6), set()
+    for ring in range(0, 20, 2):
+        for k in range(ring, 40 - ring):
+            cells |= {(ring, k), (39 - ring, k), (k, 39 - ring)} | ({(k, ring)} if k > ring + 1 else set())
+        cells.add((ring + 2, ring + 1))
+    cells |= {(draw.randrange(45, 90), draw.randrange(0, 90)) for _ in range(900)}
+    left, sizes = set(cells), {}
+    for first in sorted(cells):
+        if first in left:
+            todo, mine = [first], []
+            left.discard(first)
+            while todo:
+                y, x = todo.pop()
+                mine.append((y, x))
+                near = [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (y + a, x + b) in left]
+                left.difference_update(near)
+                todo += near
+            if len(mine) >= 3:
+                sizes[first] = mine
+    want = {(*c, k, len(mine)) for k, mine in enumerate(sizes.values()) for c in mine}
+    # cells that come twice are one
+    table = spark.createDataFrame(sorted(cells) + sorted(cells)[:50], "iy int, ix int")
+    for tile in (3, 7, 64):
+        assert {tuple(r) for r in rasters.components(table, 3, tile).collect()} == want
+
+
 def test_dense_cells(spark):
     cells = spark.createDataFrame([(0, k, c) for k, c in enumerate((1, 2, 3, 10))], "iy int, ix int, cnt long")
     found = rasters.dense_cells(cells, "percentile", 96).collect()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, edge_cell, in_box
+from ..plans import connected_components, materialize, running_total
 
 
 def density(points: DataFrame, extent, nx: int, ny: int) -> DataFrame:
@@ -119,54 +122,59 @@ def resample(cells: DataFrame, geo, shape, window, size, mode: str = "nearest")
     return parts.join(cells.select("iy", "ix", "cnt"), ["iy", "ix"], "left").groupBy("ty", "tx").agg(F.sum(F.col("weight") * F.coalesce("cnt", F.lit(0))).alias("value"))
 
 
-#: Grids of up to this many cells are labelled in one task; the grid bounds its rows, whatever the data.
-ONE_TASK_GRID = 4_000_000
-
-
-def _joined(frames):
-    """Least cell of each 8-neighbour component, by union-find over the set cells."""
-    import pandas as pd
-
-    cells = pd.concat([pd.DataFrame({"iy": [], "ix": []}, dtype="int64"), *frames])
-    places = list(zip(cells["iy"].tolist(), cells["ix"].tolist(), strict=True))
-    parent = {c: c for c in places}
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    for y, x in places:
-        for other in ((y, x + 1), (y + 1, x - 1), (y + 1, x), (y + 1, x + 1)):
-            if other in parent:
-                a, b = root((y, x)), root(other)
-                parent[max(a, b)] = min(a, b)
-    tops = [root(c) for c in places]
-    yield pd.DataFrame({"iy": [c[0] for c in places], "ix": [c[1] for c in places], "component": [(y << 31) + x for y, x in tops]})
-
-
-def components(cells: DataFrame, min_cells: int = 3, shape: tuple[int, int] | None = None) -> DataFrame:
+#: Cells a side of a tile: what one group of rows holds at most is its square, whatever the grid.
+TILE = 512
+#: The neighbours that come later in row order; each pair of neighbours is met once.
+LATER = ((0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def _label_tile(frame: pd.DataFrame) -> pd.DataFrame:
+    """Cells of a tile with the first cell, in row order, of their component within it."""
+    cell = np.sort((frame["iy"].to_numpy(np.int64) << 31) + frame["ix"].to_numpy(np.int64))
+    cell = cell[np.append(True, cell[1:] != cell[:-1])]
+    a, b = [], []
+    for dy, dx in LATER:
+        other = cell + (dy << 31) + dx
+        at = np.minimum(np.searchsorted(cell, other), len(cell) - 1)
+        met = np.flatnonzero(cell[at] == other)
+        a.append(met)
+        b.append(at[met])
+    a, b, label = np.concatenate(a), np.concatenate(b), np.arange(len(cell))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], least)
+        while ((up := label[label]) != label).any():
+            label = up
+    return pd.DataFrame({"iy": cell >> 31, "ix": cell & (1 << 31) - 1, "part": cell[label]})
+
+
+def components(cells: DataFrame, min_cells: int = 3, tile: int = TILE) -> DataFrame:
     """8-neighbour components of cells, of a least size, numbered by their first cell in row order from 0.
 
-    A grid of known, moderate ``shape`` is labelled in one task; any other by
-    label propagation over a table of neighbours.
+    Tiles are labelled in parallel, each in one group of at most ``tile``
+    squared cells. Only cells on the borders of tiles then meet those across,
+    and the graph of tiles' components is joined up in rounds that grow with
+    the logarithm of the tiles that a component crosses. Cells with an index
+    below 0 are refused.
     """
-    from ..plans import connected_components
-
-    if shape and shape[0] * shape[1] <= ONE_TASK_GRID:
-        whole = cells.select(F.col("iy").cast("long"), F.col("ix").cast("long")).repartition(1).mapInPandas(_joined, "iy int, ix int, component long")
-    else:
-        width = 1 << 31
-        named = cells.select("iy", "ix", (F.col("iy").cast("long") * width + F.col("ix")).alias("cell"))
-        around = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
-        links = named.select("cell", "iy", "ix", F.explode(around).alias("d")).select("cell", ((F.col("iy") + F.col("d.dy")).cast("long") * width + F.col("ix") + F.col("d.dx")).alias("other"))
-        links = links.join(named.select(F.col("cell").alias("other")), "other", "left_semi")
-        found = connected_components(links, "cell", "other")
-        whole = named.join(found, named.cell == found.node, "left").select("iy", "ix", F.coalesce("component", "cell").alias("component"))
+    at = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("long")).otherwise(F.raise_error(F.lit("a cell before the grid")).cast("long"))
+    rows = cells.select(at("iy").alias("iy"), at("ix").alias("ix"))
+    in_tile = [F.floor(F.col(c) / tile).alias(f"t{c}") for c in ("iy", "ix")]
+    parts = materialize(rows.groupBy(*in_tile).applyInPandas(_label_tile, "iy int, ix int, part long"), "parts")
+    edge = lambda c: (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
+    border = parts.where(edge("iy") | edge("ix"))
+    near = F.explode(F.array(*(F.struct((F.col("iy") + dy).alias("y"), (F.col("ix") + dx).alias("x")) for dy, dx in LATER)))
+    across = border.select("iy", "ix", "part", near.alias("n")).where((F.floor(F.col("n.y") / tile) != F.floor(F.col("iy") / tile)) | (F.floor(F.col("n.x") / tile) != F.floor(F.col("ix") / tile)))
+    others = border.select(F.col("iy").alias("y"), F.col("ix").alias("x"), F.col("part").alias("other"))
+    links = materialize(across.select("part", "n.*").join(others, ["y", "x"]).select("part", "other").distinct(), "links")
+    whole = parts.withColumnRenamed("part", "component")
+    if links.limit(1).count():
+        joined = connected_components(links, "part", "other")
+        whole = parts.join(joined, parts.part == joined.node, "left").select("iy", "ix", F.coalesce("component", "part").alias("component"))
     kept = whole.groupBy("component").agg(F.count("*").alias("cells_count")).where(F.col("cells_count") >= min_cells)
     # a row per component, ordered by its first cell
-    kept = kept.withColumn("poi_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
+    kept = running_total(kept.withColumn("_one", F.lit(1).cast("long")), ["component"], "_one", "poi_id").withColumn("poi_id", F.col("poi_id").cast("int"))
     return whole.join(kept, "component").select("iy", "ix", "poi_id", "cells_count")
 
 

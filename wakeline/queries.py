@@ -203,7 +203,7 @@ lb as (select cl.iy, cl.ix, cast(cs.poi_id as int) poi_id, cs.cells_count from c
 
 def _labelled(spark, sf_dir):
     heat = materialize(rasters.start_end_heatmap(tracks(spark, sf_dir), EXTENT, BINS), "heat")
-    return heat, rasters.components(rasters.dense_cells(heat, "percentile", 60.0), 2, BINS)
+    return heat, rasters.components(rasters.dense_cells(heat, "percentile", 60.0), 2)
 
 
 @query(f"{TRK}, {_COMP} select * from lb")
@@ -211,6 +211,13 @@ def poi_components(spark, sf_dir):
     return _labelled(spark, sf_dir)[1]
 
 
+@query(ORACLE_SQL["poi_components"])
+def poi_components_by_tiles(spark, sf_dir):
+    """Tiles of 8 cells, so that nearly every component crosses some."""
+    heat = materialize(rasters.start_end_heatmap(tracks(spark, sf_dir), EXTENT, BINS), "heat")
+    return rasters.components(rasters.dense_cells(heat, "percentile", 60.0), 2, 8)
+
+
 _SUMMARY = """pm as (select poi_id, round(sum((30.0+(iy+0.5)*0.25)*cnt)/sum(cnt),6) center_lat, round(sum((125.0+(ix+0.5)*(17.0/60))*cnt)/sum(cnt),6) center_lon, round(125.0+min(ix)*(17.0/60),6) min_lon, round(30.0+min(iy)*0.25,6) min_lat, round(125.0+(max(ix)+1)*(17.0/60),6) max_lon, round(30.0+(max(iy)+1)*0.25,6) max_lat,
  count(*) cells_count, cast(sum(cnt_start) as bigint) count_start, cast(sum(cnt_end) as bigint) count_end, cast(sum(cnt) as bigint) count_total from lb join ht using (iy, ix) group by poi_id)"""
 
