@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema
 from .config import ArtifactConfig, ExampleConfig, LayoutConfig, PortConfig, RouteConfig, StopConfig, VoyageConfig
-from .fixture import POS_SQL, TRK_SQL, positions, tracks
+from .fixture import EPOCH_US, POS_SQL, TRK_SQL, positions, tracks
 from .functions import dates, geo, text
 from .operators import activity, events, gaps, layout, metrics, paths, ports, rasters, relational, selection, stops, voyages
-from .plans import materialize
+from .plans import materialize, scratch_root
+from .sources import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -366,6 +369,58 @@ def pruned_range(spark, sf_dir):
     return rows.where(F.col("dt").between(dates.utc_day(F.lit(start)), dates.utc_day(F.lit(end)))).select("event_id", "event_type")
 
 
+def _stored(spark, sf_dir):
+    """The fixes, at their real times, in a dataset's folders by day in the shared folder."""
+    path = f"{scratch_root(spark)}/dataset-{uuid.uuid4().hex[:12]}"
+    rows = positions(spark, sf_dir).withColumns({"timestamp": F.col("timestamp") * 60 + EPOCH_US // 1_000_000, "elapsed": F.lit(0), "file_id": F.lit(0), "ord_in_file": F.col("seq")})
+    rows = rows.withColumn("dt", dates.utc_day("timestamp"))
+    dataset.write(rows.select(*(F.col(f.name).cast(f.dataType) for f in schema.POSITIONS)), path, "positions")
+    return dataset.read(spark, path, "positions")
+
+
+@query("select event_id ord_in_file, user_id ship_id from events where cast(ts as date) between date '2024-01-05' and date '2024-01-07'")
+def pruned_days(spark, sf_dir):
+    """A written dataset, of which three folders are read."""
+    return dataset.positions_between(_stored(spark, sf_dir), 1704412800 + 3600, 1704585600 + 7200).select(F.col("ord_in_file").cast("long").alias("ord_in_file"), "ship_id")
+
+
+def _early_voyages(rows):
+    """Voyages of enough fixes that are over by the fifth day."""
+    found = rows.where("track_id >= 0").groupBy("track_id").agg(F.min("timestamp").alias("start_timestamp"), F.max("timestamp").alias("end_timestamp"), F.count("*").alias("n"))
+    return found.where((F.col("n") >= 3) & (F.col("end_timestamp") < EPOCH_US // 1_000_000 + 5 * 86_400))
+
+
+@query(f"""{POS}, v as (select track_id from pos where track_id>=0 group by track_id having count(*)>=3 and max("timestamp")<5*1440) select seq ord_in_file, ship_id, track_id from pos where track_id in (select track_id from v)""")
+def positions_of_voyages(spark, sf_dir):
+    """Folders pruned by another table: the days of the wanted voyages."""
+    rows = _stored(spark, sf_dir)
+    wanted = materialize(_early_voyages(rows), "wanted")
+    return dataset.positions_of(rows, wanted).select(F.col("ord_in_file").cast("long").alias("ord_in_file"), "ship_id", "track_id")
+
+
+def _laid_out(spark, sf_dir):
+    """The fixes of all voyages in an indexed layout in the shared folder."""
+    path = f"{scratch_root(spark)}/layout-{uuid.uuid4().hex[:12]}"
+    layout.write_track_sorted(positions(spark, sf_dir).where("track_id >= 0"), path, config=LayoutConfig(group=1000, parts=10))
+    layout.index_layout(spark, path)
+    return path
+
+
+@query(f"""{POS} select track_id, seq, row_number() over (partition by track_id order by "timestamp", seq)-1 place from pos where track_id>=0""")
+def layout_places(spark, sf_dir):
+    """Places of all fixes in their voyage, by the row numbers of the files and the index."""
+    path = _laid_out(spark, sf_dir)
+    return layout.points_of(spark, path, layout.offsets(spark, path)).select("track_id", "seq", "place")
+
+
+@query(f"""{POS}, r as (select track_id, seq, row_number() over (partition by track_id order by "timestamp", seq)-1 place from pos where track_id>=0) select * from r where track_id%7=3 and place between 1 and 3""")
+def layout_slices(spark, sf_dir):
+    """The second to fourth fix of every voyage whose id leaves 3 by 7, from the files that hold these."""
+    path = _laid_out(spark, sf_dir)
+    wanted = layout.offsets(spark, path).where("track_id % 7 = 3").select("track_id", F.lit(1).alias("s"), F.lit(4).alias("e"))
+    return layout.points_of(spark, path, wanted).select("track_id", "seq", "place")
+
+
 @query(f"{POS}, b as (select track_id, cast(floor(track_id/100.0)*100 as bigint) g from pos) select track_id, g track_group, cast(g+floor((track_id-g)/10.0)*10 as bigint) subrange, count(*) n_rows from b group by 1,2,3")
 def track_buckets(spark, sf_dir):
     made = layout.buckets(LayoutConfig(group=100, parts=10))

@@ -82,6 +82,20 @@ def positions_between(positions: DataFrame, start_ts: int, end_ts: int) -> DataF
     return positions.where(F.col("dt").between(day(start_ts), day(end_ts)))
 
 
+def positions_of(positions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Fixes of the wanted voyages (track_id, start_timestamp, end_timestamp), from the folders of their days only.
+
+    Their days, a row each of the calendar, are known once the table of
+    voyages is read; the scan then takes these partitions and no other.
+    """
+    times = F.least("start_timestamp", "end_timestamp"), F.greatest("start_timestamp", "end_timestamp")
+    days = wanted.select(F.explode(F.sequence(*(utc_day(t) for t in times))).alias("dt")).distinct()
+    # a comparison, even one that all days pass, lets the optimiser prune by this side
+    days = days.where(F.col("dt") >= F.lit("0001-01-01").cast("date"))
+    rows = positions.join(F.broadcast(days), "dt", "left_semi")
+    return rows.join(wanted.select("track_id").distinct(), "track_id", "left_semi").select(*positions.columns)
+
+
 def filtered_copy(spark: SparkSession, source: str, out: str, config, overwrite: bool = False) -> None:
     """A dataset of active vessels only: positions and ships semi-joined, files and zones copied, no voyages."""
     from ..config import to_json
