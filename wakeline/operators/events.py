@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import number
+from ..plans import percentile_columns, percentiles
 
 
 def switch_events(positions: DataFrame) -> DataFrame:
@@ -66,21 +67,24 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:
     """Mean and exact percentiles of a column."""
-    shares = (0.5, 0.9, 0.95, 0.99)
-    return rows.agg(F.count(value).alias("n_rows"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), *(F.percentile(value, s).alias(f"p{round(s * 100)}") for s in shares))
+    found = percentile_columns(rows, value, {f"p{round(s * 100)}": s for s in (0.5, 0.9, 0.95, 0.99)})
+    return rows.agg(F.count(value).alias("n_rows"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")).join(F.broadcast(found))
 
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of a column, a row."""
-    v = number(value)
-    return rows.agg(F.count(value).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *(F.percentile(v, s).alias(f"q{round(s * 100)}") for s in (0.25, 0.5, 0.75)), F.max(v).alias("max"))
+    v, quarters = number(value), ("q25", "q50", "q75")
+    found = percentile_columns(rows, value, {q: int(q[1:]) / 100 for q in quarters})
+    whole = rows.agg(F.count(value).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return whole.join(F.broadcast(found)).select("count", "mean", "std", "min", *quarters, "max")
 
 
 def median_steps(rows: DataFrame, by: str, value: str) -> DataFrame:
     """The median difference between neighbouring distinct values of each group."""
     order = Window.partitionBy(by).orderBy(value)
     steps = rows.select(by, value).distinct().withColumn("step", F.col(value) - F.lag(value).over(order))
-    return steps.where("step is not null").groupBy(by).agg(F.percentile("step", 0.5).alias("median_step"), F.count("*").alias("n_steps"))
+    found = percentiles(steps, "step", [0.5], [by])
+    return found.select(by, F.col("value").alias("median_step"), F.col("n").alias("n_steps"))
 
 
 def slice_stats(positions: DataFrame, by: str = "ship_id") -> DataFrame:

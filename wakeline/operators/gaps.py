@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ArtifactConfig
 from ..functions.geo import haversine_m
+from ..plans import percentiles
 
 
 
@@ -63,9 +64,9 @@ def fragments(positions: DataFrame, config: ArtifactConfig = ArtifactConfig()) -
 
 def fragment_stats(frags: DataFrame, shares=(0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles of fragments' fixes and seconds, one row per share."""
-    wanted = F.array(*(F.lit(s) for s in shares))
-    found = frags.agg(F.percentile("points", wanted).alias("p"), F.percentile(F.col("t1") - F.col("t0"), wanted).alias("d"))
-    return found.select(F.explode(F.arrays_zip(wanted.alias("share"), F.col("p").alias("points"), F.col("d").alias("seconds"))).alias("x")).select("x.*")
+    rows = frags.select("points", (F.col("t1") - F.col("t0")).alias("seconds"))
+    points, seconds = (percentiles(rows, c, shares).select("share", F.col("value").alias(c)) for c in ("points", "seconds"))
+    return points.join(seconds, "share")
 
 
 def split_fragments(frags: DataFrame, fraction: float = 0.02, seed: int = 42) -> DataFrame:
