@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import flat_distance_m, haversine_m, in_box, radius_box
+from .proximity import near
 
 
 def _near(end: str, point: tuple[float, float], radius_m: float) -> Column:
@@ -44,16 +45,8 @@ def time_range(tracks: DataFrame) -> DataFrame:
 
 
 def to_ports(tracks: DataFrame, ports: DataFrame, radius_m: float) -> DataFrame:
-    """Voyages that start within a radius of any row (port, lat, lon) of a small table of places.
-
-    Ports are dealt to cells of latitude at least a radius high, with those on
-    either side, so voyages meet only the ports of their own band.
-    """
-    high = radius_m / 111_320.0
-    band = lambda c: F.floor(F.col(c).cast("double") / high)
-    spread = ports.select("port", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon"), F.explode(F.array(*(band("lat") + k for k in (-1, 0, 1)))).alias("_band"))
-    rows = tracks.withColumn("_band", band("start_lat")).join(spread, "_band").drop("_band")
-    return rows.withColumn("start_m", flat_distance_m("start_lat", "start_lon", "port_lat", "port_lon")).where(F.col("start_m") <= radius_m)
+    """Voyages that start within a radius of any row (port, lat, lon) of a table of places, on a flat map."""
+    return near(tracks, ports, radius_m, "start_lat", "start_lon", "start_m", round_earth=False)
 
 
 def within_radius(tracks: DataFrame, start: tuple[float, float], end: tuple[float, float], radius_m: float) -> DataFrame:

@@ -12,7 +12,7 @@ from . import schema
 from .config import ArtifactConfig, ExampleConfig, LayoutConfig, PortConfig, RouteConfig, StopConfig, VoyageConfig
 from .fixture import EPOCH_US, POS_SQL, TRK_SQL, positions, tracks
 from .functions import dates, geo, text
-from .operators import activity, events, gaps, layout, metrics, paths, ports, rasters, relational, selection, stops, voyages
+from .operators import activity, events, gaps, layout, metrics, paths, ports, proximity, rasters, relational, selection, stops, voyages
 from .plans import materialize, scratch_root
 from .sources import dataset
 
@@ -293,6 +293,26 @@ def port_starts(spark, sf_dir):
     return selection.to_ports(tracks(spark, sf_dir), places, 200_000).select("track_id", "port")
 
 
+_HARBOURS = "pt as (select s_suppkey port, 30.0+((s_suppkey*7919)%15000)/1000.0 plat, 125.0+((s_suppkey*104729)%17000)/1000.0 plon from supplier)"
+
+
+def _harbours(spark, sf_dir):
+    """A place for every supplier."""
+    at = lambda base, by, n: (base + (F.col("s_suppkey") * by % n) / F.lit(1000.0))
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("port"), at(30.0, 7919, 15_000).alias("lat"), at(125.0, 104_729, 17_000).alias("lon"))
+
+
+@query(f"{TRK}, {_HARBOURS} select track_id, port, round(sqrt(pow((start_lon-plon)*111320.0*cos(radians(plat)),2)+pow((start_lat-plat)*111320.0,2)),3) start_m from trk, pt where sqrt(pow((start_lon-plon)*111320.0*cos(radians(plat)),2)+pow((start_lat-plat)*111320.0,2))<=40000")
+def harbour_starts(spark, sf_dir):
+    return _rounded(selection.to_ports(tracks(spark, sf_dir), _harbours(spark, sf_dir), 40_000).select("track_id", "port", "start_m"), 3, "start_m")
+
+
+@query(f"{POS}, {_HARBOURS} select seq, port, round({_distance('lat', 'lon', 'plat', 'plon')},3) metres from pos, pt where {_distance('lat', 'lon', 'plat', 'plon')}<=15000")
+def fixes_near_harbours(spark, sf_dir):
+    """All fixes with all places within 15 km on a round earth."""
+    return _rounded(proximity.near(positions(spark, sf_dir), _harbours(spark, sf_dir), 15_000).select("seq", "port", "metres"), 3, "metres")
+
+
 @query(f"{TRK} select cast(min(start_timestamp) as bigint) min_ts, cast(max(end_timestamp) as bigint) max_ts from trk")
 def time_range(spark, sf_dir):
     return selection.time_range(tracks(spark, sf_dir))
