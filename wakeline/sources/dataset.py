@@ -143,6 +143,11 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _carried(spark: SparkSession, out: str):
     """The day up to which voyages were found, and what was carried from it; a state counts once its last table is whole."""
     from ..operators.voyages import Carried
