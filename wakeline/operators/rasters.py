@@ -26,6 +26,28 @@ def step_density(points: DataFrame, extent, step: float) -> DataFrame:
     return density(points, extent, round((x1 - x0) / step), round((y1 - y0) / step))
 
 
+def pyramid(points: DataFrame, extent, nx: int, ny: int, levels: int, time: str, span: int) -> DataFrame:
+    """Rows (level, span_no, iy, ix, cnt): fixes per cell and tumbling range of ``span`` of ``time``, at each zoom level.
+
+    Level 0 has the cells of :func:`density`; a cell of each level covers four
+    of the one below. Fixes are read once, for level 0; each level is summed
+    from the one below, which has a row per filled cell and range, so all
+    levels together move little more than the first.
+    """
+    x0, x1, y0, y1 = extent
+    inside = points.where(in_box("lat", "lon", extent, half_open=True) & F.col(time).isNotNull())
+    iy, ix = (F.least(F.floor((F.col(v).cast("double") - low) * (n / (high - low))).cast("int"), F.lit(n - 1)) for v, low, high, n in (("lat", y0, y1, ny), ("lon", x0, x1, nx)))
+    table = inside.groupBy(F.floor(F.col(time) / span).cast("long").alias("span_no"), iy.alias("iy"), ix.alias("ix")).agg(F.count("*").alias("cnt"))
+    out = None
+    for level in range(levels):
+        if level:
+            table = table.groupBy("span_no", F.shiftright("iy", 1).alias("iy"), F.shiftright("ix", 1).alias("ix")).agg(F.sum("cnt").alias("cnt"))
+        table = materialize(table, "level")
+        rows = table.select(F.lit(level).alias("level"), "span_no", "iy", "ix", "cnt")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def metric_shape(extent, cell_m: float) -> tuple[int, int, float, float]:
     """Columns, rows and degrees per cell of a grid of metres, scaled at the middle latitude."""
     import math

@@ -12,7 +12,7 @@ from . import schema
 from .config import ArtifactConfig, ExampleConfig, LayoutConfig, PortConfig, RouteConfig, StopConfig, VoyageConfig
 from .fixture import EPOCH_US, POS_SQL, TRK_SQL, positions, tracks
 from .functions import dates, geo, text
-from .operators import activity, events, gaps, layout, metrics, paths, ports, proximity, rasters, relational, selection, stops, voyages
+from .operators import activity, epochs, events, gaps, layout, metrics, paths, ports, proximity, rasters, relational, selection, stops, voyages
 from .plans import materialize, scratch_root
 from .sources import dataset
 
@@ -150,6 +150,19 @@ def fragment_split(spark, sf_dir):
     return gaps.split_fragments(track_fragments(spark, sf_dir), 0.1).select("track_id", "s", "e", "split")
 
 
+_EPOCH = "select {0} epoch, track_id, s, place, (place*4) // (select count(*) from fr) shard from ({1})"
+_NUMBERED = "nr as (select track_id, s, row_number() over (order by track_id, s)-1 number from fr)"
+
+
+@query(f"{POS}, {_STEPS}, {_FRAG}, {_NUMBERED} " + " union all ".join(_EPOCH.format(e, epochs.place_sql("nr", "select count(*) from fr", 42, e, "track_id, s")) for e in (0, 1)))
+def epoch_places(spark, sf_dir):
+    """Two epochs of all fragments, each in an order of its own and dealt to four workers."""
+    rows = materialize(epochs.numbered(track_fragments(spark, sf_dir).select("track_id", "s"), ["track_id", "s"]), "numbered")
+    n = rows.count()
+    both = [epochs.epoch(rows, n, 42, e, 4).select(F.lit(e).alias("epoch"), "track_id", "s", "place", "shard") for e in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
 @query(f"{POS}, {_STEPS}, {_FRAG} select sg.track_id, fr.s, fr.e, sg.seq, cast(sg.place as int) place from sg join fr on sg.track_id=fr.track_id and sg.place>=fr.s and sg.place<fr.e")
 def fragment_points(spark, sf_dir):
     rows = positions(spark, sf_dir).where("track_id >= 0")
@@ -171,6 +184,12 @@ def density_cells(spark, sf_dir):
     return rasters.density(positions(spark, sf_dir), EXTENT, *BINS)
 
 
+@query(f"""{POS}, lv as (select unnest(range(0, 6)) "level"), c as (select cast(floor("timestamp"/1440) as bigint) span_no, cast(least(floor((lat-30.0)*(256/15.0)),255) as int) iy, cast(least(floor((lon-125.0)*(256/17.0)),255) as int) ix from pos where lon>=125 and lon<142 and lat>=30 and lat<45)
+select cast("level" as int) "level", span_no, iy >> cast("level" as int) iy, ix >> cast("level" as int) ix, count(*) cnt from c, lv group by 1, 2, 3, 4""")
+def density_pyramid(spark, sf_dir):
+    return rasters.pyramid(positions(spark, sf_dir), EXTENT, 256, 256, 6, "timestamp", 1440)
+
+
 @query(f"{POS} select cast(least(floor((lat-30.0)*(150/15.0)),149) as int) iy, cast(least(floor((lon-125.0)*(170/17.0)),169) as int) ix, count(*) cnt from pos where lon>=125 and lon<142 and lat>=30 and lat<45 group by 1,2")
 def density_fixed_step(spark, sf_dir):
     return rasters.step_density(positions(spark, sf_dir), EXTENT, 0.1)
