@@ -126,3 +126,17 @@ def test_intersections():
     apart = ~np.eye(12, dtype=bool)  # a set isn't compared with itself
     assert (nd.intersections(sets)[apart] == want[apart]).all()
     assert len(shingles(np.zeros(0, np.uint64))) == 0
+
+
+def test_few_strays_in_a_bucket_cost_a_copy_of_it(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rows = [(1, k, 410, 0 if k < 400 else k) for k in range(410)] + [(2, k, 40, k % 2) for k in range(40)] + [(3, k, 50, 7) for k in range(50)]
+    units = nd.units_apart(spark.createDataFrame(rows, "bucket long, rep long, n long, class long")).collect()
+    # the bucket of one class is left out, and rows move a few times
+    assert {u.bucket for u in units} == {1, 2} and sum(u.bucket == 1 for u in units) < 3 * 410
+    met = {}
+    for u in units:
+        met.setdefault((u.bucket, u.i, u.j), []).append(u)
+    pairs = {(u.bucket, frozenset((u.rep, v.rep))) for some in met.values() for u in some for v in some if u["class"] != v["class"]}
+    want = {(b, frozenset((x, y))) for b, x, _, c in rows for d, y, _, e in rows if b == d and c != e}
+    assert pairs == want

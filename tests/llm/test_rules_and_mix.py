@@ -182,3 +182,11 @@ def test_mix_meets_targets_and_repeats(spark, odd, none, monkeypatch):
     assert all(abs(t - n) <= 17 for t, n in taken.items()) and len(one) == 3000
     got = {r.doc_id: r for r in mixing.mix(odd).collect()}
     assert len(got) == 12 and got[0].taken == 0 and mixing.mix(none).count() == 0
+
+
+def test_a_source_of_very_many_ranges(spark, monkeypatch):
+    """Beyond 32,768 ranges a range's number times a key doesn't fit 31 bits."""
+    docs = spark.range(80_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two").alias("text"))
+    monkeypatch.setattr(mixing, "QUEUE", 2)
+    found = mixing.mix(docs).agg(F.sum("taken"), F.count("*")).first()
+    assert tuple(found) == (160_000, 80_000)

@@ -52,7 +52,7 @@ def mix(docs: DataFrame, share: float = 1.0, repeats: int = REPEATS, seed: str =
     ``QUEUE`` rows, so a large source is spread.
 
     Rows that share an id are one document with the sum of their sizes and the
-    least of their sources. A null text has size 0; documents of size 0 are
+    least of their sources. A text of any length is counted whole, as a row. A null text has size 0; documents of size 0 are
     taken as they come. A null source is a source, the last. Where no document
     has a word, targets are 0. An empty table gives no rows, and other columns
     are ignored, whatever their names.
@@ -64,13 +64,13 @@ def mix(docs: DataFrame, share: float = 1.0, repeats: int = REPEATS, seed: str =
     sources = running_total(sources.withColumns({"_null": F.col("source").isNull(), "_one": F.lit(1).cast("long")}), ["_null", "source"], "_one", "place")
     sources = sources.withColumn("place", F.col("place") + 1).withColumn("weight", weights(F.col("place"))).drop("_null", "_one")
     sources = materialize(targets(sources, share, repeats), "sources")
-    ranges = max(1, min(1 << 16, -(-int(sources.agg(F.max("n")).first()[0] or 0) // QUEUE)))
+    ranges = max(1, min(1 << 30, -(-int(sources.agg(F.max("n")).first()[0] or 0) // QUEUE)))
 
     rows = units.join(sources, units.source.eqNullSafe(sources.source)).select("doc_id", "size", "place", "source_size", "target")
     epochs = F.least(F.lit(repeats), F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide("target", "source_size"), F.lit(1)))))
     queue = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs.cast("int") - 1)))
     queue = queue.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "doc_id").cast("binary")))
-    queue = queue.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * ranges, 16))
+    queue = queue.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges, 32))
     sums = queue.groupBy("place", "epoch", "range").agg(F.sum("size").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("place").orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("place", "epoch", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))

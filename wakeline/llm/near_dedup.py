@@ -216,11 +216,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("class", "rep", "n")), pa.array([f.tobytes() for f in found], pa.binary())], names=["class", "rep", "n", "found"]).filter(own)
 
 
-def block_pairs(df: DataFrame, name: str, blocks: str) -> DataFrame:
-    """Deal each row to its block and copy it to every pair (i, j) that holds the block; one pair for small groups."""
-    own = F.pmod(F.xxhash64(name), F.col(blocks))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    return df.withColumn("_pair", F.explode(pairs)).withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j")}).drop("_pair")
+def units_apart(held: DataFrame) -> DataFrame:
+    """Rows (bucket, rep, class, i, j): what to compare of the buckets (bucket, rep, n, class) that hold several classes.
+
+    Of two rows in different classes one isn't in the bucket's largest class.
+    Such rows, in blocks i of twice ``BLOCK``, meet each block j of all rows; so few
+    strays in a bucket of many alike cost a copy of each of its rows, and every
+    pair of classes is still met.
+    """
+    parts = held.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    mains = parts.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count("*").alias("kinds"), (F.sum("size") - F.max("size")).alias("strays")).where("kinds > 1")
+    mains = mains.select("bucket", "main", F.ceil(F.col("strays") / (2 * BLOCK)).cast("long").alias("many"))
+    rows = held.join(mains, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    i, j = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("many")), F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    strays = F.when(F.col("class") != F.col("main"), F.transform(every("blocks"), lambda k: F.struct(i.alias("i"), k.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
+    others = F.transform(every("many"), lambda k: F.struct(k.alias("i"), j.alias("j")))
+    # a stray is in its own unit by both
+    return rows.withColumn("unit", F.explode(F.array_distinct(F.concat(strays, others)))).select("bucket", "rep", "class", "unit.i", "unit.j")
 
 
 def confirmed_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -256,9 +269,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``text_hash`` and ``group`` of every row.
 
     Rows with the same set are one class at once. Classes that share a band are
-    compared with the least of their bucket by bit counts, then across what is
-    still apart in the bucket, in blocks of ``BLOCK``; that gives candidate
-    groups, whose whole sets are compared by :func:`confirmed_links`. No list
+    compared with the least of their bucket by bit counts; then what is still
+    apart from most of its bucket meets all of it, in blocks of ``BLOCK``
+    (:func:`units_apart`); that gives candidate groups, whose whole sets are compared by :func:`confirmed_links`. No list
     of pairs is made: a block gives a spanning forest.
 
     A null or empty text, or one of blanks, has no shingles, links with nothing
@@ -287,9 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     grouping = connected_components(stars.where(matches("x", "y") >= limit), "rep", "lead").withColumnsRenamed({"node": "rep", "component": "class"})
 
     held = members.select("bucket", "rep", "n").join(grouping, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    mixed = held.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
-    apart = held.join(mixed, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    apart = block_pairs(apart, "rep", "blocks").join(reps.select("rep", *WORDS_OF_BITS), "rep").select("bucket", "i", "j", F.col("class"), *WORDS_OF_BITS)
+    apart = units_apart(held).join(reps.select("rep", *WORDS_OF_BITS), "rep").select("bucket", "i", "j", "class", *WORDS_OF_BITS)
     apart = apart.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     across = materialize(apart.mapInArrow(_estimated(limit), "a long, b long").distinct(), "across")
     if across.limit(1).count():
