@@ -55,6 +55,34 @@ def test_scores_equal_brute_force(spark, texts, monkeypatch, wide):
         assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id][3]), pytest.approx(want[r.doc_id][4]))
 
 
+def test_many_shards_need_few_open_files(spark, texts, monkeypatch, tmp_path):
+    """200 shards of 9 files each, scored alike, and looked up by a process that may open 64 files more."""
+    import glob
+    import os
+    import resource
+
+    want = {r.doc_id: r.score for r in lm_scoring.op8_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(lm_scoring, "LEAST_SHARDS", 200)
+    monkeypatch.setattr(lm_scoring, "scratch_root", lambda _: f"file://{tmp_path}")
+    got = {r.doc_id: r.score for r in lm_scoring.op8_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    [folder] = glob.glob(f"{tmp_path}/lm-*")
+    sizes = [len(np.load(f)) if os.path.exists(f := f"{folder}/words-{s}.npy") else 0 for s in range(200)]
+    monkeypatch.setattr(lm_scoring, "MAPPED", 16)
+    model = lm_scoring.Arrays(folder, 200, [0, *np.cumsum(sizes)[:-1].tolist()])
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    open_now = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(int(x) for x in os.listdir("/proc/self/fd")) + 64, before[1]))
+    try:
+        tokens = [lm_scoring.words(t) for t in texts.values()]
+        ids = model.word_ids(tokens)
+        counts, *_ = model.by_id(["counts", "kinds", "total", "one", "two", "more"], ids)
+        assert len(os.listdir("/proc/self/fd")) <= open_now + 40
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+    assert len(set(np.searchsorted(model.bases, ids[ids >= 0], "right"))) > 190 and (counts[ids >= 0] > 0).all()
+
+
 def test_large_counts_are_kept_whole():
     keys, counts = np.array([3, 5, 1 << 63], np.uint64), np.array([1, 1 << 40, 7])
     blob = lm_scoring._pack(keys, counts, counts * 0)

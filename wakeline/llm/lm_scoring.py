@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,10 @@ from .text import KEPT, crc_fold, documents, held, mix, word_hashes, words
 END, START, WIDE_START = b"", 0xFFFFFFFF, 1 << 62
 #: Texts read together: about so many tokens at once. Words whose numbers a worker keeps.
 TOKENS, NUMBERED = 1_000_000, 400_000
-#: Documents for one shard of the model's arrays, whose number grows with them; shards are ranges of hashes.
-DOCS_PER_SHARD, LEAST_SHARDS = 4_000, 8
+#: Bytes of text for one shard of the model's arrays, whose number grows with them; shards are ranges of hashes.
+SHARD_BYTES, LEAST_SHARDS = 14_000_000, 8
+#: Files that a worker keeps mapped; the one not used for longest gives way.
+MAPPED = 512
 #: From so many distinct words on, two numbers don't make one key of 64 bits, and keys of pairs are hashes.
 WIDE = START
 
@@ -149,20 +151,24 @@ def _store_words(folder: str):
 
 
 class Arrays:
-    """Sorted hash arrays of all shards, mapped into this process and looked up by binary search."""
+    """Sorted hash arrays of all shards, mapped into this process, ``MAPPED`` files at a time, and looked up by binary search."""
 
     def __init__(self, folder: str, shards: int, bases: list[int]):
         self.folder, self.shards, self.bases = folder, shards, np.array(bases, np.int64)
-        self.open: dict[str, np.ndarray] = {}
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
         self.ids: dict[bytes, int] = {}
 
     def get(self, name: str) -> np.ndarray | None:
         if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            if not os.path.exists(path):
+            try:
+                loaded = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+            except FileNotFoundError:
                 return None
-            loaded = np.load(path, mmap_mode="r")
+            if len(self.open) >= MAPPED:
+                # a map is closed with the last array on it
+                self.open.popitem(last=False)
             self.open[name] = loaded
+        self.open.move_to_end(name)
         return self.open[name]
 
     def places(self, name: str, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -287,7 +293,7 @@ def _store_pairs(folder: str, bases: list[int], wide: bool):
             first, second = (e.astype(np.uint64) for e in ends) if wide else (both >> np.uint64(32), both & np.uint64(0xFFFFFFFF))
             yield parts(0, *_summed(first, counts, counts == 1, counts == 2, counts > 2))
             yield parts(1, *_summed(second, np.ones(len(second), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([_counts_of_counts(counts)], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([[*_counts_of_counts(counts), len(keys)]], pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -376,8 +382,11 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     Words, then pairs, are counted per task and merged by hash ranges: a shuffle
     of packed arrays, whose size follows the distinct words and pairs of a task.
     Each range is stored as sorted arrays in the shared folder, which workers
-    map into memory; texts are read three times and never shuffled. The driver
-    gets a row of sums for each range.
+    map into memory, a bounded number of files at a time; texts are read three
+    times, and once for their sizes, and never shuffled. Ranges grow with the
+    bytes of all texts, so few long texts have as many as many short ones. The
+    driver gets a row of sums for each range. A text of any length is counted
+    and scored whole, in one task, at some 100 bytes a word.
 
     ``spark.checkpoint.dir`` must be a mounted folder (``file:``). A null or
     empty text is its end alone. Without training rows every token is unknown.
@@ -393,7 +402,7 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
     os.makedirs(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_fold("doc_id", by) == held, F.lit(False)).alias("held_out"), "text")
     train = rows.where("not held_out").select("text")
-    shards = max(LEAST_SHARDS, docs.count() // DOCS_PER_SHARD)
+    shards = max(LEAST_SHARDS, int(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(shards, "shard").sortWithinPartitions("shard")
@@ -408,13 +417,11 @@ def score_documents(docs: DataFrame, by: int = 7, held: int = 2) -> DataFrame:
 
     pairs = dealt(train.mapInArrow(_count_pairs(folder, shards, bases, wide), blob)).mapInArrow(_store_pairs(folder, bases, wide), "kind int, shard int, data binary, counts array<long>")
     pairs = materialize(pairs, "histories")
-    pair_n = [0] * 4
-    for x in pairs.where("kind = 2").select("counts").collect():
-        pair_n = [a + b for a, b in zip(pair_n, x.counts, strict=True)]
+    sums = pairs.where("kind = 2").agg(*(F.coalesce(F.sum(F.col("counts")[k]), F.lit(0)) for k in range(5))).first()
+    pair_n, total = list(sums[:4]), sums[4]
     dealt(pairs.where("kind = 0").select("shard", "data")).mapInArrow(_store_histories(folder, bases, sizes, wide), "shard int").count()
     ends = dealt(pairs.where("kind = 1").select("shard", "data")).mapInArrow(_store_continuations(folder, bases, sizes), "shard int, counts array<long>, kinds array<long>").collect()
     word_n, word_kinds = [sum(x.counts[k] for x in ends) for k in range(4)], [sum(x["kinds"][k] for x in ends) for k in range(3)]
-    total = sum(int(np.load(f"{folder}/pairs-{s}.npy", mmap_mode="r").shape[0]) for s in range(shards) if os.path.exists(f"{folder}/pairs-{s}.npy"))
     known = {"tokens": tokens, "words": sum(sizes), "pairs": total, "pair_discounts": discounts(pair_n), "word_discounts": discounts(word_n), "word_kinds": word_kinds}
     return rows.mapInArrow(_score(folder, shards, bases, known, wide), SCORES)
 
