@@ -6,7 +6,9 @@ import corpus_pipeline
 from wakeline.llm import language_id, mixing, near_dedup, quality_rules, stages
 from wakeline.plans import materialize
 
+from test_models import brute_languages
 from test_near_dedup import brute
+from test_rules_and_mix import measured
 
 
 def test_stages_keep_columns_and_decide(spark):
@@ -87,3 +89,57 @@ def test_bands_follow_the_limit():
     for percent in range(30, 100, 5):
         rows = near_dedup.band_rows(percent)
         assert rows == 1 or (1 - (percent / 100) ** rows) ** (near_dedup.PERMUTATIONS // rows) <= near_dedup.MISSES
+
+
+def brute_rules(rows, most=10, left=30):
+    """What the quality stage keeps: (doc_id, text) of rows (doc_id, source, text), with sets of lines and windows."""
+    parts = lambda line: tuple(line.encode().lower().split())
+    seen, lines_of = {}, {}
+    for doc_id, source, text in rows:
+        every = tuple(p for line in (text or "").split("\n") if (p := parts(line)))
+        lines_of[doc_id] = every
+        for p in set(every):
+            seen.setdefault((source, p), set()).add(every)
+    common, out = {k for k, documents in seen.items() if len(documents) > most}, {}
+    for doc_id, source, text in rows:
+        n, _, _, _, again = measured(text)
+        gone = sum(len(p) for p in lines_of[doc_id] if (source, p) in common)
+        if n >= 20 and 100 * again <= 30 * n and 100 * (n - gone) >= left * n:
+            out[doc_id] = "\n".join(x for x in text.split("\n") if (source, parts(x)) not in common)
+    return out
+
+
+def test_quality_and_language_stages_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    # some lines are boilerplate of a host, some texts little else
+    more = [(10_000 + k, "\n".join([f"word{k} " * 3 + " ".join(f"v{k}x{j}" for j in range(25 if k % 3 else 2))] + ["Imprint and terms of this site"] * (1 if k % 3 else 9)), "en", "host" if k % 2 else "other", 0) for k in range(60)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    out = materialize(stages.quality(spark, docs, folder), "quality")
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == brute_rules(rows) and 0 < len(got) < len(rows) and any(t != got[i] for i, _, t in rows if i in got)
+    want = brute_languages([(r.doc_id, r.text, r.lang) for r in out.collect()])
+    kept = {r.doc_id for r in stages.language(spark, out, folder).collect()}
+    sure = {i for i, (lang, score) in want.items() if lang != "und" and score >= language_id.LEAST_SCORE + 1e-3}
+    maybe = {i for i, (lang, score) in want.items() if lang != "und" and score >= language_id.LEAST_SCORE - 1e-3}
+    assert sure <= kept <= maybe
+
+
+def test_runs_agree_however_rows_are_dealt(spark, tmp_path):
+    """Every stage leaves the same rows and texts, told by a digest, with other partitions, another order and other shuffles."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for parts, shuffles in ((1, "3"), (7, "11")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        rows, mine = docs.repartition(parts, F.xxhash64("doc_id", F.lit(parts))), []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = materialize(stage(spark, rows, ""), name)
+            mine.append((name, stages.digest(rows)))
+        found.append(mine)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and [n for _, (n, _) in found[0]] == sorted((n for _, (n, _) in found[0][:3]), reverse=True) + [found[0][3][1][0]]
+    # a changed text or a row more is another digest
+    base = stages.digest(docs)
+    assert stages.digest(docs.repartition(5)) == base != stages.digest(docs.withColumn("text", F.upper("text"))) and stages.digest(docs.limit(0)) == (0, 0)
