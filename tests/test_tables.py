@@ -44,11 +44,11 @@ def test_dataset_round_trip(spark, tmp_path):
         *(F.lit(0).alias(c) for c in ("course", "heading", "rot", "elapsed")), F.lit("X").alias("destination"), F.lit(1).alias("tile_z"), F.lit(0).alias("file_id"), F.lit(-1).cast("long").alias("track_id"), F.lit(None).cast("date").alias("dt"), F.col("id").cast("int").alias("ord_in_file"),
     )
     dataset.write(rows.withColumn("dt", F.to_date(F.timestamp_seconds("timestamp"))), path, "positions")
-    dataset.filtered_copy(spark, path, out, config.ActivityConfig())
+    dataset.filtered_copy(spark, path, out)
     kept = dataset.read(spark, out, "positions")
     assert kept.select("ship_id").distinct().collect()[0][0] == 1 and "filter_rules" in dataset.read_meta(spark, out)
     assert "PartitionFilters: [isnotnull(dt" in dataset.positions_between(kept, 90_000, 95_000)._jdf.queryExecution().toString()
-    dataset.tracked_copy(spark, out, str(tmp_path / "c"), config.VoyageConfig())
+    dataset.tracked_copy(spark, out, str(tmp_path / "c"), config.Breaks())
     assert dataset.read(spark, str(tmp_path / "c"), "tracks").count() >= 1 and len(dataset.fingerprint(spark, path)) == 64
     assert {r.table: r.rows for r in dataset.info(spark, out).collect()}["positions"] == 100
     assert dataset.folder_stats(spark, path).first().files > 0 and dataset.structure(spark, path).count() == sum(len(t) for t in dataset.TABLES.values())
@@ -120,13 +120,13 @@ def test_ports_end_to_end(spark, tmp_path):
     tracks = [(k, 1, 0, 100 + k, 0.5, 0.5, 5.5, 5.5, 3, k) for k in range(4)] + [(9, 1, 0, 50, 5.5, 5.5, 0.5, 0.5, 3, 9)]
     table = spark.createDataFrame([(*t[:4], *map(float, t[4:8]), *t[8:]) for t in tracks], "track_id long, ship_id long, start_timestamp int, end_timestamp int, start_lat double, start_lon double, end_lat double, end_lon double, points_count int, track_ord long")
     fixes = spark.createDataFrame([(k, t[0], 10 * n, 0.5 + n, 0.5 + n, d) for k, (t, n, d) in enumerate((t, n, d) for t in tracks for n, d in enumerate(("none", "osaka_bay")))], "seq long, track_id long, timestamp long, lat double, lon double, destination string")
-    setup = config.PortConfig(extent=(0.0, 10.0, 0.0, 10.0), bins=(10, 10), threshold_mode="absolute", threshold_value=1.0, min_cluster_cells=1)
-    found = ports.extract(table, fixes, setup)
+    setup = {"grid": config.Grid((0.0, 10.0, 0.0, 10.0), (10, 10)), "dense": ("absolute", 1.0), "cells": 1}
+    found = ports.extract(table, fixes, **setup)
     assert {r.pair: r.track_ids for r in found["poi_pairs"].collect()} == {"0->1": [0, 1, 2, 3], "1->0": [9]}
-    where = ports.write_document(found, str(tmp_path / "set.h5"), setup)
+    where = ports.write_document(found, str(tmp_path / "set.h5"), **setup)
     assert where.endswith("set_poi.json") and {r.track_id for r in ports.document_track_ids(spark, where).collect()} == {0, 1, 2, 3, 9}
     assert ports.read_quality(spark, where).count() == found["track_quality"].count() == 5
-    body = json.loads(ports.document(found, "x", setup))
+    body = json.loads(ports.document(found, "x", **setup))
     assert body["stats"] == {"pois_count": 2, "pairs_count": 2, "tracks_count": 5} and body["pois"][1]["top_destinations"] == [{"name": "OSAKA BAY", "count": 4}]
 
 
@@ -225,7 +225,7 @@ def test_artifacts(spark, tmp_path):
     art = str(tmp_path / "art")
     assert artifacts.load_frags(spark, art).count() == 4 and artifacts.load(spark, art, "meta").first().fragments == 4
     held_out = {r.track_id for r in artifacts.load(spark, art, "split").collect()}
-    assert {r.track_id for r in artifacts.load_frags(spark, art, "val").collect()} == held_out and artifacts.load_config(spark, art) == config.ArtifactConfig()
+    assert {r.track_id for r in artifacts.load_frags(spark, art, "val").collect()} == held_out and artifacts.load_config(spark, art) == config.Pieces()
     cells, corner, shape_ = artifacts.load_density(spark, art)
     assert corner[:2] == (129.0, 29.0) and cells.agg(F.max("iy")).first()[0] < shape_[0] and cells.agg(F.max("ix")).first()[0] < shape_[1]
     spark.range(1).write.mode("overwrite").parquet(f"{art}-odd/frags")
@@ -237,10 +237,10 @@ def test_artifacts(spark, tmp_path):
 
 
 def test_config_round_trip():
-    one = config.PortConfig(bins=(5, 6))
-    assert config.from_json(config.PortConfig, config.to_json(one)) == one
+    one = config.Grid(bins=(5, 6))
+    assert config.from_json(config.Grid, config.to_json(one)) == one
     with pytest.raises(ValueError, match="nope"):
-        config.from_json(config.PortConfig, '{"nope": 1}')
+        config.from_json(config.Grid, '{"nope": 1}')
 
 
 def test_a_step_leaves_its_own_table_alone(spark):

@@ -1,19 +1,18 @@
 import random
-from dataclasses import replace
-
 import pytest
 
-from wakeline.config import VoyageConfig
+from wakeline.config import Breaks
 from wakeline.operators import voyages
 
 POSITION = "seq long, ship_id long, timestamp long, lat double, lon double, speed int, destination string"
 METRE = 1 / 111_194.93
 
 
-def ids(spark, fixes, rules=VoyageConfig()):
+def ids(spark, fixes, rules=Breaks()):
     rows = [(k, 1, *f) for k, f in enumerate(fixes)]
-    placed, tracks = voyages.detect(spark.createDataFrame(rows, POSITION), replace(rules, first_track_id=0))
-    return [r.track_id for r in placed.orderBy("seq").collect()], [(r.track_id, r.points_count) for r in tracks.orderBy("track_ord").collect()]
+    placed, tracks = voyages.detect(spark.createDataFrame(rows, POSITION), rules)
+    # numbered from 0 here
+    return [r.track_id - (r.track_id > 0) for r in placed.orderBy("seq").collect()], [(r.track_id - 1, r.points_count) for r in tracks.orderBy("track_ord").collect()]
 
 
 @pytest.mark.parametrize(
@@ -51,8 +50,7 @@ def test_drift_never_idles(spark):
 
 def test_ids_follow_first_fixes_and_tables_closing(spark):
     random.seed(3)
-    rules = VoyageConfig(gap_very_hard_sec=500)
-    assert rules.first_track_id == 1
+    rules = Breaks(silence=((500, -1.0), (18_000, 150_000.0)))
     rows, now = [], [0] * 4
     for k in range(400):
         ship = random.randrange(4)
@@ -107,7 +105,7 @@ def _drawn(n, ships, seed):
 
 @pytest.mark.parametrize("cuts", [(0.5,), (0.1, 0.2, 0.9), (0.4, 0.4, 0.41)])
 def test_portions_give_what_all_fixes_give(spark, cuts):
-    rules = VoyageConfig(gap_very_hard_sec=500, stop_dwell_sec=600)
+    rules = Breaks(silence=((500, -1.0),), rest=(250.0, 600))
     rows = [r for r in _drawn(300, range(6), 8) if not (r[1] == 2 and r[0] > (1 << 62) + 300)]
     whole = [spark.createDataFrame(rows, POSITION)]
     placed, tracks = voyages.detect(*whole, rules)
@@ -129,7 +127,7 @@ def test_datasets_grow_by_days(spark, tmp_path):
     from wakeline import schema
     from wakeline.sources import dataset
 
-    rules = VoyageConfig(gap_very_hard_sec=4000, stop_dwell_sec=600)
+    rules = Breaks(silence=((4000, -1.0),), rest=(250.0, 600))
     source, whole, grown = (str(tmp_path / x) for x in ("s", "w", "g"))
     dataset.create(spark, source)
     raw = [(ship, 1_700_000_000 + 600 * k, lat, lon, speed, to) for k, (_, ship, _, lat, lon, speed, to) in enumerate(_drawn(600, range(4), 9))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ArtifactConfig
+from ..config import Pieces
 from ..functions.geo import haversine_m
 from ..plans import percentiles
 
@@ -50,16 +50,16 @@ def segments(positions: DataFrame, max_sec: int, max_m: float) -> DataFrame:
     return steps(positions).withColumns({"segment": F.sum(cut).over(_by_voyage().rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(_by_voyage()) - 1})
 
 
-def fragments(positions: DataFrame, config: ArtifactConfig = ArtifactConfig()) -> DataFrame:
+def fragments(positions: DataFrame, rules: Pieces = Pieces()) -> DataFrame:
     """Segments of enough fixes that go far enough from where they start, as slices [s, e) with their box."""
-    parts = segments(positions, config.frag_gap_sec, config.frag_gap_m)
+    parts = segments(positions, *rules.cut)
     whole = Window.partitionBy("track_id", "segment").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
     away = haversine_m(F.first("lat").over(whole), F.first("lon").over(whole), "lat", "lon")
     out = parts.withColumn("away", away).groupBy("track_id", "segment").agg(
         F.min("place").cast("int").alias("s"), (F.max("place") + 1).cast("int").alias("e"), F.count("*").cast("int").alias("points"), F.min("timestamp").cast("long").alias("t0"), F.max("timestamp").cast("long").alias("t1"),
         *(f(F.col(c).cast("double")).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")), F.max("away").alias("away"),
     )
-    return out.where((F.col("points") >= config.min_points) & (F.col("away") >= config.min_displacement_m)).select("track_id", "s", "e", "points", "t0", "t1", "min_lat", "min_lon", "max_lat", "max_lon")
+    return out.where((F.col("points") >= rules.fixes) & (F.col("away") >= rules.away)).select("track_id", "s", "e", "points", "t0", "t1", "min_lat", "min_lon", "max_lat", "max_lon")
 
 
 def fragment_stats(frags: DataFrame, shares=(0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PortConfig
+from ..config import Grid
 from ..functions.geo import grid_cell, in_box
 from ..functions.text import bad_destination, normal_destination, pair_key
 from ..plans import materialize
@@ -38,19 +38,19 @@ def by_popularity(pois: DataFrame) -> DataFrame:
     return pois.withColumn("rank_id", (F.row_number().over(order) - 1).cast("int"))
 
 
-def assign(tracks: DataFrame, labelled: DataFrame, config: PortConfig = PortConfig(), cells: int | None = None) -> DataFrame:
-    """Start and end port of each voyage within the extent, -1 for none; both and different where both are required."""
-    x0, x1, y0, y1 = config.extent
-    nx, ny = config.bins
-    rows = tracks if config.min_track_points is None else tracks.where(F.col("points_count") >= config.min_track_points)
-    rows = rows.where(in_box("start_lat", "start_lon", config.extent) & in_box("end_lat", "end_lon", config.extent))
+def assign(tracks: DataFrame, labelled: DataFrame, grid: Grid = Grid(), cells: int | None = None, both: bool = True, min_points: int | None = None) -> DataFrame:
+    """Start and end port of each voyage of enough fixes within the extent, -1 for none; both and different where ``both`` are required."""
+    x0, x1, y0, y1 = grid.extent
+    nx, ny = grid.bins
+    rows = tracks if min_points is None else tracks.where(F.col("points_count") >= min_points)
+    rows = rows.where(in_box("start_lat", "start_lon", grid.extent) & in_box("end_lat", "end_lon", grid.extent))
     table = labelled.select("iy", "ix", "poi_id")
     table = F.broadcast(table) if cells is not None and cells <= BROADCAST_CELLS else table
     for end in ("start", "end"):
         rows = rows.withColumns({f"{end}_iy": grid_cell(f"{end}_lat", y0, y1, ny), f"{end}_ix": grid_cell(f"{end}_lon", x0, x1, nx)})
         named = table.select(*(F.col(c).alias(f"{end}_{c}") for c in ("iy", "ix")), F.col("poi_id").alias(f"{end}_poi"))
         rows = rows.join(named, [f"{end}_iy", f"{end}_ix"], "left").withColumn(f"{end}_poi", F.coalesce(f"{end}_poi", F.lit(-1)))
-    if config.require_both_pois:
+    if both:
         rows = rows.where("start_poi >= 0 and end_poi >= 0 and start_poi <> end_poi")
     return rows.drop("start_iy", "start_ix", "end_iy", "end_ix")
 
@@ -83,10 +83,10 @@ def last_destination(positions: DataFrame) -> DataFrame:
     return positions.groupBy("track_id").agg(F.max_by("destination", F.struct(F.col("timestamp"), -F.col("seq"))).alias("destination"))
 
 
-def destinations(assigned: DataFrame, last: DataFrame, config: PortConfig = PortConfig()) -> DataFrame:
+def destinations(assigned: DataFrame, last: DataFrame, least: int = 3) -> DataFrame:
     """How many voyages that end in a port name each destination; short names don't count."""
     rows = assigned.select("track_id", "track_ord", "end_poi").join(last, "track_id").withColumn("name", normal_destination("destination"))
-    return rows.where(F.length("name") >= config.min_destination_len).groupBy("end_poi", "name").agg(F.count("*").alias("count"), F.min("track_ord").alias("first_ord"))
+    return rows.where(F.length("name") >= least).groupBy("end_poi", "name").agg(F.count("*").alias("count"), F.min("track_ord").alias("first_ord"))
 
 
 def top_destinations(counts: DataFrame, top: int = 10) -> DataFrame:
@@ -95,28 +95,32 @@ def top_destinations(counts: DataFrame, top: int = 10) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
-def extract(tracks: DataFrame, positions: DataFrame, config: PortConfig = PortConfig()) -> dict[str, DataFrame]:
+#: What makes a cell of starts and ends dense, as :func:`rasters.dense_cells` takes it, and the cells of a port at least.
+DENSE, CELLS = ("percentile", 96.0), 3
+
+
+def extract(tracks: DataFrame, positions: DataFrame, grid: Grid = Grid(), dense: tuple[str, float] = DENSE, cells: int = CELLS, min_points: int | None = None) -> dict[str, DataFrame]:
     """All tables of the port document: ``pois``, ``poi_pairs``, ``track_quality``, ``assigned`` and ``cells``."""
-    heat = materialize(rasters.start_end_heatmap(tracks, config.extent, config.bins, config.min_track_points), "heat")
-    dense = rasters.dense_cells(heat, config.threshold_mode, config.threshold_value)
-    labelled = rasters.components(dense, config.min_cluster_cells)
-    assigned = materialize(assign(tracks, labelled, config), "assigned")
+    heat = materialize(rasters.start_end_heatmap(tracks, grid.extent, grid.bins, min_points), "heat")
+    full = rasters.dense_cells(heat, *dense)
+    labelled = rasters.components(full, cells)
+    assigned = materialize(assign(tracks, labelled, grid, min_points=min_points), "assigned")
     on_voyages = positions.join(assigned.select("track_id"), "track_id", "left_semi")
-    named = top_destinations(destinations(assigned, last_destination(on_voyages), config), config.top_destinations_per_poi)
+    named = top_destinations(destinations(assigned, last_destination(on_voyages)))
     listed = named.groupBy(F.col("end_poi").alias("poi_id")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "count"))).alias("_n"))
     listed = listed.select("poi_id", F.transform("_n", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"))).alias("top_destinations"))
-    pois = summarise(labelled, heat, config.extent, config.bins).join(listed, "poi_id", "left")
-    return {"pois": pois, "poi_pairs": pairs(assigned), "track_quality": gap_metrics(on_voyages), "assigned": assigned, "cells": dense.select("iy", "ix", "cnt", "threshold")}
+    pois = summarise(labelled, heat, grid.extent, grid.bins).join(listed, "poi_id", "left")
+    return {"pois": pois, "poi_pairs": pairs(assigned), "track_quality": gap_metrics(on_voyages), "assigned": assigned, "cells": full.select("iy", "ix", "cnt", "threshold")}
 
 
-def document(found: dict[str, DataFrame], source: str, config: PortConfig = PortConfig()) -> str:
+def document(found: dict[str, DataFrame], source: str, grid: Grid = Grid(), dense: tuple[str, float] = DENSE, cells: int = CELLS) -> str:
     """The port document as JSON; it holds the ports and pairs of one extract, gathered on the driver. The qualities of voyages are a table, see :func:`write_document`."""
     pois = [r.asDict(recursive=True) for r in found["pois"].orderBy("poi_id").collect()]
     links = [r.asDict() for r in found["poi_pairs"].orderBy("start_poi", "end_poi").collect()]
     limit = found["cells"].agg(F.max("threshold")).first()[0]
     body = {
-        "source_dataset": source, "extent": list(config.extent), "bins": list(config.bins),
-        "threshold": {"mode": config.threshold_mode, "value": config.threshold_value, "dense_thr": limit or 0.0, "min_cluster_cells": config.min_cluster_cells},
+        "source_dataset": source, "extent": list(grid.extent), "bins": list(grid.bins),
+        "threshold": {"mode": dense[0], "value": dense[1], "dense_thr": limit or 0.0, "min_cluster_cells": cells},
         "stats": {"pois_count": len(pois), "pairs_count": len(links), "tracks_count": sum(x["tracks_count"] for x in links)},
         "pois": [{k: v for k, v in p.items() if k not in ("min_lon", "min_lat", "max_lon", "max_lat")} | {"bbox": [p["min_lon"], p["min_lat"], p["max_lon"], p["max_lat"]], "top_destinations": p["top_destinations"] or []} for p in pois],
         "pairs": {x.pop("pair"): x for x in links},
@@ -130,14 +134,14 @@ def default_path(dataset: str) -> str:
     return f"{folder}/{name.rpartition('.')[0] or name}_poi.json" if folder else f"{name.rpartition('.')[0] or name}_poi.json"
 
 
-def write_document(found: dict[str, DataFrame], source: str, config: PortConfig = PortConfig(), path: str | None = None) -> str:
-    """Write the document as one file and its qualities, a row per voyage, as a table beside it; gives the file's path."""
+def write_document(found: dict[str, DataFrame], source: str, path: str | None = None, **made: object) -> str:
+    """Write the document, with what it was ``made`` with, as one file and its qualities, a row per voyage, as a table beside it; gives the file's path."""
     path = path or default_path(source)
     spark = found["pois"].sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(document(found, source, config).encode()))
+        out.write(bytearray(document(found, source, **made).encode()))
     finally:
         out.close()
     found["track_quality"].write.mode("overwrite").parquet(path.removesuffix(".json") + "_quality")

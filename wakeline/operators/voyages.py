@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import VoyageConfig
+from ..config import Breaks
 from ..functions.geo import EARTH_RADIUS_M
 from ..plans import materialize, running_total
 
+#: The id of fixes at rest, and of the first voyage.
+IDLE, FIRST = -1, 1
 
 
 def metres(lat_a: float, lon_a: float, lat_b: float, lon_b: float) -> float:
@@ -33,14 +35,14 @@ class Vessel:
     anchor: tuple[float, float] | None = None
     stopped: bool = False
     still_sec: int = 0
-    rules: VoyageConfig = field(default_factory=VoyageConfig)
+    rules: Breaks = field(default_factory=Breaks)
 
     def to_list(self) -> list:
         """All that is carried, as JSON can hold it; numbers come back as they were."""
         return [self.voyage, self.at, self.idle_at, self.anchor, self.stopped, self.still_sec]
 
     @classmethod
-    def of_list(cls, held: list, rules: VoyageConfig) -> Vessel:
+    def of_list(cls, held: list, rules: Breaks) -> Vessel:
         voyage, at, idle_at, anchor, stopped, still_sec = held
         whole = lambda x: None if x is None else tuple(x)
         return cls(voyage, whole(at), whole(idle_at), whole(anchor), stopped, still_sec, rules)
@@ -48,22 +50,23 @@ class Vessel:
     def _begin(self, fix: tuple) -> tuple[int, bool]:
         self.voyage += 1
         self.idle_at = None
-        self.anchor, self.stopped, self.still_sec = fix[1:3], fix[3] < self.rules.speed_moving_min, 0
+        self.anchor, self.stopped, self.still_sec = fix[1:3], fix[3] < self.rules.moving, 0
         return self.voyage, True
 
     def _breaks(self, fix: tuple, dt: int) -> bool:
-        r, far, other = self.rules, metres(*self.at[1:3], *fix[1:3]), fix[4] != self.at[4]
-        silent = dt > r.gap_very_hard_sec or (dt > r.gap_hard_sec and far > r.dist_after_gap_m)
-        redirected = other and (dt > r.dest_gap_sec or far > r.dest_dist_m or self.stopped)
-        return silent or far > r.jump_hard_m or redirected
+        far = metres(*self.at[1:3], *fix[1:3])
+        if far > self.rules.leap or any(dt > seconds and far > least for seconds, least in self.rules.silence):
+            return True
+        seconds, least = self.rules.turn
+        return fix[4] != self.at[4] and (self.stopped or dt > seconds or far > least)
 
     def _rest(self, fix: tuple, dt: int) -> None:
-        if fix[3] >= self.rules.speed_moving_min:
+        if fix[3] >= self.rules.moving:
             self.stopped, self.still_sec = False, 0
             return
         if not self.stopped:
             self.stopped, self.anchor, self.still_sec = True, fix[1:3], 0
-        if metres(*self.anchor, *fix[1:3]) <= self.rules.stop_radius_m:
+        if metres(*self.anchor, *fix[1:3]) <= self.rules.rest[0]:
             self.still_sec += dt
         else:
             self.anchor, self.still_sec = fix[1:3], 0
@@ -78,11 +81,11 @@ class Vessel:
             breaks = self._breaks(fix, dt)
             self._rest(fix, dt)
             if self.idle_at is not None:
-                signs = (fix[3] >= self.rules.speed_moving_min) + (metres(*self.idle_at[1:3], *fix[1:3]) > self.rules.stop_radius_m) + (fix[4] != self.idle_at[4])
+                signs = (fix[3] >= self.rules.moving) + (metres(*self.idle_at[1:3], *fix[1:3]) > self.rules.rest[0]) + (fix[4] != self.idle_at[4])
                 out = self._begin(fix) if signs >= 2 else (-1, False)
             elif breaks:
                 out = self._begin(fix)
-            elif self.stopped and self.still_sec >= self.rules.stop_dwell_sec:
+            elif self.stopped and self.still_sec >= self.rules.rest[1]:
                 self.idle_at = fix
                 self.anchor, self.still_sec = fix[1:3], 0
                 out = -1, False
@@ -99,7 +102,7 @@ CARRIED = "ship_id long, local_no int, track_id long, carried string"
 FIX = ("timestamp", "lat", "lon", "speed", "destination")
 
 
-def _walk(rules: VoyageConfig, carry: bool = False):
+def _walk(rules: Breaks, carry: bool = False):
     """Fixes with the number of their voyage, and voyages as they end: where they began, the last fix and the vessel's next, which closes them.
 
     A row with ``carried`` comes before its vessel's fixes and sets out from there.
@@ -168,22 +171,22 @@ def _fixes(positions: DataFrame) -> DataFrame:
 TRACK_COLUMNS = ("track_id", "ship_id", "start_timestamp", "end_timestamp", "start_lat", "start_lon", "end_lat", "end_lon", "points_count", "track_ord")
 
 
-def detect(positions: DataFrame, rules: VoyageConfig = VoyageConfig()) -> tuple[DataFrame, DataFrame]:
+def detect(positions: DataFrame, rules: Breaks = Breaks()) -> tuple[DataFrame, DataFrame]:
     """Positions (seq, ship_id, track_id) and voyages of at least two fixes.
 
     Fixes are hashed by vessel and sorted by arrival; a task walks through its
     vessels row by row and holds one vessel's state only, so long histories
-    stream. Voyages are numbered from ``first_track_id`` by the arrival of
+    stream. Voyages are numbered from ``FIRST`` by the arrival of
     their first fix, over a table with a row per voyage, which the walk gives;
     their table is ordered by when they closed.
     """
     walked = _fixes(positions).repartition("ship_id").sortWithinPartitions("ship_id", "seq").mapInPandas(_walk(rules), WALKED)
     walked = materialize(walked, "walked")
     ended = walked.where("first_seq is not null").drop("seq").withColumn("one", F.lit(1).cast("long"))
-    ids = running_total(ended, ["first_seq", "ship_id"], "one", "track_id").withColumn("track_id", F.col("track_id") + rules.first_track_id)
+    ids = running_total(ended, ["first_seq", "ship_id"], "one", "track_id").withColumn("track_id", F.col("track_id") + FIRST)
     fixes = walked.where("first_seq is null").select("seq", "ship_id", "local_no")
     numbered = fixes.join(ids.select("ship_id", "local_no", "track_id"), ["ship_id", "local_no"], "left")
-    placed = numbered.select("seq", "ship_id", F.coalesce("track_id", F.lit(rules.idle_track_id)).cast("long").alias("track_id"))
+    placed = numbered.select("seq", "ship_id", F.coalesce("track_id", F.lit(IDLE)).cast("long").alias("track_id"))
     # a voyage closes with the vessel's next fix; open ones follow, by the vessel's first
     tracks = running_total(ids.where("points_count >= 2"), ["open", "closing", "track_id"], "one", "track_ord")
     return placed, tracks.select(*TRACK_COLUMNS)
@@ -198,7 +201,7 @@ class Carried:
     next_ord: int
 
 
-def carry_on(positions: DataFrame, before: Carried | None = None, rules: VoyageConfig = VoyageConfig()) -> tuple[DataFrame, DataFrame, Carried]:
+def carry_on(positions: DataFrame, before: Carried | None = None, rules: Breaks = Breaks()) -> tuple[DataFrame, DataFrame, Carried]:
     """The voyages of new fixes, set out from what was carried: their positions (seq, ship_id, track_id), the voyages that these fixes closed, and what is carried on.
 
     Taking fixes in any number of portions, each arriving after the one before,
@@ -217,7 +220,7 @@ def carry_on(positions: DataFrame, before: Carried | None = None, rules: VoyageC
         rows = _fixes(positions).withColumn("carried", F.lit(None).cast("string"))
     walked = rows.repartition("ship_id").sortWithinPartitions("ship_id", "seq").mapInPandas(_walk(rules, True), WALKED)
     walked = materialize(walked, "walked")
-    first_id, first_ord = (rules.first_track_id, 0) if before is None else (before.next_id, before.next_ord)
+    first_id, first_ord = (FIRST, 0) if before is None else (before.next_id, before.next_ord)
     ended = walked.where("first_seq is not null").drop("seq").withColumn("one", F.lit(1).cast("long"))
     ids = running_total(ended.where("fresh = 1"), ["first_seq", "ship_id"], "one", "track_id").withColumn("track_id", F.col("track_id") + first_id)
     if before is not None:
@@ -226,7 +229,7 @@ def carry_on(positions: DataFrame, before: Carried | None = None, rules: VoyageC
     ids = materialize(ids, "ids")
     named = ids.select("ship_id", "local_no", "track_id")
     fixes = walked.where("first_seq is null and carried is null").select("seq", "ship_id", "local_no")
-    placed = fixes.join(named, ["ship_id", "local_no"], "left").select("seq", "ship_id", F.coalesce("track_id", F.lit(rules.idle_track_id)).cast("long").alias("track_id"))
+    placed = fixes.join(named, ["ship_id", "local_no"], "left").select("seq", "ship_id", F.coalesce("track_id", F.lit(IDLE)).cast("long").alias("track_id"))
     closed = running_total(ids.where("points_count >= 2 and open = 0"), ["closing", "track_id"], "one", "track_ord").withColumn("track_ord", F.col("track_ord") + first_ord)
     held = walked.where("carried is not null").select("ship_id", "local_no", "carried").join(named, ["ship_id", "local_no"], "left")
     held = held.select("ship_id", "local_no", F.coalesce("track_id", F.lit(-1)).cast("long").alias("track_id"), "carried")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .config import ArtifactConfig, ExampleConfig, LayoutConfig, PortConfig, RouteConfig, StopConfig, VoyageConfig
+from .config import Breaks, ExampleConfig, Grid, LayoutConfig, Pieces, StopConfig
 from .fixture import EPOCH_US, POS_SQL, TRK_SQL, positions, tracks
 from .functions import dates, geo, text
 from .operators import activity, epochs, events, gaps, layout, metrics, paths, ports, proximity, rasters, relational, selection, stops, voyages
@@ -21,9 +21,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 EXTENT, BINS = (125.0, 142.0, 30.0, 45.0), (60, 60)
 STOPS = StopConfig(speed_max=30, min_sec=600, gap_sec=3600, clip_sec=600, extent=EXTENT, bins=BINS)
-PORTS = PortConfig(extent=EXTENT, bins=BINS, threshold_value=60.0, min_cluster_cells=2)
-FRAGS = ArtifactConfig(frag_gap_sec=1500, frag_gap_m=200_000.0, min_points=4, min_displacement_m=10_000.0)
-VOYAGES = VoyageConfig(stop_radius_m=60_000.0, stop_dwell_sec=900, gap_hard_sec=1200, gap_very_hard_sec=2400, dest_gap_sec=600)
+PORTS = Grid(EXTENT, BINS)
+FRAGS = Pieces(cut=(1500, 200_000.0), fixes=4)
+VOYAGES = Breaks(silence=((2400, -1.0), (1200, 150_000.0)), turn=(600, 50_000.0), rest=(60_000.0, 900))
 EXAMPLE = ExampleConfig(size=32, cell_m=10_000.0, ends=1, gap_fixes=(1, 3))
 A, B = (33.5, 128.5), (33.5, 128.5)
 
@@ -127,7 +127,7 @@ _SEG = """sg as (select *, sum(case when dt_>1500 or dist_>200000 then 1 else 0
 
 @query(f"{POS}, {_STEPS}, {_SEG} select track_id, seq, cast(segment as bigint) segment, cast(place as int) place from sg")
 def track_segments(spark, sf_dir):
-    found = gaps.segments(positions(spark, sf_dir).where("track_id >= 0"), FRAGS.frag_gap_sec, FRAGS.frag_gap_m)
+    found = gaps.segments(positions(spark, sf_dir).where("track_id >= 0"), *FRAGS.cut)
     return found.select("track_id", "seq", "segment", "place")
 
 
@@ -287,7 +287,7 @@ rk as (select *, row_number() over (partition by end_poi order by "count" desc,
 def destination_topn(spark, sf_dir):
     assigned = materialize(ports.assign(tracks(spark, sf_dir), _labelled(spark, sf_dir)[1], PORTS), "assigned")
     fixes = positions(spark, sf_dir).join(assigned.select("track_id"), "track_id", "left_semi")
-    counts = ports.destinations(assigned, ports.last_destination(fixes), PORTS)
+    counts = ports.destinations(assigned, ports.last_destination(fixes))
     return ports.top_destinations(counts, 3).select("end_poi", "name", "count", "place")
 
 
@@ -680,7 +680,7 @@ def restored_routes(spark, sf_dir):
     size = EXAMPLE.size
     made = _examples(spark, sf_dir, EXAMPLE)
     made = paths.scored(made, paths.smoothing_scorer(size))
-    return paths.routes(made.withColumn("idx", F.xxhash64("track_id", "s")), size, RouteConfig(low_threshold=0.05, high_threshold=0.5)).withColumn("gaps", F.to_json("gaps")).drop("lat", "lon", "path", "min_lon", "max_lon", "min_lat", "max_lat")
+    return paths.routes(made.withColumn("idx", F.xxhash64("track_id", "s")), size, (0.05, 0.5)).withColumn("gaps", F.to_json("gaps")).drop("lat", "lon", "path", "min_lon", "max_lon", "min_lat", "max_lat")
 
 
 @query(f"{TRK} select track_id, points_count from trk order by points_count desc, track_id limit 10 offset 20")

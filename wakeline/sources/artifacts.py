@@ -8,23 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ArtifactConfig, from_json, to_json
+from ..config import Pieces, from_json, to_json
 from ..operators import gaps, layout, rasters, relational, selection
 from ..plans import materialize
 from ..schema import FRAGMENTS
 
 
-def build(positions: DataFrame, quality: DataFrame, extent, out: str, config: ArtifactConfig = ArtifactConfig(), cell_m: float = 1000.0) -> None:
+#: The longest silence and step of a good voyage, and how many of these are taken, those of most fixes first; the share and seed of held-out voyages.
+GOOD, MOST, HELD_OUT = (7_200, 30_000.0), 500_000, (0.02, 42)
+
+
+def build(positions: DataFrame, quality: DataFrame, extent, out: str, pieces: Pieces = Pieces(), held_out: tuple[float, int] = HELD_OUT, cell_m: float = 1000.0) -> None:
     """All artifacts of the good voyages, each a table below ``out``.
 
     ``frags`` in folders by split (so a half is read alone), ``track_index``,
     ``density`` with its ``density_geometry``, ``frag_stats``, ``split`` (the
     held-out voyages, its share and seed), ``config`` and counts in ``meta``.
     """
-    good = selection.good_tracks(quality, config.good_gap_sec, config.good_gap_m, config.max_tracks).select("track_id")
+    good = selection.good_tracks(quality, *GOOD, MOST).select("track_id")
     rows = positions.join(good, "track_id", "left_semi")
     put = lambda table, name, *by: table.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/{name}")
-    put(gaps.split_fragments(gaps.fragments(rows, config), config.val_fraction, config.seed), "frags", "split")
+    put(gaps.split_fragments(gaps.fragments(rows, pieces), *held_out), "frags", "split")
     put(layout.track_offsets(rows), "track_index")
     put(rasters.metric_density(rows, extent, cell_m), "density")
     spark = positions.sparkSession
@@ -33,8 +37,8 @@ def build(positions: DataFrame, quality: DataFrame, extent, out: str, config: Ar
     put(one.select(F.lit(float(extent[0])).alias("min_lon"), F.lit(float(extent[2])).alias("min_lat"), F.lit(step_lon).alias("step_lon"), F.lit(step_lat).alias("step_lat"), F.lit(nx).alias("columns"), F.lit(ny).alias("rows")), "density_geometry")
     saved = load_frags(spark, out)
     put(gaps.fragment_stats(saved), "frag_stats")
-    put(saved.where("split = 'val'").select("track_id").distinct().withColumns({"seed": F.lit(config.seed), "val_fraction": F.lit(config.val_fraction)}), "split")
-    put(one.select(F.lit(to_json(config)).alias("config")), "config")
+    put(saved.where("split = 'val'").select("track_id").distinct().withColumns({"seed": F.lit(held_out[1]), "val_fraction": F.lit(held_out[0])}), "split")
+    put(one.select(F.lit(to_json(pieces)).alias("config")), "config")
     put(saved.agg(F.lit(json.dumps(list(extent))).alias("extent"), F.count("*").alias("fragments"), F.count_if(F.col("split") == "val").alias("val_fragments"), F.count_distinct("track_id").alias("tracks")), "meta")
 
 
@@ -46,8 +50,8 @@ def load_frags(spark: SparkSession, out: str, split: str | None = None) -> DataF
     return rows if split is None else rows.where(F.col("split") == split)
 
 
-def load_config(spark: SparkSession, out: str) -> ArtifactConfig:
-    return from_json(ArtifactConfig, load(spark, out, "config").first().config)
+def load_config(spark: SparkSession, out: str) -> Pieces:
+    return from_json(Pieces, load(spark, out, "config").first().config)
 
 
 def load_density(spark: SparkSession, out: str) -> tuple[DataFrame, tuple[float, float, float, float], tuple[int, int]]:

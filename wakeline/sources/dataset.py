@@ -96,14 +96,13 @@ def positions_of(positions: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select("track_id").distinct(), "track_id", "left_semi").select(*positions.columns)
 
 
-def filtered_copy(spark: SparkSession, source: str, out: str, config, overwrite: bool = False) -> None:
-    """A dataset of active vessels only: positions and ships semi-joined, files and zones copied, no voyages."""
-    from ..config import to_json
+def filtered_copy(spark: SparkSession, source: str, out: str, overwrite: bool = False, **limits: int) -> None:
+    """A dataset of active vessels only, by the limits of :func:`active_ships`: positions and ships semi-joined, files and zones copied, no voyages."""
     from ..operators.activity import active_ships, keep_ships
 
-    create(spark, out, overwrite, **read_meta(spark, source) | {"filtered_at": datetime.now(UTC).isoformat(), "filter_rules": to_json(config)})
+    create(spark, out, overwrite, **read_meta(spark, source) | {"filtered_at": datetime.now(UTC).isoformat(), "filter_rules": json.dumps(limits, sort_keys=True)})
     positions = read(spark, source, "positions")
-    kept = active_ships(positions, config).select("ship_id").persist()
+    kept = active_ships(positions, **limits).select("ship_id").persist()
     n = kept.count()
     write(keep_ships(positions, kept, n), out, "positions")
     write(keep_ships(read(spark, source, "ships"), kept, n), out, "ships")

@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import VoyageConfig
+from ..config import Breaks
 from ..operators.voyages import Vessel
 
 OUT = "seq long, ship_id long, timestamp long, local_no int, opens boolean"
 STATE = "voyage int, at struct<t:long,lat:double,lon:double,speed:int,dest:string>, idle struct<t:long,lat:double,lon:double,speed:int,dest:string>, anchor_lat double, anchor_lon double, stopped boolean, still_sec long"
 
 
-def _load(state: GroupState, rules: VoyageConfig) -> Vessel:
+def _load(state: GroupState, rules: Breaks) -> Vessel:
     vessel = Vessel(rules=rules)
     if state.exists:
         voyage, at, idle, lat, lon, stopped, still = state.get
@@ -24,7 +24,7 @@ def _load(state: GroupState, rules: VoyageConfig) -> Vessel:
     return vessel
 
 
-def stream_voyages(positions: DataFrame, rules: VoyageConfig = VoyageConfig()) -> DataFrame:
+def stream_voyages(positions: DataFrame, rules: Breaks = Breaks()) -> DataFrame:
     """Each fix with its vessel's running voyage number, -1 at rest.
 
     Within a batch a vessel's fixes are taken in order of arrival; across
