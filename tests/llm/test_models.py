@@ -103,7 +103,7 @@ def brute_quality(texts, labels):
     known = sorted((i, y) for i, y in labels.items() if fold(i, 3) != 1 and i in texts)
     found = {i: quality_knn.term_counts(t) for i, t in texts.items()}
     holds = Counter(k for i, _ in known for k in found[i])
-    terms = [k for k, n in sorted(holds.items(), key=lambda x: (-x[1], x[0])) if n >= max(2, quality_knn.LEAST_SHARE * len(known))][: quality_knn.MOST_TERMS]
+    terms = sorted(k for k, n in holds.items() if n >= 2)
     rows = lambda ids: np.array([[found[i].get(k, 0.0) * log(1 + len(known) / holds[k]) for k in terms] for i in ids])
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     axes = np.linalg.svd(rows([i for i, _ in known]), full_matrices=False)[2][: quality_knn.DIMENSIONS].T
@@ -124,6 +124,17 @@ def test_quality_equals_brute_force(spark, texts):
     assert sum(abs(got[i].score - want[i]) < 1e-3 for i in want) >= 0.98 * len(want) == 0.98 * len(got)
 
 
+def test_axes_in_rounds_equal_exact_ones():
+    """700 sparse rows with a falling spectrum: the same cosines from the exact axes and from those found in rounds."""
+    draw = np.random.default_rng(5)
+    topics = np.where(draw.random((60, 3000)) < 0.03, draw.random((60, 3000)), 0.0) * np.exp(-np.arange(60) / 12)[:, None]
+    dense = np.where(draw.random((700, 60)) < 0.08, draw.random((700, 60)), 0.0) @ topics
+    rows = quality_knn._Sparse([(np.flatnonzero(r).tolist(), r[r > 0].tolist()) for r in dense], np.ones(3000))
+    assert np.allclose(rows.times(np.eye(3000)[:, :50]), dense[:, :50]) and np.allclose(rows.turned_times(dense[:, :40]), dense.T @ dense[:, :40])
+    found, exact = quality_knn.axes_of(rows, 20), np.linalg.svd(dense, full_matrices=False)[2][:20].T
+    assert np.abs(np.linalg.svd(found.T @ exact)[1] - 1).max() < 1e-3 and np.allclose(found.T @ found, np.eye(20), atol=1e-8)
+
+
 def test_quality_on_held_out_rows(spark, odd, none):
     rows = quality_knn.op6_quality_classifier(spark, SMALL)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}

@@ -16,9 +16,11 @@ from .text import KEPT, crc_fold, documents, held, sliced
 
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
 SAMPLE = 4_000
-#: Terms that a share of at least this of the sample holds make the space; at most so many, the most common ones.
-LEAST_SHARE, MOST_TERMS = 0.01, 1_500
+#: All terms that so many rows of the sample hold make the space: a term of one row tells of no other.
+LEAST_ROWS = 2
 DIMENSIONS, NEIGHBOURS = 48, 15
+#: Directions that the axes are sought in beside their own number, and rounds of it; up to so many rows, axes are exact.
+SPARE, ROUNDS, EXACT = 32, 8, 600
 #: Documents whose cosines are computed at once.
 BLOCK = 512
 
@@ -73,6 +75,53 @@ def term_counts(text: str | None) -> dict[str, float]:
     return out
 
 
+class _Sparse:
+    """Rows of weighted terms: where each row's values begin, their columns and themselves."""
+
+    def __init__(self, rows: list[tuple[list[int], list[float]]], weight: np.ndarray):
+        sizes = np.array([len(at) for at, _ in rows], np.int64)
+        self.shape, self.row = (len(rows), len(weight)), np.repeat(np.arange(len(rows)), sizes)
+        self.at = np.concatenate([np.array(at, np.int64) for at, _ in rows]) if rows else np.zeros(0, np.int64)
+        values = np.concatenate([np.array(v, np.float64) for _, v in rows]) if rows else np.zeros(0)
+        self.values = values * weight[self.at] if len(self.at) else values
+
+    @staticmethod
+    def _sums(to: np.ndarray, of: np.ndarray, values: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+        """Rows of ``dense`` by ``of``, times values, summed by sorted ``to``; a portion at a time."""
+        out = np.zeros((n, dense.shape[1]))
+        for k in range(0, len(to), 100_000):
+            mine = to[k : k + 100_000]
+            first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            out[mine[first]] += np.add.reduceat(dense[of[k : k + 100_000]] * values[k : k + 100_000, None], first, axis=0)
+        return out
+
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        return self._sums(self.row, self.at, self.values, dense, self.shape[0])
+
+    def turned_times(self, dense: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.at, kind="stable")
+        return self._sums(self.at[order], self.row[order], self.values[order], dense, self.shape[1])
+
+
+def axes_of(rows: _Sparse, many: int) -> np.ndarray:
+    """The first right singular vectors: exactly for few rows, else within directions that rounds of products with the rows make those of most variance; the same for the same rows."""
+    n, terms = rows.shape
+    if not n or not terms:
+        return np.zeros((terms, 0))
+    if n <= EXACT:
+        basis = np.eye(n)
+    else:
+        basis = rows.times(np.random.default_rng(6).standard_normal((terms, many + SPARE)))
+        for _ in range(ROUNDS):
+            basis = rows.times(rows.turned_times(np.linalg.qr(basis)[0]))
+        basis = np.linalg.qr(basis)[0]
+    small = rows.turned_times(basis)
+    values, turn = np.linalg.eigh(small.T @ small)
+    values, turn = values[::-1][:many], turn[:, ::-1][:, :many]
+    some = values > max(values[0], 0.0) * 1e-12
+    return small @ turn[:, some] / np.sqrt(values[some])
+
+
 class Space:
     """Latent-semantic axes of the sample's terms, and the labelled vectors in them.
 
@@ -82,24 +131,22 @@ class Space:
 
     def __init__(self, terms: list[str], holds: list[int], taught: list[tuple[int, list[int], list[float]]]):
         self.place = {k: i for i, k in enumerate(terms)}
-        self.weight = np.log1p(len(taught) / np.array(holds or [1])).astype(np.float32)
+        weight = np.log1p(len(taught) / np.array(holds or [1]))[: len(terms)]
         self.labels = np.array([t[0] for t in taught], np.float32)
-        rows = self._rows([t[1:] for t in taught])
-        # axes of the terms' products: a square of the number of terms, whatever the sample
-        values, axes = np.linalg.eigh(rows.T @ rows) if terms and taught else (np.zeros(0), np.zeros((len(terms), 0)))
-        self.axes = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS], np.float32)
-        self.vectors = self._unit(rows @ self.axes)
+        rows = _Sparse([t[1:] for t in taught], weight)
+        axes = axes_of(rows, DIMENSIONS)
+        self.vectors = self._unit(rows.times(axes).astype(np.float32))
+        # weights belong to the axes from here on
+        self.axes = np.ascontiguousarray(axes * weight[:, None], np.float32)
 
     def numbered(self, terms: dict[str, float]) -> tuple[list[int], list[float]]:
         known = [(p, v) for t, v in terms.items() if (p := self.place.get(t)) is not None]
         return ([p for p, _ in known], [v for _, v in known])
 
-    def _rows(self, found: list[tuple[list[int], list[float]]]) -> np.ndarray:
-        out = np.zeros((len(found), len(self.place)), np.float32)
-        for k, (at, values) in enumerate(found):
-            out[k, at] = values
-        out *= self.weight[: out.shape[1]]
-        return out
+    def _placed(self, found: list[tuple[list[int], list[float]]]) -> np.ndarray:
+        """Texts, as numbered terms, on the axes."""
+        rows = _Sparse(found, np.ones(len(self.place)))
+        return rows.times(self.axes).astype(np.float32)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -109,7 +156,7 @@ class Space:
         """Votes for label 1 by cosine, among the nearest; a half where nothing was learnt."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        cosines = self._unit(self._rows([self.numbered(term_counts(t)) for t in texts]) @ self.axes) @ self.vectors.T
+        cosines = self._unit(self._placed([self.numbered(term_counts(t)) for t in texts])) @ self.vectors.T
         k = min(NEIGHBOURS, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         votes = np.maximum(np.take_along_axis(cosines, near, axis=1).astype(np.float64), 1e-6) ** 8
@@ -134,12 +181,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(rows: DataFrame, chosen: DataFrame) -> Space:
-    """The space of the chosen rows' terms. Terms are counted where texts are read; the driver gets the common ones, and of each row its values of these."""
+    """The space of the chosen rows' terms. Terms are counted where texts are read; the driver gets those of more rows than one, and of each row its values of these, by number."""
     taught = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_label").cast("int").alias("label"), F.xxhash64("text").alias("text_hash"), "text")
     taught = materialize(taught.mapInArrow(_terms, "doc_id long, label int, text_hash long, terms array<string>, amounts array<double>"), "taught")
-    many = taught.count()
-    holds = taught.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, LEAST_SHARE * many))
-    common = holds.orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()
+    holds = taught.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    common = holds.orderBy("term").collect()
     known = {r.term for r in common}
     place = {r.term: k for k, r in enumerate(common)}
 
@@ -157,9 +203,9 @@ def learn(rows: DataFrame, chosen: DataFrame) -> Space:
 def score_quality(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row, by its whole text; a map without a shuffle.
 
-    About ``sample`` labelled rows that aren't held out build the space of
-    their ``MOST_TERMS`` most common terms; it is broadcast with its vectors,
-    all of bounded size. Every document is compared with every vector, a block
+    About ``sample`` labelled rows that aren't held out build the space of all
+    terms that two of them hold; it is broadcast with its vectors, all bounded
+    by the sample's texts. A text of any length is scored whole. Every document is compared with every vector, a block
     of documents at a time.
 
     A null or empty text is scored like any other, by having no words. Rows
