@@ -163,9 +163,10 @@ class Fingerprint:
             return self.known[least]
         chosen = self.level >= least
         places, hashes = self.at[chosen], self.cuts[chosen]
-        lengths = np.diff(places)
-        moved = [(b - a) * pow(_INVERSE, int(x), PRIMES[0]) % PRIMES[0] for a, b, x in zip(hashes[:-1].tolist(), hashes[1:].tolist(), places[:-1].tolist(), strict=True)]
-        self.known[least] = out = places.tolist(), list(zip(lengths.tolist(), moved, strict=True))
+        lengths, moved = np.diff(places), np.zeros(0, np.int64)
+        if len(places):
+            moved = np.diff(hashes) % PRIMES[0] * _inverses_to(int(places[-1]))[places[:-1]] % PRIMES[0]
+        self.known[least] = out = places.tolist(), list(zip(lengths.tolist(), moved.tolist(), strict=True))
         return out
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray, int]:
@@ -174,8 +175,7 @@ class Fingerprint:
             return self.keys, self.sizes, int(self.keys[-1])
         chosen = self.level >= ZEROS
         places = self.at[chosen]
-        inverse = np.array([pow(_INVERSE, int(x), PRIMES[0]) for x in places[:-1]], np.int64)
-        keys, sizes = _span_keys(places, self.cuts[chosen], inverse)
+        keys, sizes = _span_keys(places, self.cuts[chosen], _inverses_to(int(places[-1]))[places[:-1]] if len(places) else places)
         keys, which = np.unique(keys, return_index=True)
         return keys, sizes[which], (1 << 40) - 1
 
