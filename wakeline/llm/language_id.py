@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import materialize
-from .text import crc_fold, documents, sliced
+from .text import alone, crc_fold, documents, sliced
 
 #: About so many labelled documents of each language are learnt from, chosen by a hash of the id; all their words and n-grams are kept.
 SAMPLE = 1_500
@@ -46,6 +46,7 @@ def _grams(word: str, order: int) -> list[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (order 0) and n-grams by language, summed within a batch."""
+    alone()
     for batch in sliced(batches, 2_000, 8_000_000):
         raw: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -161,6 +162,7 @@ def learn(docs: DataFrame, train, sample: int = SAMPLE) -> Model:
 
 def _predicted(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         score = Scorer(model.value)
         for some in sliced(batches, 2_000, 4_000_000):
             found = score(some.column("text").to_pylist())
@@ -197,6 +199,7 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         score = Scorer(model.value)
         for some in sliced(batches, 2_000, 4_000_000):
             found = score(some.column("text").to_pylist())

@@ -53,6 +53,11 @@ def held(user: str, name: str, make: Callable):
     return mine[name]
 
 
+def alone() -> None:
+    """Drop what this process keeps for other operators; for one that keeps nothing itself between tasks."""
+    _held.clear()
+
+
 def word_hashes(user: str = "words") -> WordHashes:
     return held(user, "hashes", WordHashes)
 
