@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import materialize
-from .text import KEPT, crc_fold, documents, held, sliced
+from .text import KEPT, crc_fold, documents, held, release, sliced
 
 #: About so many labelled documents are learnt from, chosen by a hash of the id.
 SAMPLE = 4_000
@@ -21,6 +21,8 @@ LEAST_ROWS = 2
 DIMENSIONS, NEIGHBOURS = 48, 15
 #: Directions that the axes are sought in beside their own number, and rounds of it; up to so many rows, axes are exact.
 SPARE, ROUNDS, EXACT = 32, 8, 600
+#: Values of sparse rows that are multiplied together.
+PORTION = 16_384
 #: Documents whose cosines are computed at once.
 BLOCK = 512
 
@@ -89,10 +91,10 @@ class _Sparse:
     def _sums(to: np.ndarray, of: np.ndarray, values: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
         """Rows of ``dense`` by ``of``, times values, summed by sorted ``to``; a portion at a time."""
         out = np.zeros((n, dense.shape[1]))
-        for k in range(0, len(to), 100_000):
-            mine = to[k : k + 100_000]
+        for k in range(0, len(to), PORTION):
+            mine = to[k : k + PORTION]
             first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-            out[mine[first]] += np.add.reduceat(dense[of[k : k + 100_000]] * values[k : k + 100_000, None], first, axis=0)
+            out[mine[first]] += np.add.reduceat(dense[of[k : k + PORTION]] * values[k : k + PORTION, None], first, axis=0)
         return out
 
     def times(self, dense: np.ndarray) -> np.ndarray:
@@ -192,12 +194,15 @@ def learn(rows: DataFrame, chosen: DataFrame) -> Space:
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [[(place[t], v) for t, v in zip(*x, strict=True) if t in known] for x in zip(batch.column("terms").to_pylist(), batch.column("amounts").to_pylist(), strict=True)]
-            lists = [pa.array([[p[k] for p in some] for some in pairs], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float64()))]
+            lists = [pa.array([np.array([p[k] for p in some], kind).tobytes() for some in pairs], pa.binary()) for k, kind in enumerate((np.int64, np.float64))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "text_hash")), *lists], names=["doc_id", "label", "text_hash", "at", "amounts"])
 
-    gathered = taught.mapInArrow(numbered, "doc_id long, label int, text_hash long, at array<int>, amounts array<double>").collect()
+    # as bytes, a tenth of what lists of numbers take on the driver
+    gathered = taught.mapInArrow(numbered, "doc_id long, label int, text_hash long, at binary, amounts binary").collect()
     gathered.sort(key=lambda r: r[:3])
-    return Space([r.term for r in common], [r.n for r in common], [r[1:2] + r[3:] for r in gathered])
+    made = Space([r.term for r in common], [r.n for r in common], [(r.label, np.frombuffer(r.at, np.int64), np.frombuffer(r.amounts)) for r in gathered])
+    release()
+    return made
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, by: int = 3, held: int = 1, sample: int = SAMPLE) -> DataFrame:
