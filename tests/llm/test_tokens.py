@@ -1,3 +1,5 @@
+import cProfile
+import pstats
 import random
 import zlib
 
@@ -45,6 +47,29 @@ def test_long_words_are_not_kept():
     assert set(tool.known) == {"\0", "short"}
 
 
+def test_words_of_byte_vocabularies_cost_no_call_each():
+    def calls(n):
+        random.seed(n)
+        words = ["".join(random.choices("abcdefghij\xe9", k=9)) + random.choice(["", ",", ".", "!?"]) for _ in range(n)]
+        tool, watch = encoding.Encoder(BYTES), cProfile.Profile()
+        watch.runcall(tool.encode, [" ".join(words), "\n".join(words)])
+        return pstats.Stats(watch).total_calls
+
+    assert calls(20_000) < calls(200) + 100
+
+
+@pytest.mark.parametrize("longest", [64, 3])
+def test_parts_of_bytes_that_cannot_be_cut_are_encoded_alone(longest, monkeypatch):
+    plain, tool = Tokenizer.from_file(BYTES), encoding.Encoder(BYTES)
+    monkeypatch.setattr(encoding.Encoder, "_cut", lambda *_: None)
+    monkeypatch.setattr(encoding, "LONGEST", longest)
+    for _ in range(2):  # the second time from the table
+        got = tool.encode(pa.array(TRICKY).slice(3))
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [plain.encode(t or "").ids for t in TRICKY[3:]]
+    assert max(map(len, tool.names.to_pylist())) <= longest
+    assert tool.encode([]) == [] and tool.encode([None, ""]) == [b"", b""]
+
+
 def test_slices_are_bounded_by_bytes():
     batch = pa.record_batch([pa.array(["a" * 40, None, "b" * 500, "c", "d" * 90, "é" * 10])], names=["text"])
     assert [s.num_rows for s in sliced(iter([batch, batch.slice(0, 0)]), 3, 100)] == [2, 1, 2, 1]
