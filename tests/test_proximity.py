@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import proximity
+from wakeline.operators import proximity, selection
 
 R = 6_371_000.0
 
@@ -65,3 +65,19 @@ def test_missing_coordinates_and_empty_tables(spark):
     assert proximity.near(points.where("false"), places, 10).count() == 0 == proximity.near(points, places.where("false"), 10).count()
     with pytest.raises(ValueError):
         proximity.near(points, places, 0)
+
+
+@pytest.mark.parametrize(("centre", "radius"), [((33.5, 128.5), 200_000), ((70.0, 179.5), 300_000), ((-88.0, -170.0), 400_000), ((0.0, 0.0), 12_000_000)])
+def test_circles_are_whole_up_to_their_edge(spark, centre, radius):
+    """Points on a circle's rim, a little inside and outside of it: a box around it that is too small cuts its edges."""
+    a, (lat0, lon0), rows = radius / R, map(math.radians, centre), []
+    for k in range(720):
+        turn = math.radians(k / 2)
+        for share in (0.9985, 0.99999, 1.00001):
+            d = a * share
+            lat = math.asin(math.sin(lat0) * math.cos(d) + math.cos(lat0) * math.sin(d) * math.cos(turn))
+            lon = lon0 + math.atan2(math.sin(turn) * math.sin(d) * math.cos(lat0), math.cos(d) - math.sin(lat0) * math.sin(lat))
+            rows.append((len(rows), math.degrees(lat), (math.degrees(lon) + 180) % 360 - 180))
+    want = {k for k, *at in rows if far(centre, at) <= radius}
+    table = spark.createDataFrame(rows, "track_id long, start_lat double, start_lon double").withColumns({"end_lat": F.lit(centre[0]), "end_lon": F.lit(centre[1]), "points_count": F.lit(1)})
+    assert {r.track_id for r in selection.within_radius(table, centre, centre, radius).collect()} == want and len(want) == 1440

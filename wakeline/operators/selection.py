@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import flat_distance_m, haversine_m, in_box, radius_box
+from ..functions.geo import flat_distance_m, haversine_m, in_box, in_radius_box
 from .proximity import near
 
 
@@ -53,8 +53,7 @@ def within_radius(tracks: DataFrame, start: tuple[float, float], end: tuple[floa
     """Voyages whose ends lie within exact circles; boxes come first, so that files are skipped by them."""
     rows = tracks
     for name, point in (("start", start), ("end", end)):
-        x0, x1, y0, y1 = radius_box(*point, radius_m)
-        rows = rows.where(F.col(f"{name}_lon").between(x0, x1) & F.col(f"{name}_lat").between(y0, y1))
+        rows = rows.where(in_radius_box(f"{name}_lat", f"{name}_lon", *point, radius_m))
         rows = rows.withColumn(f"{name}_m", haversine_m(f"{name}_lat", f"{name}_lon", *point)).where(F.col(f"{name}_m") <= radius_m)
     return rows.orderBy(F.desc("points_count"), "start_m", "end_m", "track_id")
 
